@@ -1,13 +1,48 @@
-"""Corpus pipeline: stages in order, each on all that the one before it kept."""
+"""Corpus pipeline: toxicity, near duplicates, decontamination, mixing, token store.
 
-from skyloom.llm.queries import QUERIES  # noqa: F401
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; all but the last return
+the columns of documents. Near duplicates are counted as one of the ten operators.
+"""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from skyloom.llm import decontam, minhash, mixing, tokens, toxicity
+from skyloom.llm.common import load, written
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that score as toxic."""
+    return toxicity.without_toxic(docs, load(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies."""
+    return minhash.without_near_duplicates(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a test item."""
+    return decontam.without_contaminated(docs, load(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take documents, some of them twice, so that sources come near their target weights."""
+    return mixing.mixed_sequence(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write the token store and return what its files say of each document."""
+    return tokens.token_digests(docs)
+
+
+STAGES = [("toxicity", toxic), ("near_duplicates", near_duplicates), ("decontamination", benchmark), ("mixing", mix), ("tokens", encode)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs

@@ -77,3 +77,27 @@ def multisets(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])])
     at = np.flatnonzero(new)
     return doc[at], h[at], np.diff(np.append(at, len(h)))
+
+
+#: Bytes of words; all other ASCII becomes a blank, so punctuation neither joins nor splits words differently.
+PLAIN = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
+
+
+def plain(text: str | None) -> bytes:
+    """Lower-cased text with blanks for all ASCII that is neither letter nor digit."""
+    return text.lower().encode("utf-8", "replace").translate(PLAIN) if text else b""
+
+
+def word_hashes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(text index, hash) of each word of texts from plain(), in order."""
+    blob = np.frombuffer(b" ".join(data) + b" ", np.uint8)
+    up, down = tables(len(blob) + 1)
+    sums = np.zeros(len(blob) + 1, np.uint64)
+    np.cumsum(BYTE[blob] * up[: len(blob)], out=sums[1:])
+    ends = np.flatnonzero(blob == 32)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    real = ends > starts
+    a, b = starts[real], ends[real]
+    lengths = np.array([len(d) for d in data], np.int64)
+    first = np.cumsum(lengths + 1) - lengths - 1
+    return np.searchsorted(first, a, "right") - 1, mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
