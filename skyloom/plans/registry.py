@@ -1,5 +1,7 @@
 """All queries of the sky-catalog engine and their SQL."""
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from skyloom.plans import sky
+
+FLAGSHIP = "cutsky_single"
+QUERIES = dict(sky.QUERIES)
+ORACLE_SQL = dict(sky.ORACLE_SQL)
