@@ -1,7 +1,7 @@
 """All queries of the sky-catalog engine and their SQL."""
 
-from skyloom.plans import sky
+from skyloom.plans import sky, survey
 
 FLAGSHIP = "cutsky_single"
-QUERIES = dict(sky.QUERIES)
-ORACLE_SQL = dict(sky.ORACLE_SQL)
+QUERIES = sky.QUERIES | survey.QUERIES
+ORACLE_SQL = sky.ORACLE_SQL | survey.ORACLE_SQL
