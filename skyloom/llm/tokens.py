@@ -35,10 +35,12 @@ from skyloom.llm.common import bounded_batches, narrow, scratch_path
 DIGEST = 16
 WINDOW, MIN_IDS, MAX_IDS, CUT_BITS = 8, 256, 4096, 10
 #: Distinct pieces whose ids a worker remembers; when full, it starts anew.
-PIECES = 300_000
+PIECES = 1_000_000
 SLICE_BYTES = 1 << 21
 #: The white space of Unicode, and the four controls that only Python counts as such.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Marks that may follow a word: a run of them is a token run of its own, apart from the letters before it.
+TAILS = ".,;:!?*#%$&()|-\""
 CONTROLS = "\x1c\x1d\x1e\x1f"
 CRC_POLY = np.uint64(0xEDB88320)
 
@@ -71,15 +73,31 @@ class PieceEncoder:
         first, *rest = text.split(" ")
         return [first, *[" " + p for p in rest]]
 
+    def learn(self, new: set[str]) -> None:
+        """Add pieces to those known. Letters, then marks: both parts are known or learned by themselves."""
+        known, split, need = self.known, [], set()
+        for piece in new:
+            stem = piece.rstrip(TAILS)
+            if stem != piece and (stem[1:] if stem[:1] == " " else stem).isalpha():
+                split.append((piece, stem, piece[len(stem) :]))
+                need.add(stem)
+                need.add(piece[len(stem) :])
+            else:
+                need.add(piece)
+        todo = [p for p in need if p not in known]
+        for piece, e in zip(todo, self.lib.encode_batch_fast(todo, add_special_tokens=False)):
+            known[piece] = np.array(e.ids, self.kind).tobytes()
+        for piece, stem, tail in split:
+            known[piece] = known[stem] + known[tail]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes, with the end id 0."""
         cut = [self.pieces(t) for t in texts]
-        new = list(set().union(*cut) - self.known.keys())
-        if len(self.known) + len(new) > PIECES:
+        new = set().union(*cut) - self.known.keys()
+        if len(self.known) + 2 * len(new) > PIECES:
             self.known.clear()
-            new = list(set().union(*cut))
-        for piece, e in zip(new, self.lib.encode_batch(new, add_special_tokens=False)):
-            self.known[piece] = np.array(e.ids, self.kind).tobytes()
+            new = set().union(*cut)
+        self.learn(new)
         get, end = self.known.__getitem__, bytes(self.kind.itemsize)
         return [b"".join(map(get, c)) + end for c in cut]
 
