@@ -8,11 +8,12 @@ on it, so two texts agree in a register with probability equal to their weighted
 only to a time that all registers are expected to be filled by, and longer for the few texts where one is not.
 
 Candidates. Texts with equal multisets are one class. BANDS bands of ROWS registers give buckets. In each bucket the
-first class (by a hash that differs from band to band) is the pivot, and all others are verified against it by exact
-multiset overlap; distance 1 - J is a metric, so a member that is not linked to the pivot can only be linked to members
-at distances within 1 - T of its own. The unlinked are bucketed again, with a pivot of their own, for PIVOTS rounds;
-then pairs within that distance range are verified too, where at least one of the two is unlinked. No link is lost
-and a large group of near copies costs one comparison a member.
+first class (by a hash that differs from band to band) is the pivot, and all others that are not yet in its component
+are verified against it by exact multiset overlap. Buckets that then still hold several components are worked off:
+members outside of the pivot's component are compared with the members of other components. Distance 1 - J is a metric,
+so only those within 1 - T of each other's distance to the pivot can be linked; large buckets are compared block by block
+inside tasks, from which only links leave. No link is lost, and a large group of near copies, which the pivots of
+several bands connect, costs a few comparisons a member.
 
 Components of the links come from repeated minimum labels and pointer jumping, each round written to the shared folder.
 
@@ -37,7 +38,11 @@ from skyloom.llm.shingles import mix, multisets, shingle_hashes, words_of
 
 REGISTERS, BANDS, ROWS = 64, 16, 4
 THRESHOLD = 0.8
-PIVOTS = 3
+#: Members of a bucket up to which those of different components are paired; larger ones go block by block.
+SMALL = 64
+BLOCK = 256
+#: Bands that are worked on together; what one step connects, the next need not compare.
+STEPS = ((0, 4), (4, BANDS))
 SLICE_BYTES = 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -164,53 +169,92 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def with_labels(rows: DataFrame, labels: DataFrame | None, node: str, name: str) -> DataFrame:
+    """rows with the component of a node; a node without links is its own."""
+    if labels is None:
+        return rows.withColumn(name, F.col(node))
+    return rows.join(labels.select(F.col("node").alias(node), F.col("label").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+
+
+def block_links(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Links between the two sides of a block: overlaps of all pairs by matrix products, of which only links leave."""
+    a, b = (rows[rows.side == k] for k in (0, 1))
+    out = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "j": np.zeros(0)})
+    if not len(a) or not len(b):
+        return out
+
+    def entries(side):
+        """(row, shingle and level) for each unit of weight."""
+        h = [np.frombuffer(x, np.uint32).astype(np.uint64) for x in side.hashes]
+        c = [np.frombuffer(x, np.uint32).astype(np.int64) if x else np.ones(len(y), np.int64) for x, y in zip(side.counts, h)]
+        n = np.concatenate(c)
+        who = np.repeat(np.repeat(np.arange(len(side)), [len(x) for x in h]), n)
+        level = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return who, (np.repeat(np.concatenate(h), n) << np.uint64(24)) | np.minimum(level, (1 << 24) - 1).astype(np.uint64)
+
+    (ra, ca), (rb, cb) = entries(a), entries(b)
+    wa, wb = np.bincount(ra, minlength=len(a)), np.bincount(rb, minlength=len(b))
+    both = np.intersect1d(ca, cb)
+    ka, kb = np.isin(ca, both), np.isin(cb, both)
+    ia, ib, ra, rb = np.searchsorted(both, ca[ka]), np.searchsorted(both, cb[kb]), ra[ka], rb[kb]
+    shared = np.zeros((len(a), len(b)), np.float32)
+    for at in range(0, len(both), 4096):
+        x, y = np.zeros((len(a), 4096), np.float32), np.zeros((len(b), 4096), np.float32)
+        m = (ia >= at) & (ia < at + 4096)
+        x[ra[m], ia[m] - at] = 1
+        m = (ib >= at) & (ib < at + 4096)
+        y[rb[m], ib[m] - at] = 1
+        shared += x @ y.T
+    total = wa[:, None] + wb[None, :]
+    jac = shared / np.maximum(total - shared, 1)
+    x, y = np.nonzero((jac >= threshold) & (a.mine.to_numpy()[:, None] != b.mine.to_numpy()[None, :]))
+    return pd.DataFrame({"a": a.cls.to_numpy()[x], "b": b.cls.to_numpy()[y], "j": jac[x, y].astype(float)})
+
+
+def large_links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, j): links of members outside of their pivot's component to all members of other components, for buckets
+    of any size. Either side is cut into blocks; a task compares one block with another, so a bucket is many tasks of
+    bounded memory, and rows move once for each block of the other side."""
+    size = members.groupBy("band", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"), F.ceil(F.sum((F.col("mine") != F.col("its")).cast("int")) / BLOCK).cast("int").alias("na"))
+    m = members.join(size, ["band", "key"])
+    h = F.xxhash64("cls", F.lit(1))
+    a = m.where("mine <> its").withColumn("i", F.pmod(h, F.col("na")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("side", F.lit(0))
+    b = m.withColumn("k", F.pmod(h, F.col("nb")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("side", F.lit(1))
+    rows = a.select("band", "key", "i", "k", "side", "cls", "mine").unionByName(b.select("band", "key", "i", "k", "side", "cls", "mine")).join(sets, "cls")
+    return rows.groupBy("band", "key", "i", "k").applyInPandas(lambda p: block_links(p, threshold), "a long, b long, j double")
+
+
 def class_links(classes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, j): verified links that connect all classes whose similarity reaches threshold."""
     far = 1 - threshold
     bands = classes.select("cls", F.posexplode("bands").alias("band", "key"))
-    crowded = bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
-    active = written(bands.join(crowded, ["band", "key"]), "nd-members")
-    sets = written(sets.join(active.select("cls").distinct(), "cls", "left_semi"), "nd-sets", "snappy")
-    links, pending = [], []
-    for _ in range(PIVOTS):
-        # the pivot: least in a hash of class and band, so bands have different pivots
-        rank = F.xxhash64("cls", "band")
-        pivots = active.groupBy("band", "key").agg(F.min(F.struct(rank.alias("r"), F.col("cls").alias("pivot"))).alias("p")).select("band", "key", F.col("p.pivot").alias("pivot"))
-        members = active.join(pivots, ["band", "key"]).where("cls <> pivot")
-        pairs = members.select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()
-        known = written(verified(pairs, sets), "nd-stars")
-        links.append(known.where(F.col("j") >= threshold))
-        seen = written(members.join(known.select(F.col("a").alias("cls"), F.col("b").alias("pivot"), "j"), ["cls", "pivot"]), "nd-round")
-        # what is left: a member not linked to its pivot may be linked to any member at a like distance
-        apart = seen.where(F.col("j") < threshold)
-        linked = seen.where((F.col("j") >= threshold) & (F.col("j") < 1 - 1e-12))
-        near = apart.where(F.col("j") >= threshold - far)
-        pending.append(
-            near.select("band", "key", F.col("cls").alias("a"), F.col("j").alias("ja"))
-            .join(linked.select("band", "key", F.col("cls").alias("b"), F.col("j").alias("jb")), ["band", "key"])
-            .where(F.col("jb") - F.col("ja") <= far + 1e-9).select("a", "b")
-        )
-        left = apart.select("cls", "band", "key")
-        crowded = left.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
-        active = written(left.join(crowded, ["band", "key"]), "nd-members")
-        if active.isEmpty():
-            break
-    else:
-        x, y = active.select("band", "key", F.col("cls").alias("a")), active.select("band", "key", F.col("cls").alias("b"))
-        pending.append(x.join(y, ["band", "key"]).where("a < b").select("a", "b"))
-    rest = pending[0]
-    for p in pending[1:]:
-        rest = rest.union(p)
+    # the pivot of a bucket: least in a hash of class and band, so bands have different pivots
+    first = F.min(F.struct(F.xxhash64("cls", "band").alias("r"), F.col("cls").alias("pivot"))).alias("p")
+    crowded = bands.groupBy("band", "key").agg(F.count("*").alias("n"), first).where("n > 1").select("band", "key", "n", F.col("p.pivot").alias("pivot"))
+    active = written(bands.join(crowded, ["band", "key"]).where("cls <> pivot"), "nd-members")
+    sets = written(sets.join(active.select("cls").union(active.select("pivot")).distinct(), "cls", "left_semi"), "nd-sets", "snappy")
+    out, labels, seen = None, None, None
+    for low, high in STEPS:
+        now = active.where((F.col("band") >= low) & (F.col("band") < high))
+        now = with_labels(with_labels(now, labels, "cls", "mine"), labels, "pivot", "its").where("mine <> its")
+        known = written(verified(now.select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct(), sets), "nd-stars")
+        out = known.where(F.col("j") >= threshold) if out is None else out.union(known.where(F.col("j") >= threshold))
+        seen = known if seen is None else seen.union(known)
+        labels = components(out)
+    # what is left: members in other components than their pivot's, against the other components of the bucket
+    members = written(with_labels(with_labels(active, labels, "cls", "mine"), labels, "pivot", "its").join(seen.select(F.col("a").alias("cls"), F.col("b").alias("pivot"), "j"), ["cls", "pivot"], "left"), "nd-left")
+    open_ = members.where("mine <> its").select("band", "key").distinct()
+    members = members.join(open_, ["band", "key"], "left_semi")
+    small = members.where(F.col("n") <= SMALL)
+    apart = small.where("mine <> its").select("band", "key", F.col("cls").alias("a"), F.col("mine").alias("la"), F.col("j").alias("ja"))
+    others = small.select("band", "key", F.col("cls").alias("b"), F.col("mine").alias("lb"), F.col("j").alias("jb"))
+    within = F.coalesce(F.abs(F.col("ja") - F.col("jb")) <= far + 1e-9, F.lit(True))
+    rest = apart.join(others, ["band", "key"]).where((F.col("la") != F.col("lb")) & within).select("a", "b")
+    large = large_links(members.where(F.col("n") > SMALL), sets, threshold)
     rest = written(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "nd-pairs")
-    out = links[0]
-    for x in links[1:]:
-        out = out.union(x)
-    if not rest.isEmpty():  # pairs that the stars have connected already need no look
-        got = components(out)
-        rest = rest.join(got.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(got.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
-        rest = rest.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+    if not rest.isEmpty():
         out = out.union(verified(rest, sets).where(F.col("j") >= threshold))
-    return out
+    return out.union(written(large.dropDuplicates(["a", "b"]), "nd-large"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
