@@ -22,6 +22,7 @@ import hashlib
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -61,6 +62,7 @@ class PieceEncoder:
 
         self.lib = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2") if self.lib.get_vocab_size() < 65536 else np.dtype("<u4")
+        self.letter = "H" if self.kind.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {}
         self.blanks = [s + " " for s in SPACES]
         self.edge = re.compile(r"(?<=\S)(?= )")
@@ -86,7 +88,7 @@ class PieceEncoder:
                 need.add(piece)
         todo = [p for p in need if p not in known]
         for piece, e in zip(todo, self.lib.encode_batch_fast(todo, add_special_tokens=False)):
-            known[piece] = np.array(e.ids, self.kind).tobytes()
+            known[piece] = array(self.letter, e.ids).tobytes()
         for piece, stem, tail in split:
             known[piece] = known[stem] + known[tail]
 
@@ -299,13 +301,13 @@ def crc_join(first: np.ndarray, second: np.ndarray, size: np.ndarray) -> np.ndar
 
 
 @F.pandas_udf(LongType())
-def _document_crc(parts: pd.Series) -> pd.Series:
-    """parts: per document its chunks' (pos, crc, m) in order."""
-    lists = [sorted((r["pos"], r["crc"], r["m"]) for r in p) for p in parts]
-    crc = np.array([x[0][1] for x in lists], np.uint64)
-    for k in range(1, max(map(len, lists), default=0)):
-        who = np.array([i for i, x in enumerate(lists) if len(x) > k])
-        crc[who] = crc_join(crc[who], np.array([lists[i][k][1] for i in who], np.uint64), np.array([4 * lists[i][k][2] for i in who], np.uint64))
+def _document_crc(crcs: pd.Series, sizes: pd.Series) -> pd.Series:
+    """Per document its chunks' crc32s and numbers of ids, in order."""
+    lengths = crcs.map(len).to_numpy()
+    crc = crcs.map(lambda c: c[0]).to_numpy().astype(np.uint64)
+    for k in range(1, lengths.max(initial=0)):
+        who = np.flatnonzero(lengths > k)
+        crc[who] = crc_join(crc[who], crcs.iloc[who].map(lambda c: c[k]).to_numpy().astype(np.uint64), 4 * sizes.iloc[who].map(lambda c: c[k]).to_numpy().astype(np.uint64))
     return pd.Series(crc.astype(np.int64))
 
 
@@ -324,7 +326,7 @@ def read_digests(spark, path: str, width: int = 2) -> DataFrame:
     offsets = _offsets(offsets)
     chunks = read_blocks(spark, path, 0).select("key", "n", "data").mapInArrow(_checked_chunks(width), "key binary, m int, crc long")
     entries = recipes.where(_root_holds("key", "data")).select("rid", F.posexplode(F.expr(f"transform(sequence(0, int(length(data) / {DIGEST}) - 1), i -> substring(data, i * {DIGEST} + 1, {DIGEST}))")).alias("pos", "key"))
-    crcs = entries.join(chunks, "key").groupBy("rid").agg(F.collect_list(F.struct("pos", "crc", "m")).alias("parts")).select("rid", _document_crc("parts").alias("ids_crc32"), F.size("parts").alias("chunks"))
+    crcs = entries.join(chunks, "key").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("pos", "crc", "m"))).alias("parts")).select("rid", _document_crc("parts.crc", "parts.m").alias("ids_crc32"), F.size("parts").alias("chunks"))
     return (
         recipes.join(F.broadcast(offsets), "part").join(crcs, "rid")
         .select("doc_id", (F.col("offset") + F.col("local_start")).alias("start"), F.col("n").cast("long").alias("n_tokens"), "ids_crc32", "chunks", F.hex("key").alias("root"))
