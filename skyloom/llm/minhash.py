@@ -47,6 +47,10 @@ SLICE_BYTES = 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _times(k: int) -> np.uint64:
+    return np.uint64(k * int(_STEP) % (1 << 64))
+
+
 def _uniform(z: np.ndarray) -> np.ndarray:
     return ((z >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
@@ -65,7 +69,7 @@ def signatures(doc: np.ndarray, h: np.ndarray, count: np.ndarray, n: int) -> np.
         while len(d):  # interval 0 is [0,1), interval k is [2^(k-1), 2^k)
             low = 0 if level == 0 else 1 << (level - 1)
             rate = REGISTERS * max(1, low)
-            state = mix(x + np.uint64(level + 1) * _STEP)
+            state = mix(x + _times(level + 1))
             t, who = np.zeros(len(d)), np.arange(len(d))
             while len(who):
                 state = mix(state + _STEP)
@@ -96,7 +100,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     """(n, BANDS) hashes of ROWS registers each."""
     z = np.zeros((len(sig), BANDS), np.uint64)
     for r in range(ROWS):
-        z = mix(z + sig[:, r::ROWS][:, :BANDS] + np.uint64(r + 1) * _STEP)
+        z = mix(z + sig[:, r::ROWS][:, :BANDS] + _times(r + 1))
     return z
 
 
