@@ -63,7 +63,7 @@ def learn_dictionaries(texts: list[str], y: np.ndarray) -> tuple[bytes, bytes]:
         spread = np.log(c / max(1, (y == 1).sum())) - np.log((df[0][s] + 0.5) / max(1, (y == 0).sum()))
         if c >= max(3, SPREAD * (y == 1).sum()) and odds > 2 and spread > 1.5:
             ranked.append((c * odds, s))
-    ranked.sort(key=lambda x: (-round(x[0], 6), -len(x[1]), x[1]))
+    ranked.sort(key=lambda x: (-round(x[0], 6), abs(len(x[1]) - 6), x[1]))  # six letters: long ends of words match others
     chosen: list[str] = []
     for _, s in ranked:  # neither a longer form of a chosen string nor a beginning that is hardly more frequent
         if len(chosen) < STRINGS and not any(s.startswith(c.strip()) or c.startswith(s) and tf[1][s] < 1.3 * tf[1][c] for c in chosen):
@@ -125,7 +125,9 @@ def fit(rows: list[tuple[int, str, int]]):
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.0
         return (b" ", b"  "), np.array([0.0] * FEATURES + [np.log((share + 1e-6) / (1 - share + 1e-6))])
-    fold = np.arange(len(y)) % 2  # features of one half come from dictionaries of the other
+    fold = np.zeros(len(y), int)  # features of one half of either kind come from dictionaries of the other
+    for k in (0, 1):
+        fold[np.flatnonzero(y == k)[1::2]] = 1
     x = np.zeros((len(y), FEATURES))
     for k in (0, 1):
         w = Windows(learn_dictionaries([t for t, f in zip(texts, fold) if f != k], y[fold != k]))
