@@ -80,10 +80,10 @@ def mixed_sequence(docs: DataFrame, **options) -> DataFrame:
     """
     m = mixed(docs, **options).groupBy("doc_id").agg(F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.max("taken").alias("taken"), F.min("virtual_finish").alias("finish"))
     m = m.where("taken > 0").withColumn("times", F.round(F.col("taken") / F.col("size")).cast("int")).where("times > 0")
-    copies = m.select(F.col("doc_id").alias("mixed_id"), F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("copy"), "finish", (F.col("source_size") / F.col("target")).alias("lap"))
-    out = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("mixed_id")))
-    when = F.col("finish") + F.col("copy") * F.col("lap")
-    return out.withColumn("__when", when).repartitionByRange(F.col("__when"), F.col("mixed_id")).sortWithinPartitions("__when", "mixed_id").select(*[docs[c] for c in docs.columns])
+    lap = F.col("source_size") / F.col("target")
+    copies = m.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("times") - 1))).select(F.col("doc_id").alias("__mixed"), (F.col("finish") + F.col("copy") * lap).alias("__when"))
+    out = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("__mixed")))
+    return out.repartitionByRange(F.col("__when"), F.col("__mixed")).sortWithinPartitions("__when", "__mixed").select(*[docs[c] for c in docs.columns])
 
 
 ORACLE_SQL = r"""
