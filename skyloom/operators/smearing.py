@@ -39,7 +39,7 @@ class RedshiftSmearing:
         return [Spline(self.u, t, 3, "clip") for t in self.table]
 
     def ppf(self, u, z):
-        u, z = np.broadcast_arrays(np.asarray(u, float), np.asarray(z, float))
+        u, z = np.broadcast_arrays(np.atleast_1d(np.asarray(u, float)), np.atleast_1d(np.asarray(z, float)))
         i = np.clip(np.searchsorted(self.z, z, "right") - 1, 0, max(0, len(self.z) - 2))
         j = np.minimum(i + 1, len(self.z) - 1)
         gap = np.where(j > i, self.z[j] - self.z[i], 1.0)
