@@ -29,7 +29,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -104,13 +104,13 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return z
 
 
-ROW_SCHEMA = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("bands", pa.list_(pa.int64())), ("hashes", pa.binary()), ("counts", pa.binary())])
+ROW_SCHEMA = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("cls", pa.int64()), ("bands", pa.list_(pa.int64())), ("hashes", pa.binary()), ("counts", pa.binary())])
 
 
 def _prepare(batches):
-    """doc_id, class digest, band keys and the multiset (32-bit hashes, ascending, and counts)."""
+    """doc_id, digest of the text, class digest, band keys and the multiset (32-bit hashes, ascending, and counts)."""
     for b in batches:
-        ids, texts = b.column(0), [words_of(t) for t in b.column(1).to_pylist()]
+        ids, texts, md5 = b.column(0), [words_of(t) for t in b.column(1).to_pylist()], b.column(2)
         a = 0
         while a < len(texts):
             e, size = a, 0
@@ -129,7 +129,7 @@ def _prepare(batches):
                 cls.append(int.from_bytes(hashlib.blake2b(full, digest_size=8).digest(), "little", signed=True))
                 hashes.append(s.tobytes())
                 counts.append(b"" if (k == 1).all() else k.tobytes())
-            yield pa.RecordBatch.from_arrays([ids[a:e], pa.array(cls, pa.int64()), pa.array(list(keys), pa.list_(pa.int64())), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], schema=ROW_SCHEMA)
+            yield pa.RecordBatch.from_arrays([ids[a:e], md5[a:e], pa.array(cls, pa.int64()), pa.array(list(keys), pa.list_(pa.int64())), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], schema=ROW_SCHEMA)
             a = e
 
 
@@ -261,13 +261,17 @@ def class_links(classes: DataFrame, sets: DataFrame, threshold: float) -> DataFr
     return out.union(written(large.dropDuplicates(["a", "b"]), "nd-large"))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (least doc_id of its group), copies (rows with an equal multiset), links: a row for each row of docs.
+def _digest(text):
+    """128 bits of a text; null for null."""
+    return F.unhex(F.md5(text.cast("string").cast("binary")))
 
-    links counts the other classes that a row's class is linked to directly among the verified links.
-    """
+
+def _grouped(docs: DataFrame, threshold: float, digests: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, digest of the text if asked for, cls) and their classes (cls, label of the group, class_id, ...)."""
     bounded_batches(docs.sparkSession)
-    rows = narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_prepare, "doc_id long, cls long, bands array<long>, hashes binary, counts binary")
+    digest = _digest(F.col("text")) if digests else F.lit(None).cast("binary")
+    rows = narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), digest.alias("digest"))
+    rows = rows.mapInArrow(_prepare, "doc_id long, digest binary, cls long, bands array<long>, hashes binary, counts binary")
     rows = written(rows, "nd-rows", "snappy")
     copies = written(rows.groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "nd-classes")
     worded = rows.where(F.length("hashes") > 0)
@@ -279,21 +283,37 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     degree = links.select("a", "b").union(links.select("b", "a")).distinct().groupBy(F.col("a").alias("cls")).agg(F.count("*").alias("links"))
     named = copies.join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls")).join(degree, "cls", "left")
     heads = named.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-    classes = written(named.join(heads, "label").select("cls", "class_id", "class_size", "copies", F.coalesce("links", F.lit(0)).alias("links")), "nd-named")
-    return rows.select("doc_id", "cls").join(classes, "cls").select("doc_id", "class_id", "class_size", "copies", "links")
+    classes = written(named.join(heads, "label").select("cls", "label", "class_id", "class_size", "copies", F.coalesce("links", F.lit(0)).alias("links")), "nd-named")
+    return rows.select("doc_id", "digest", "cls"), classes
 
 
-def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row of each group: the row of its least doc_id (one of them when it repeats); all columns of docs."""
-    keep = near_duplicates(docs, threshold).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    out = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("__keep")), "left_semi")
-    return _first_of_id(out)
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id (least doc_id of its group), copies (rows with an equal multiset), links: a row for each row of docs.
+
+    links counts the other classes that a row's class is linked to directly among the verified links. class_id is null
+    for a group whose rows all have a null doc_id, and groups that hold different texts of one doc_id can share it.
+    """
+    rows, classes = _grouped(docs, threshold, False)
+    return rows.join(classes, "cls").select("doc_id", "class_id", "class_size", "copies", "links")
 
 
-def _first_of_id(docs: DataFrame) -> DataFrame:
-    """Rows that share a doc_id: the first by text."""
-    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    if again.isEmpty():
+def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row of each group: of its rows with the least doc_id the first by a digest of the text; all columns of docs.
+
+    Groups are told apart by their label, never by doc_id, which may be null or stand for several texts. Rows with equal
+    doc_id and text are in one group, so these two name a survivor; of rows that repeat both, one is kept.
+    """
+    rows, classes = _grouped(docs, threshold, True)
+    first = rows.join(classes, "cls").where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min("digest").alias("__digest"), F.first("class_id").alias("__keep"))
+    # min passes over nulls: a null text is the survivor only of a group that has no other
+    keep = written(first.select("__keep", "__digest"), "nd-keep")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__keep")) & _digest(F.col("text")).eqNullSafe(F.col("__digest"))
+    return _one_of_equal(docs.join(keep, same, "left_semi"))
+
+
+def _one_of_equal(docs: DataFrame) -> DataFrame:
+    """Rows that share doc_id and text: one of them."""
+    keyed = docs.withColumn("__digest", _digest(F.col("text")))
+    if keyed.groupBy("doc_id", "__digest").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return docs
-    w = Window.partitionBy("doc_id").orderBy("text")
-    return docs.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    return keyed.dropDuplicates(["doc_id", "__digest"]).drop("__digest")

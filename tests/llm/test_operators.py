@@ -138,6 +138,18 @@ def test_near_duplicates(spark):
     assert got == brute_classes([(i, t or "") for i, t in rows])
 
 
+def test_one_row_of_each_group_is_kept(spark):
+    """Groups are kept apart under null and shared ids; each keeps exactly one row."""
+    text = [" ".join(f"t{k}w{i}" for i in range(40)) for k in range(7)]
+    rows = [(None, text[0], "a"), (None, text[1], "a"), (None, text[1], "b"), (None, text[2], "a"), (5, text[2], "a"), (7, text[3], "a"), (7, text[4], "a"),
+            (7, text[4], "b"), (8, text[5], "a"), (7, text[5] + " more", "a"), (9, text[6], "a"), (9, text[6] + " more", "a"), (None, None, "a"), (11, "", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = minhash.without_near_duplicates(docs)
+    got = [(r.doc_id, (r.text or "")[:2]) for r in out.collect()]
+    assert out.columns == docs.columns
+    assert sorted(got, key=str) == sorted([(None, "t0"), (None, "t1"), (5, "t2"), (7, "t3"), (7, "t4"), (7, "t5"), (9, "t6"), (11, "")], key=str)
+
+
 def test_signature_is_unbiased():
     r = np.random.RandomState(1)
     est, true = [], []
