@@ -1,12 +1,20 @@
 """Operator 10: benchmark decontamination by BM25 and block-max WAND.
 
-The test items are the documents of an inverted index: a posting holds an item and the term's BM25 impact, divided by
-the item's own score, so that an item matched in full scores 1 and one threshold serves all items. Postings are kept in
-blocks with their largest impact. All training texts are cut into overlapping passages of at least twice the longest
-item, so that an item that occurs lies within one passage; each passage is a query. A passage whose terms' largest
-impacts cannot reach the threshold is passed over (one vectorised sum for a whole batch); for the others WAND skips by
-term bounds and block bounds, and yields every item at or above the threshold. A candidate is verified by the shares of
-the five-word shingles of its question (all sentences but the last) and its answer (the last) that the passage holds.
+Verification. The question of a test item is all sentences but its last, the answer the last. A passage of a training
+text is a leak of the item by the shares of the five-word shingles of either part that it holds (OVERLAP: reached):
+- question and answer both reach OVERLAP: the item is there as a whole;
+- the question reaches it and has QUESTION words or more: a leak whatever became of the answer (left out or altered);
+- the answer and the item as a whole reach it: an item that is nearly all answer.
+A short question alone, or an answer alone in an item that is not mostly answer, can be ordinary text and is no leak.
+
+Retrieval. What is looked up are entries: each item as a whole, and each question that can be a leak by itself. They are
+the documents of an inverted index: a posting holds an entry and the term's BM25 impact, divided by the least score of a
+passage that the rule above can verify (need), so that one threshold, 1, serves all entries and no leak is lost before
+verification. Postings are kept in blocks with their largest impact. All training texts are cut into overlapping
+passages of at least twice the longest item, so that an item that occurs lies within one passage; each passage is a
+query. A passage whose terms' largest impacts cannot reach the threshold is passed over (one vectorised sum for a whole
+batch); for the others WAND skips by term bounds and block bounds, and yields every entry at or above the threshold. The
+score reported is the item's as a whole, as a share of its own score.
 
 The index is built from at most SHARD items at a time; a larger benchmark is several indexes and scans.
 
@@ -18,6 +26,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -29,11 +38,13 @@ from skyloom.llm.common import bounded_batches, narrow
 from skyloom.llm.shingles import SHINGLE, plain, word_hashes
 
 K1, B = 1.2, 0.75
-SCORE, OVERLAP = 0.6, 0.8
+OVERLAP = 0.8
+#: Words of a question that is a leak without its answer.
+QUESTION = 8
 BLOCK = 16
 PASSAGE = 128
-#: Ranges of items with a bound of their own in the test that passes over hopeless passages.
-RANGES = 32
+#: Ranges of entries with a bound of their own in the test that passes over hopeless passages.
+RANGES = 64
 SHARD = 50_000
 SLICE_BYTES = 1 << 20
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -60,6 +71,26 @@ def share(part: list[bytes], passage: list[bytes], have: set) -> float:
     return len(own & have) / len(own)
 
 
+def leaked(whole: float, question: float, answer: float, words: int) -> bool:
+    """Whether the shares of an item and its parts make a leak; words: length of the question."""
+    if question >= OVERLAP:
+        return answer >= OVERLAP or words >= QUESTION
+    return answer >= OVERLAP and whole >= OVERLAP
+
+
+def absent(part: list[bytes], impact: dict[bytes, float]) -> float:
+    """Upper bound of the impact of the terms that a passage lacks which has OVERLAP of the part's shingles.
+
+    Each lacking word takes all shingles it is in along, so not more words than shingles are lacking; at most two words
+    a shingle (its first and its last) where shingles repeat.
+    """
+    if len(part) < SHINGLE:
+        return 0.0
+    n = len(shingle_set(part))
+    lacking = int(n * (1 - OVERLAP) + 1e-9) * (1 if n == len(part) - SHINGLE + 1 else 2)
+    return sum(sorted((impact[w] for w in set(part)), reverse=True)[:lacking])
+
+
 class Index:
     """BM25 postings of test items in blocks, by word hash."""
 
@@ -76,12 +107,24 @@ class Index:
         names = sorted(df)
         idf = {w: np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) for w in names}
         postings: dict[bytes, list[tuple[int, float]]] = {w: [] for w in names}
+        self.entries: list[int] = []  # item of each entry
+        self.whole: list[tuple[int, float]] = []  # entry of each item as a whole, and what its impacts are divided by, as a share of its own score
         for i, c in enumerate(tf):
+            _, words, question, answer = self.items[i]
             size = sum(c.values())
             impact = {w: idf[w] * f * (K1 + 1) / (f + K1 * (1 - B + B * size / mean)) for w, f in c.items()}
-            own = sum(impact.values())
-            for w, x in impact.items():
-                postings[w].append((i, x / own))
+            lack = max(absent(words, impact), absent(question, impact) + absent(answer, impact))
+            parts = [(list(c), lack)]
+            if question != words and len(question) >= QUESTION:
+                parts.append((sorted(set(question)), absent(question, impact)))
+            for k, (terms, lack) in enumerate(parts):
+                own = sum(impact[w] for w in terms)
+                need = max(own - lack, min(impact[w] for w in terms)) - 1e-6 * own
+                if k == 0:
+                    self.whole.append((len(self.entries), need / own))
+                for w in terms:
+                    postings[w].append((len(self.entries), impact[w] / need))
+                self.entries.append(i)
         hashes = word_hashes([b" ".join(names)])[1] if names else np.zeros(0, np.uint64)
         order = np.argsort(hashes)
         self.vocabulary = hashes[order]
@@ -89,8 +132,9 @@ class Index:
         self.impacts = [[x for _, x in postings[names[k]]] for k in order]
         self.blocks = [[max(p[a : a + BLOCK]) for a in range(0, len(p), BLOCK)] for p in self.impacts]
         self.bound = np.array([max(p) for p in self.impacts] or [], np.float64)
-        width = max(1, -(-n // RANGES))
-        self.ranged = np.zeros((len(self.ids) + 1, -(-n // width) if n else 1), np.float32)  # a term's largest impact in each range
+        size = len(self.entries)
+        width = max(1, -(-size // RANGES))
+        self.ranged = np.zeros((len(self.ids) + 1, -(-size // width) if size else 1), np.float32)  # a term's largest impact in each range
         for t, (ids, impacts) in enumerate(zip(self.ids, self.impacts)):
             np.maximum.at(self.ranged[t], np.array(ids) // width, np.array(impacts, np.float32))
         longest = max((len(w) for _, w, *_ in self.items), default=1)
@@ -104,7 +148,7 @@ class Index:
         return np.where(self.vocabulary[at] == hashes, at, -1)
 
     def wand(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """Every (item, score) at or above threshold for a query of distinct terms."""
+        """Every (entry, score) at or above threshold for a query of distinct terms."""
         cursors = [[self.ids[t][0], t, 0] for t in terms]
         heapq.heapify(cursors)
         found = []
@@ -155,6 +199,17 @@ class Index:
             cursors = moved + cursors[pivot + 1 :]
         return found
 
+    def score(self, item: int, terms: list[int]) -> float:
+        """Share of the item's own score that a query of distinct terms reaches."""
+        entry, need = self.whole[item]
+        total = 0.0
+        for t in terms:
+            ids = self.ids[t]
+            p = bisect_left(ids, entry)
+            if p < len(ids) and ids[p] == entry:
+                total += self.impacts[t][p]
+        return total * need
+
     def leaks(self, texts: list[str | None]):
         """(text index, item, score, question share, answer share, first word) of all verified passages, best first."""
         data = [plain(t) for t in texts]
@@ -177,7 +232,7 @@ class Index:
         if not len(cut):
             return
         limit = np.concatenate([np.add.reduceat(self.ranged[own[a:b]], cut_ - a, axis=0).max(1) for a, b, cut_ in _pieces(cut, len(own))])
-        hot = np.flatnonzero(limit >= SCORE - 1e-4)
+        hot = np.flatnonzero(limit >= 1 - 1e-4)
         ends = np.append(cut, len(own))
         of = np.repeat(np.arange(len(data)), count)
         todo: dict[int, list] = {}
@@ -190,11 +245,12 @@ class Index:
             for start, query in some:
                 passage = words[start : start + self.passage]
                 have = None
-                for item, score in self.wand(query, SCORE):
+                for item in sorted({self.entries[e] for e, _ in self.wand(query, 1.0)}):
                     have = have or shingle_set(passage)
                     _, whole, question, answer = self.items[item]
-                    if share(whole, passage, have) >= OVERLAP:
-                        row = (score, share(question, passage, have), share(answer, passage, have), start)
+                    q, a = share(question, passage, have), share(answer, passage, have)
+                    if leaked(share(whole, passage, have), q, a, len(question)):
+                        row = (self.score(item, query), q, a, start)
                         best[item] = max(best.get(item, row), row)
             for item, row in sorted(best.items()):
                 yield i, self.items[item][0], *row

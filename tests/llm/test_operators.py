@@ -284,6 +284,47 @@ def test_leaks(spark, docs):
     assert want and want <= got and len(got - want) <= 0.1 * len(want)
 
 
+def test_question_and_answer_decide(spark):
+    """Leaks of the whole, of the question alone and with another answer; not of an answer or a short question alone."""
+    w = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    fill = w("fill", 60)
+    items = [(1, f"{w('qa', 25)}. {w('aa', 15)}."), (2, f"{w('qb', 25)}. {w('ab', 5)}."), (3, f"{w('qc', 5)}. {w('ac', 40)}."), (4, f"{w('qd', 4)}. {w('ad', 4)}."), (5, f"{w('qe', 9)}. {w('ae', 60)}.")]
+    texts = [
+        f"{fill} {w('qa', 25)}. {w('aa', 15)}. {fill}",  # whole
+        f"{fill} {w('qa', 25)}. {fill}", f"{w('qa', 25)}. {w('other', 15)}. {fill}", f"{fill} {w('aa', 15)}.",  # question, altered answer, answer
+        f"{fill} {w('qb', 25)} {fill}", f"{fill} {w('ab', 5)} {fill}", f"{fill} {w('qb', 12)} {w('ab', 5)} {fill}",  # question, answer, half a question and the answer
+        f"{fill} {w('ac', 40)} {fill}", f"{w('qc', 5)} {fill}",  # nearly all of the item is the answer; a short question
+        f"{w('qd', 4)} {fill}", f"{w('qd', 4)} {fill} {w('ad', 4)} {fill}", f"{fill} {w('qe', 9)} {fill}", f"{w('qe', 8)} {fill}",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = decontam.contaminated(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(0, 1), (1, 1), (2, 1), (4, 2), (7, 3), (10, 4), (11, 5), (12, 5)}
+    assert {r.doc_id for r in decontam.without_contaminated(docs, bench).collect()} == {3, 5, 6, 8, 9}
+    assert {r.doc_id: (r.question_overlap, r.answer_overlap) for r in rows if r.doc_id < 3} == {0: (1.0, 1.0), 1: (1.0, 0.0), 2: (1.0, 0.0)}
+
+
+def test_retrieval_loses_no_leak():
+    """Entries at the threshold against the rule applied to each item and passage."""
+    r = np.random.RandomState(3)
+    items = [(i, " ".join(f"v{k}" for k in r.zipf(1.4, n) % 500) + ". " + " ".join(f"v{k}" for k in r.zipf(1.4, m) % 500) + ".") for i, (n, m) in enumerate(r.randint(1, 30, (60, 2)))]
+    index = decontam.Index(items)
+    found = 0
+    for i, (_, whole, question, answer) in enumerate(index.items):
+        for _ in range(20):
+            passage = list(whole)
+            for _ in range(r.randint(0, 4)):
+                passage[r.randint(len(passage))] = b"zzz"
+            passage = passage[r.randint(3) :][: r.randint(1, len(whole) + 1)]
+            have = decontam.shingle_set(passage)
+            if not decontam.leaked(*(decontam.share(p, passage, have) for p in (whole, question, answer)), len(question)):
+                continue
+            found += 1
+            own = sorted({int(x) for x in index.terms(shingles.word_hashes([b" ".join(passage)])[1]) if x >= 0})
+            assert i in {index.entries[e] for e, _ in index.wand(own, 1.0)}
+    assert found > 100
+
+
 def test_mix_respects_targets(spark):
     rows = mixing.mixed(spark.read.parquet(f"{SF}/documents.parquet")).collect()
     assert all(0 <= r.taken <= 2 * r.size for r in rows)
