@@ -4,6 +4,12 @@ A text is cut into lines, and lines into sentences; a segment is normalised (low
 neither letters nor digits become one blank). The Dice coefficient 2 |A & B| / (|A| + |B|) of the sets of word bigrams
 of a segment and a licence template is reported when it reaches THRESHOLD.
 
+What segments cut apart is found by windows of words, which run across lines and sentences: windows of up to (2 - t) / t
+times a template's length are scored against the templates, where they cross an end of a segment, and against NOTICES,
+whole notices of several lines, wherever they are. All windows that can reach the threshold are scored: a best window
+begins and ends with a bigram of the template, and has at least t / (2 - t) of the template's. A whole notice names the
+licence before any template does. ORACLE_SQL states the part by segments only.
+
 Two bounds prune, and lose nothing. Size: Dice t needs |A| / |B| between t / (2 - t) and (2 - t) / t, so a template is
 a candidate only for segments of fitting size. Keys: at most 1 - t / (2 - t) of a template's bigrams can be missing from
 a segment that reaches t, so words that touch more of its bigrams than that cannot all be absent; texts and segments
@@ -40,6 +46,49 @@ TEMPLATES = (
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 )
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
+    "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+    "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+)
+_MIT_REST = (
+    " The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+    " THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+    "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_REST = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_GNU = (
+    "{0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation, "
+    "either version 3 of the License, or (at your option) any later version."
+)
+_GNU_REST = (
+    " {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+    "See the GNU {1} for more details. You should have received a copy of the GNU {1} along with {2}. If not, see <https://www.gnu.org/licenses/>."
+)
+_GPL, _LGPL = ("This program", "General Public License", "this program"), ("This library", "Lesser General Public License", "this library")
+_APACHE = (
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
+    "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+    "See the License for the specific language governing permissions and limitations under the License."
+)
+#: Whole notices of several lines or sentences, and their first sentences where these are longer than a template.
+NOTICES = (
+    ("MIT", _MIT), ("MIT", _MIT + _MIT_REST), ("BSD-3-Clause", _BSD + _BSD_NAMES + _BSD_REST), ("BSD-2-Clause", _BSD + _BSD_REST),
+    ("GPL-3.0", _GNU.format(*_GPL)), ("GPL-3.0", (_GNU + _GNU_REST).format(*_GPL)), ("LGPL-3.0", _GNU.format(*_LGPL)), ("LGPL-3.0", (_GNU + _GNU_REST).format(*_LGPL)),
+    ("Apache-2.0", _APACHE), ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+)
 RUN = r"[^\p{L}\p{N}]+"
 
 
@@ -69,26 +118,52 @@ def key_words(templates, threshold: float) -> list[str]:
     return sorted(keys)
 
 
-def licences(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, license_id, dice, hits: for each row of docs with a hit, its best licence and how many segments hit any."""
-    keys = "|".join(key_words(templates, threshold))
-    some = rf"(?iu)(?<![\p{{L}}\p{{N}}])(?:{keys})(?![\p{{L}}\p{{N}}])"
-    t = narrow(docs, "doc_id", "text").where(F.col("text").rlike(some)).select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
-    segment = t.select("doc_id", "row", F.explode(F.split("text", r"\n+|(?<=[.!?;])\s+")).alias("s")).where(F.col("s").rlike(some))
-    w = segment.select("doc_id", "row", F.split(F.trim(F.regexp_replace(F.lower("s"), RUN, " ")), " ").alias("w"))
-    grams = F.expr("array_distinct(if(size(w) > 1, transform(sequence(1, size(w) - 1), i -> concat(get(w, i - 1), ' ', get(w, i))), cast(array() as array<string>)))")
-    g = w.where(F.size("w") > 1).select("doc_id", "row", grams.alias("g")).withColumn("n", F.size("g"))
+def best_window(text: str, threshold: float, across: bool):
+    """Largest Dice coefficient of a template and a window of bigrams g (of words of segments p); null if none can reach
+    threshold. across: only windows that cross an end of a segment."""
+    own = bigrams_of(text)
+    m, need = len(own), int(-(-len(own) * threshold / (2 - threshold) // 1))
+    limit = int((len(words_of(text)) - 1) * (2 - threshold) / threshold)
+    a = "array(" + ", ".join(f"'{x}'" for x in own) + ")"
+    part = "slice(g, i + 1, j - i + 1)"
+    crosses = " and p[i] <> p[j + 1]" if across else ""
+    ends = f"filter(slice(h, r + {need}, {max(1, limit - need + 1)}), j -> j - i < {limit}{crosses})"
+    dice = f"transform({ends}, j -> 2.0D * size(array_intersect({part}, {a})) / (size(array_distinct({part})) + {m}))"
+    places = f"filter(transform(g, (x, i) -> if(array_contains({a}, x), i, null)), i -> i is not null)"
+    return F.expr(f"if(size(array_intersect(g, {a})) >= {need}, transform(array({places}), h -> array_max(flatten(transform(h, (i, r) -> {dice}))))[0], null)")
+
+
+def licences(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, notices=NOTICES) -> DataFrame:
+    """doc_id, license_id, dice, hits: for each row of docs with a hit, its best licence and how many segments hit any
+    template (0 when the licence is only found across segments)."""
+    keys = [key_words(x, threshold) for x in (templates, notices)]
+    some, any_ = (rf"(?iu)(?<![\p{{L}}\p{{N}}])(?:{'|'.join(sorted(set(k)))})(?![\p{{L}}\p{{N}}])" for k in (keys[0], keys[0] + keys[1]))
+    t = narrow(docs, "doc_id", "text").where(F.col("text").rlike(any_)).select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.split("text", r"\n+|(?<=[.!?;])\s+").alias("s"))
+    # a row for each segment and one for the whole text
+    each = t.select("doc_id", "row", F.explode(F.expr("concat(transform(s, x -> struct(false as whole, array(x) as s)), array(struct(true as whole, s as s)))")).alias("e")).select("doc_id", "row", "e.whole", "e.s")
+    each = each.where(F.col("whole") | F.element_at("s", 1).rlike(some))
+    w = each.select("doc_id", "row", "whole", F.transform("s", lambda x: F.filter(F.split(F.trim(F.regexp_replace(F.lower(x), RUN, " ")), " "), lambda y: y != "")).alias("w"))
+    w = w.select("doc_id", "row", "whole", F.flatten("w").alias("w"), F.when(F.col("whole"), F.flatten(F.transform("w", lambda x, k: F.array_repeat(k, F.size(x))))).alias("p"))
+    grams = F.expr("transform(sequence(1, size(w) - 1), i -> concat(get(w, i - 1), ' ', get(w, i)))")
+    g = w.where(F.size("w") > 1).select("doc_id", "row", "whole", "p", grams.alias("g"))
+    g = g.select("doc_id", "row", "whole", "p", F.when(F.col("whole"), F.col("g")).otherwise(F.array_distinct("g")).alias("g")).withColumn("n", F.size("g"))
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    scores = []
-    for k, (_, text) in enumerate(templates):
-        own = bigrams_of(text)
-        fits = F.col("n").between(int(-(-len(own) * low // 1)), int(len(own) * high))
-        both = F.size(F.array_intersect("g", F.array(*[F.lit(x) for x in own])))
-        dice = F.when(fits, F.lit(2.0) * both / (F.col("n") + F.lit(len(own))))
-        scores.append(F.struct(F.coalesce(dice, F.lit(0.0)).alias("dice"), F.lit(-k).alias("k")))
-    best = g.select("doc_id", "row", F.greatest(*scores).alias("b")).where(F.col("b.dice") >= threshold)
-    names = F.array(*[F.lit(i) for i, _ in templates])
-    found = best.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("b").alias("b"), F.count("*").alias("hits"))
+    scores, windows = [], []
+    for k, (_, text) in enumerate((*templates, *notices)):
+        notice = k >= len(templates)
+        score = lambda dice: F.struct(F.lit(int(notice)).alias("notice"), F.coalesce(F.when(dice >= threshold, dice), F.lit(0.0)).alias("dice"), F.lit(-k).alias("k"))  # noqa: B023, E731
+        windows.append(score(best_window(text, threshold, across=not notice)))
+        if not notice:
+            own = bigrams_of(text)
+            fits = F.col("n").between(int(-(-len(own) * low // 1)), int(len(own) * high))
+            both = F.size(F.array_intersect("g", F.array(*[F.lit(x) for x in own])))
+            scores.append(score(F.when(fits, F.lit(2.0) * both / (F.col("n") + F.lit(len(own))))))
+    best = lambda x: F.array_max(F.filter(F.array(*x), lambda b: b.dice > 0))
+    b = F.when(F.col("whole"), best(windows)).otherwise(best(scores))
+    # no filter by b before the aggregate: pushed down, it would repeat the expressions below it for each template
+    scored = g.select("doc_id", "row", "whole", b.alias("b"))
+    names = F.array(*[F.lit(i) for i, _ in (*templates, *notices)])
+    found = scored.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("b").alias("b"), F.count(F.when(~F.col("whole") & F.col("b").isNotNull(), 1)).alias("hits")).where("b is not null")
     return found.select("doc_id", F.element_at(names, 1 - F.col("b.k")).alias("license_id"), F.round("b.dice", 9).alias("dice"), "hits")
 
 

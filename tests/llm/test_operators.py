@@ -187,6 +187,44 @@ def test_key_words_cover_templates():
         assert sum(bool(keys & set(g.split())) for g in grams) > len(grams) * (1 - 0.8 / 1.2) - 1e-9
 
 
+def test_wrapped_notices(spark):
+    """Notices that lines and sentences cut apart: wrapped, commented, amid other text."""
+    import textwrap
+
+    fill = "\n".join("Some other words about this and that stand here, line after line." for _ in range(30))
+    condition = dict((i, x) for i, x in licenses.TEMPLATES if i == "BSD-3-Clause")["BSD-3-Clause"]
+    texts, want = [], {}
+    for wanted, notice in (*licenses.NOTICES, ("BSD-3-Clause", condition), ("GPL-3.0", licenses._GNU.format("Skyloom", "General Public License", ""))):
+        for lead in ("", " * ", "# "):
+            want[len(texts)] = wanted
+            texts.append(f"{fill}\n" + "\n".join(lead + x for x in textwrap.wrap(notice, 72)) + f"\n{fill}")
+    texts += [fill, fill + "\n".join(licenses._MIT.split()[:10]), " ".join(sorted(set(licenses.words_of(licenses._BSD))))]  # no licence, a part of one, its words in disorder
+    got = {r.doc_id: r for r in licenses.licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {i: r.license_id for i, r in got.items()} == want
+    assert all(r.dice >= 0.8 for r in got.values())
+
+
+def test_best_window_is_the_best(spark):
+    """Windows against all windows of random texts."""
+    r = np.random.RandomState(4)
+    own = [f"k{i}" for i in range(14)]
+    texts = []
+    for _ in range(40):
+        w = [f"k{i}" for i in r.randint(0, 14, 10)] + own[r.randint(3) :] + own[: r.randint(14)]
+        for i in r.randint(0, len(w), r.randint(0, 4)):
+            w.insert(i, str(r.choice(["x", "k3"])))
+        texts.append(" ".join(w))
+    m = set(zip(own, own[1:]))
+
+    def brute(t):
+        b = list(zip(t.split(), t.split()[1:]))
+        return max(2 * len(m & set(b[i:j])) / (len(m) + len(set(b[i:j]))) for i in range(len(b)) for j in range(i + 1, min(len(b), i + int(13 * 1.5)) + 1))
+
+    rows = spark.createDataFrame([(i, [f"{a} {b}" for a, b in zip(t.split(), t.split()[1:])], t) for i, t in enumerate(texts)], "i int, g array<string>, t string")
+    got = [(brute(x.t), x.d or 0.0) for x in rows.withColumn("d", licenses.best_window(" ".join(own), 0.8, False)).collect()]
+    assert all((b < 0.8 and d < 0.8) or abs(b - d) < 1e-9 for b, d in got) and sum(b >= 0.8 for b, _ in got) > 5
+
+
 def test_languages(spark):
     got = {r.doc_id: r for r in queries.op6_language(spark, SF).collect()}
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
