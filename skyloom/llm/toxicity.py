@@ -1,7 +1,7 @@
 """Operator 9: toxicity by compression distance.
 
-Two zstandard dictionaries are learned from labelled rows: one holds the frequent words of the text; the other
-the same words and, after them, the strings (words and beginnings of words) that toxic texts hold more often, by
+Two zstandard dictionaries are learned from labelled rows: one holds the WORDS most frequent words of the text
+(none as it stands, so blanks only); the other the same and, after them, at most STRINGS strings (words and beginnings of words) that toxic texts hold more often, by
 log-odds. A text is cut at white space into windows of about WINDOW bytes that cover all of it, and each window is
 compressed with either dictionary. What the toxic dictionary saves, window by window, gives a few sums, and a logistic
 curve fitted on cross-fitted training rows turns these into a probability.
