@@ -12,7 +12,7 @@ first class (by a hash that differs from band to band) is the pivot, and all oth
 are verified against it by exact multiset overlap. Buckets that then still hold several components are worked off:
 members outside of the pivot's component are compared with the members of other components. Distance 1 - J is a metric,
 so only those within 1 - T of each other's distance to the pivot can be linked; large buckets are compared block by block
-inside tasks, from which only links leave. No link is lost, and a large group of near copies, which the pivots of
+inside tasks, from which only links leave. No component is lost, and a large group of near copies, which the pivots of
 several bands connect, costs a few comparisons a member.
 
 Components of the links come from repeated minimum labels and pointer jumping, each round written to the shared folder.
@@ -290,7 +290,9 @@ def _grouped(docs: DataFrame, threshold: float, digests: bool) -> tuple[DataFram
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (least doc_id of its group), copies (rows with an equal multiset), links: a row for each row of docs.
 
-    links counts the other classes that a row's class is linked to directly among the verified links. class_id is null
+    links counts the other classes that a row's class is linked to directly among the verified links;
+    pairs that are in one component already are not verified, so it says how a group was connected, not all links in it.
+    class_id is null
     for a group whose rows all have a null doc_id, and groups that hold different texts of one doc_id can share it.
     """
     rows, classes = _grouped(docs, threshold, False)
