@@ -2,8 +2,9 @@
 
 Bytes are embedded; filters of WIDTH bytes slide over them in steps of STRIDE; their largest responses in overlapping
 chunks, which cover the whole text, are rectified, and the mean and the maximum over the chunks together with a few
-linear weights give one probability. Embedding, filters and weights are learned by Adam on at most SAMPLE labelled
-rows, in hash order of doc_id; all rows are scored, whole, in blocks of bounded memory.
+linear weights give one probability. Past its end every text is followed by blanks, so a score depends on nothing but
+the text. Embedding, filters and weights are learned by Adam on at most SAMPLE labelled rows, in hash order of doc_id;
+training and scoring read whole texts, in pieces of bounded memory.
 
 Edge cases: null and empty texts are one chunk of padding; a null doc_id never trains and counts as not held out;
 without labels of both kinds the score is the share of label 1 (0.5 without labels); an empty table gives an empty
@@ -25,8 +26,8 @@ EMBED, WIDTH, STRIDE, FILTERS = 8, 8, 4, 32
 #: Positions in a pooling block, blocks in a chunk; neighbouring chunks share one block.
 BLOCK, CHUNK = 16, 9
 SAMPLE, EPOCHS, RATE, BATCH = 3000, 6, 0.01, 32
-#: Bytes of texts that are scored at once; longer texts are scored in pieces of this size.
-SLICE = 1 << 20
+#: Bytes of texts that are worked on at once; longer texts are worked on in pieces of this size.
+SLICE = 1 << 18
 PAD = BLOCK * STRIDE
 
 
@@ -47,12 +48,40 @@ def padded(data: bytes) -> np.ndarray:
     return np.frombuffer(data.ljust(n, b" "), np.uint8)
 
 
-def responses(m: dict, x: np.ndarray) -> np.ndarray:
-    """Filter responses at each step over bytes x, whose last filter sees blanks."""
-    e = m["emb"][np.concatenate([x, np.full(WIDTH - STRIDE, 32, np.uint8)])].reshape(-1, STRIDE * EMBED)
-    n = len(x) // STRIDE
+def responses(m: dict, x: np.ndarray, ends: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """Filter responses at each step over bytes x. The last filter of each stretch, which ends with a step in `ends`,
+    sees `tail` (WIDTH - STRIDE bytes for each stretch) in place of the stretch that happens to follow."""
     half = STRIDE * EMBED
-    return e[:n] @ m["conv"][:half] + e[1 : n + 1] @ m["conv"][half:]
+    e = m["emb"][x].reshape(-1, half)
+    after = np.empty_like(e)
+    after[:-1] = e[1:]
+    after[ends] = m["emb"][tail].reshape(-1, half)
+    return e @ m["conv"][:half] + after @ m["conv"][half:]
+
+
+def block_tops(m: dict, texts: list[bytes]) -> list[np.ndarray]:
+    """Largest responses in each pooling block of each text, which fit into memory together."""
+    x = [padded(t) for t in texts]
+    steps = np.array([len(p) // STRIDE for p in x])
+    tops = responses(m, np.concatenate(x), np.cumsum(steps) - 1, np.full((len(x), WIDTH - STRIDE), 32, np.uint8)).reshape(-1, BLOCK, FILTERS).max(1)
+    return np.split(tops, np.cumsum(steps // BLOCK)[:-1])
+
+
+def pieces(t: bytes):
+    """(first step, bytes, what follows them) of a text, in pieces of SLICE bytes."""
+    step = max(1, SLICE // PAD) * PAD
+    for a in range(0, max(1, len(t)), step):
+        yield a // STRIDE, padded(t[a : a + step]), np.frombuffer(t[a + step : a + step + WIDTH - STRIDE].ljust(WIDTH - STRIDE, b" "), np.uint8)
+
+
+def long_tops(m: dict, t: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Largest responses in each pooling block of one text of any length, and the steps they are at."""
+    tops, where = [], []
+    for first, x, tail in pieces(t):
+        r = responses(m, x, np.array([len(x) // STRIDE - 1]), tail[None]).reshape(-1, BLOCK, FILTERS)
+        tops.append(r.max(1))
+        where.append(r.argmax(1) + (first + np.arange(len(r)) * BLOCK)[:, None])
+    return np.concatenate(tops), np.concatenate(where)
 
 
 def chunks_of(blocks: int) -> list[tuple[int, int]]:
@@ -68,40 +97,18 @@ def chunks_of(blocks: int) -> list[tuple[int, int]]:
 def pooled(m: dict, texts: list[bytes]) -> np.ndarray:
     """Mean and maximum over chunks of rectified chunk maxima: a row for each text."""
     out = np.zeros((len(texts), 2 * FILTERS), "f4")
-    group: list[int] = []
-    size = 0
-
-    def flush():
-        x = [padded(texts[i]) for i in group]
-        tops = responses(m, np.concatenate(x)).reshape(-1, BLOCK, FILTERS).max(1)
-        at = 0
-        for i, part in zip(group, x):
-            n = len(part) // PAD
-            out[i] = combine(m, tops[at : at + n])
-            at += n
-
-    for i, t in enumerate(texts):
-        if len(t) > SLICE:  # its blocks come piece by piece
-            step = SLICE // PAD * PAD
-            tops = np.concatenate([long_blocks(m, t, a, min(len(t), a + step)) for a in range(0, len(t), step)])
+    a = 0
+    while a < len(texts):
+        b, size = a, 0
+        while b < len(texts) and (b == a or size + len(texts[b]) <= SLICE):
+            size += len(texts[b])
+            b += 1
+        for i, tops in zip(range(a, b), block_tops(m, texts[a:b]) if size <= SLICE else [long_tops(m, texts[a])[0]]):
             out[i] = combine(m, tops)
-            continue
-        group.append(i)
-        size += len(t)
-        if size >= SLICE:
-            flush()
-            group, size = [], 0
-    if group:
-        flush()
+        a = b
     return out
 
 
-def long_blocks(m: dict, t: bytes, a: int, b: int) -> np.ndarray:
-    x = padded(t[a:b])
-    tops = responses(m, np.concatenate([x, padded(t[b : b + PAD])]))[: len(x) // STRIDE]
-    return tops.reshape(-1, BLOCK, FILTERS).max(1)
-
-
 def combine(m: dict, blocks: np.ndarray) -> np.ndarray:
     starts = [a for a, _ in chunks_of(len(blocks))]
     top = np.maximum.reduceat(blocks, starts, axis=0)
@@ -117,11 +124,8 @@ def probabilities(m: dict, texts: list[bytes]) -> np.ndarray:
 
 def gradients(m: dict, text: bytes, y: int) -> dict[str, np.ndarray]:
     """Gradient of the log loss for one text."""
-    x = padded(text)
-    r = responses(m, x)
-    blocks = r.reshape(-1, BLOCK, FILTERS)
-    top, arg = blocks.max(1), blocks.argmax(1) + np.arange(len(blocks))[:, None] * BLOCK
-    spans = chunks_of(len(blocks))
+    top, arg = long_tops(m, text)
+    spans = chunks_of(len(top))
     pre = np.array([top[a:b].max(0) for a, b in spans]) + m["bias"]
     where = np.array([arg[a:b][top[a:b].argmax(0), np.arange(FILTERS)] for a, b in spans])
     c = np.maximum(pre, 0)
@@ -136,7 +140,7 @@ def gradients(m: dict, text: bytes, y: int) -> dict[str, np.ndarray]:
     rows, inverse = np.unique(where, return_inverse=True)
     dr = np.zeros((len(rows), FILTERS), "f4")
     np.add.at(dr, (inverse.reshape(where.shape), np.arange(FILTERS)[None].repeat(len(c), 0)), dc)
-    seen = np.concatenate([x, np.full(WIDTH, 32, np.uint8)])[rows[:, None] * STRIDE + np.arange(WIDTH)]
+    seen = np.concatenate([padded(text), np.full(WIDTH, 32, np.uint8)])[rows[:, None] * STRIDE + np.arange(WIDTH)]
     e = m["emb"][seen].reshape(len(rows), -1)
     g["conv"] = e.T @ dr
     g["emb"] = np.zeros_like(m["emb"])
@@ -151,7 +155,7 @@ def fit(rows: list[tuple[int, str, int]], epochs: int = EPOCHS, seed: int = 7) -
     if len(set(y)) < 2:
         share = sum(y) / len(y) if y else 0.5
         return m | {"out": np.zeros(2 * FILTERS, "f4"), "zero": np.array([np.log((share + 1e-6) / (1 - share + 1e-6))], "f4")}
-    data = [(t.encode("utf-8", "replace")[: SLICE], k) for _, t, k in rows]
+    data = [(t.encode("utf-8", "replace"), k) for _, t, k in rows]
     r = np.random.default_rng(seed)
     first, second, step = {k: np.zeros_like(v) for k, v in m.items()}, {k: np.zeros_like(v) for k, v in m.items()}, 0
     for epoch in range(epochs):
