@@ -6,7 +6,10 @@ to date by one increment and one decrement, from which the Shannon entropy follo
 above the class's threshold makes the candidate a span, unless the allow-list knows it.
 
 Positions come from the text between matches: split() gives the pieces around the matches that regexp_extract_all()
-gives, and running sums of both lengths give start and end in code points.
+gives, and running sums of both lengths give start and end in code points. Most texts have neither an assignment nor a run
+of WINDOW characters, which two cheap tests tell; the others are split once for each pattern.
+
+Counts are kept in a few 64-bit words, COUNTERS to a word, so a step of the window costs the same for any alphabet.
 
 Edge cases: a null text counts as empty and has no spans; base_sha256 and spans of a text without spans are those of
 the empty string; each row of an id that repeats is scanned by itself; an empty table gives an empty result.
@@ -14,6 +17,8 @@ the empty string; each row of an id that repeats is scanned by itself; an empty
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +33,7 @@ KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 #: Character classes: name, a run of its characters, what the run must have, bits a character.
 CLASSES = (
-    ("base64", r"[A-Za-z0-9+/_-]{20,}={0,2}", r"(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])", 3.8),
+    ("base64", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}", r"(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])", 3.8),
     ("hex", r"(?<![A-Za-z0-9])[0-9A-Fa-f]{20,}(?![A-Za-z0-9])", r"(?=.*[0-9])(?=.*[A-Fa-f])", 3.0),
 )
 #: Allow-list: strings that look random but are no secrets.
@@ -41,48 +46,65 @@ ALLOWED = (
 )
 
 
+SPAN = "struct<s:int,e:int,k:int>"
+#: Counts of 5 bits in a word; characters of candidates lie between FIRST and FIRST + COUNTERS * COUNTED.
+COUNTERS, COUNTED, FIRST = 12, 7, ord("+")
+LONG_RUN = rf"[A-Za-z0-9+/_-]{{{WINDOW}}}"
+
+
+def bind(value, body):
+    """body(value) with value computed once: a lambda's argument is a value, a column in its body would be an expression."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def spans_of(text, pattern: str, kind: str, accept):
     """array<struct<s,e,k>>: matches of pattern for which accept(match) holds, with positions in code points."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
     k = KINDS.index(kind)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,k:int>>").alias("out"))
+    none = F.array().cast(f"array<{SPAN}>")
 
-    def step(acc, i):
-        s = acc["at"] + F.length(F.get(gaps, i))
-        m = F.get(hits, i)
-        e = s + F.length(m)
+    def step(acc, m):
+        s = acc["at"] + F.length(m["gap"])
+        e = s + F.length(m["hit"])
         one = F.array(F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"), F.lit(k).alias("k")))
-        return F.struct(e.cast("int").alias("at"), F.when(accept(m), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        return F.struct(e.cast("int").alias("at"), F.when(accept(m["hit"]), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    found = F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), start, step, lambda a: a["out"])
-    none = F.array().cast("array<struct<s:int,e:int,k:int>>")
-    return F.when(F.size(hits) > 0, found).otherwise(none)
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    # a gap before each hit and one after the last, which zipping leaves without a hit
+    pairs = F.zip_with(F.split(text, pattern, -1), hits, lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    return F.aggregate(F.filter(pairs, lambda p: p["hit"].isNotNull()), start, step, lambda a: a["out"])
 
 
 def window_entropy(s):
     """Largest Shannon entropy, in bits a character, of a window of WINDOW characters of s."""
-    chars = F.split(s, "")
-    count = lambda m, c: F.coalesce(F.element_at(m, c), F.lit(0))
-    term = lambda n: F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
-    begin = F.struct(F.expr("map_from_arrays(cast(array() as array<string>), cast(array() as array<int>))").alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+    terms = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(WINDOW + 2)])
+    ones = F.array(*[F.lit(1 << 5 * k).cast("long") for k in range(COUNTERS)])
+    word, one = lambda c: F.floor(c / COUNTERS).cast("int"), lambda c: F.get(ones, c % COUNTERS)
+    count = lambda w, c: (F.floor(F.get(w, word(c)) / one(c)) % 32).cast("int")
+    term = lambda n: F.get(terms, n)
+    begin = F.struct(F.array_repeat(F.lit(0).cast("long"), COUNTED).alias("w"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+
+    def add(w, c, sign: int):
+        return F.transform(w, lambda v, k: F.when(k == word(c), v + sign * one(c)).otherwise(v))
+
+    def change(acc, i, c, old):
+        """State after the character c comes in and, past the first window, `old` goes out."""
+        full = i >= WINDOW
+        w = F.when(full, add(acc["w"], old, -1)).otherwise(acc["w"])
+        less = F.when(full, term(count(acc["w"], old)) - term(count(acc["w"], old) - 1)).otherwise(F.lit(0.0))
+
+        def put(w):
+            n = count(w, c)
+            total = acc["sum"] - less - term(n) + term(n + 1)
+            entropy = F.when(i >= WINDOW - 1, F.greatest(acc["best"], F.lit(math.log2(WINDOW)) - total / WINDOW)).otherwise(acc["best"])
+            return F.struct(add(w, c, 1).alias("w"), total.alias("sum"), entropy.alias("best"))
 
-    def put(m, c, n):
-        return F.map_concat(F.map_filter(m, lambda k, _: k != c), F.create_map(c, n.cast("int")))
+        return bind(w, put)
 
-    def step(acc, i):
-        c, old = F.get(chars, i), F.get(chars, i - WINDOW)
-        has = i >= WINDOW
-        less = count(acc["n"], old)
-        n1 = F.when(has, put(acc["n"], old, less - 1)).otherwise(acc["n"])
-        s1 = F.when(has, acc["sum"] - term(less) + term(less - 1)).otherwise(acc["sum"])
-        more = count(n1, c)
-        s2 = s1 - term(more) + term(more + 1)
-        entropy = F.lit(float(WINDOW)) 
-        entropy = F.log2(F.lit(float(WINDOW))) - s2 / F.lit(float(WINDOW))
-        return F.struct(put(n1, c, more + 1).alias("n"), s2.alias("sum"), F.when(i >= WINDOW - 1, F.greatest(acc["best"], entropy)).otherwise(acc["best"]).alias("best"))
+    def best(codes):
+        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), begin, lambda acc, i: change(acc, i, F.get(codes, i), F.get(codes, i - WINDOW)), lambda a: a["best"])
 
-    return F.aggregate(F.sequence(F.lit(0), F.length(s) - 1), begin, step, lambda a: a["best"])
+    return bind(F.transform(F.split(s, ""), lambda c: F.ascii(c) - FIRST), best)
 
 
 def joined(spans):
@@ -91,19 +113,21 @@ def joined(spans):
 
 def secrets(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_entropy, base_sha256, spans: one row for each row of docs(doc_id, text)."""
-    t = narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    none = F.array().cast("array<struct<s:int,e:int,k:int>>")
-    assign = F.when(F.col("t").rlike(ASSIGN), spans_of(F.col("t"), ASSIGN, "assign", lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6)).otherwise(none)
-    access = F.when(F.col("t").contains("AKIA"), spans_of(F.col("t"), ACCESS, "access", lambda m: F.length(m) >= 20)).otherwise(none)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    t = narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"))
+    col = F.col("t")
+    none = F.array().cast(f"array<{SPAN}>")
+    assign = F.when((col.contains("=") | col.contains(":")) & col.rlike(ASSIGN), spans_of(col, ASSIGN, "assign", lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6)).otherwise(none)
     long_hex = HEX[:-1] + "{24,}"  # runs do not overlap, so those of 24 or more are the same as all runs, then dropped
-    hexes = F.when(F.col("t").rlike(long_hex), spans_of(F.col("t"), long_hex, "hex", lambda m: F.length(m) >= 24)).otherwise(none)
     allowed = "|".join(f"(?:{a})" for a in ALLOWED)
     added = []
     for _, run, needs, bits in CLASSES:
-        ok = lambda m, needs=needs, bits=bits: m.rlike("^" + needs) & ~m.rlike(allowed) & (F.when(m.rlike("^" + needs) & ~m.rlike(allowed), window_entropy(m)).otherwise(0.0) >= bits)
-        # texts without a digit near a long run have none: a cheap test before the costly one
-        added.append(F.when(F.col("t").rlike(r"[A-Za-z0-9+/_-]{20}") & F.col("t").rlike(run), spans_of(F.col("t"), run, "entropy", ok)).otherwise(none))
-    s = t.select("doc_id", assign.alias("a"), access.alias("c"), hexes.alias("h"), F.array_distinct(F.concat(*added)).alias("x"))
+        ok = lambda m, needs=needs, bits=bits: F.when(m.rlike("^" + needs) & ~m.rlike(allowed), window_entropy(m) >= bits).otherwise(F.lit(False))
+        added.append(spans_of(col, run, "entropy", ok))
+    # access keys, long hexadecimal numbers and candidates all are runs of WINDOW characters or more
+    long_run = F.struct(spans_of(col, ACCESS, "access", lambda m: F.length(m) >= 20).alias("c"), spans_of(col, long_hex, "hex", lambda m: F.length(m) >= 24).alias("h"), F.array_distinct(F.concat(*added)).alias("x"))
+    found = t.select("doc_id", assign.alias("a"), F.when(col.rlike(LONG_RUN), long_run).otherwise(F.struct(none.alias("c"), none.alias("h"), none.alias("x"))).alias("f"))
+    s = found.select("doc_id", "a", "f.c", "f.h", "f.x")
     base = F.array_sort(F.concat("a", "c", "h"), lambda p, q: F.when(p["s"] != q["s"], p["s"] - q["s"]).otherwise(p["k"] - q["k"]))
     every = F.array_sort(F.concat("a", "c", "h", "x"), lambda p, q: F.when(p["s"] != q["s"], p["s"] - q["s"]).otherwise(p["k"] - q["k"]))
     return s.select(
