@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch handed to Python; bounds a worker's memory with long texts.
-ARROW_ROWS = 1000
-LOCAL_SCRATCH = "/tmp/checkpoints"
+#: Rows and bytes of an Arrow batch handed to Python; they bound a worker's memory with long texts.
+ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,15 +18,28 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small: texts can be very long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Keep Arrow batches small: texts can be very long.
+
+    Spark reads these two settings when a query runs, after the operator has returned, so they stay as they are put here;
+    smaller values of the session are left alone.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = str(spark.conf.get(key)).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or LOCAL_SCRATCH
+    """A fresh path in the folder that driver and executors share.
+
+    Only a session in which everything runs in one process may go without such a folder; it gets one in the driver's
+    temporary folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = os.path.join(tempfile.gettempdir(), "checkpoints")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

@@ -7,13 +7,15 @@ a text when its level lies below the shingle's count there. A register keeps the
 on it, so two texts agree in a register with probability equal to their weighted Jaccard similarity. The processes run
 only to a time that all registers are expected to be filled by, and longer for the few texts where one is not.
 
-Candidates. Texts with equal multisets are one class. BANDS bands of ROWS registers give buckets. In each bucket the
-first class (by a hash that differs from band to band) is the pivot, and all others that are not yet in its component
-are verified against it by exact multiset overlap. Buckets that then still hold several components are worked off:
-members outside of the pivot's component are compared with the members of other components. Distance 1 - J is a metric,
-so only those within 1 - T of each other's distance to the pivot can be linked; large buckets are compared block by block
-inside tasks, from which only links leave. No component is lost, and a large group of near copies, which the pivots of
-several bands connect, costs a few comparisons a member.
+Candidates. Texts with equal multisets are one class, named by 128 bits of a digest. BANDS bands of ROWS registers give
+buckets. In each bucket the first class (by a hash that differs from band to band) is the pivot, and all others that are
+not yet in its component are verified against it by exact multiset overlap. Buckets that then still hold several
+components are worked off inside tasks, from which only links leave: a bucket's classes are cut into blocks by the size of
+their sets, and a task compares members outside of the pivot's component with the members of other components, a pair of
+blocks at a time. Distance 1 - J is a metric, so only those within 1 - T of each other's distance to the pivot can be
+linked. No component is lost, and a large group of near copies, which the pivots of several bands connect, costs a few
+comparisons a member. Overlaps are counted on 32 bits of each shingle's hash: two different shingles of a pair of texts of
+n words agree by chance with n^2 / 2^32, each of which shifts the similarity by less than 1 / n.
 
 Components of the links come from repeated minimum labels and pointer jumping, each round written to the shared folder.
 
@@ -38,12 +40,11 @@ from skyloom.llm.shingles import mix, multisets, shingle_hashes, words_of
 
 REGISTERS, BANDS, ROWS = 64, 16, 4
 THRESHOLD = 0.8
-#: Members of a bucket up to which those of different components are paired; larger ones go block by block.
-SMALL = 64
-BLOCK = 256
+#: Distinct shingles of the sets of a block, on average; two blocks are compared at a time.
+BLOCK = 1 << 17
 #: Bands that are worked on together; what one step connects, the next need not compare.
 STEPS = ((0, 4), (4, BANDS))
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 17
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -104,32 +105,31 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return z
 
 
-ROW_SCHEMA = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("cls", pa.int64()), ("bands", pa.list_(pa.int64())), ("hashes", pa.binary()), ("counts", pa.binary())])
+ROW_SCHEMA = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("cls", pa.binary()), ("bands", pa.list_(pa.int64())), ("hashes", pa.binary()), ("counts", pa.binary())])
 
 
 def _prepare(batches):
     """doc_id, digest of the text, class digest, band keys and the multiset (32-bit hashes, ascending, and counts)."""
     for b in batches:
-        ids, texts, md5 = b.column(0), [words_of(t) for t in b.column(1).to_pylist()], b.column(2)
-        a = 0
-        while a < len(texts):
-            e, size = a, 0
-            while e < len(texts) and (e == a or size + len(texts[e]) < SLICE_BYTES):
-                size += len(texts[e])
+        a, rows = 0, b.column(1)
+        while a < len(rows):
+            e, size, texts = a, 0, []
+            while e < len(rows) and (e == a or size < SLICE_BYTES):
+                texts.append(words_of(rows[e].as_py()))
+                size += len(texts[-1])
                 e += 1
             n = e - a
-            doc, h, c = multisets(*shingle_hashes(texts[a:e]), n)
+            doc, h, c = multisets(*shingle_hashes(texts), n)
             keys = band_keys(signatures(doc, h, c, n)).astype(np.int64)
             cut = np.searchsorted(doc, np.arange(n + 1))
             small = (h >> np.uint64(32)).astype(np.uint32)
             cls, hashes, counts = [], [], []
             for i in range(n):
                 s, k = small[cut[i] : cut[i + 1]], c[cut[i] : cut[i + 1]].astype(np.uint32)
-                full = h[cut[i] : cut[i + 1]].tobytes() + k.tobytes()
-                cls.append(int.from_bytes(hashlib.blake2b(full, digest_size=8).digest(), "little", signed=True))
+                cls.append(hashlib.blake2b(h[cut[i] : cut[i + 1]].tobytes() + k.tobytes(), digest_size=16).digest())
                 hashes.append(s.tobytes())
                 counts.append(b"" if (k == 1).all() else k.tobytes())
-            yield pa.RecordBatch.from_arrays([ids[a:e], md5[a:e], pa.array(cls, pa.int64()), pa.array(list(keys), pa.list_(pa.int64())), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], schema=ROW_SCHEMA)
+            yield pa.RecordBatch.from_arrays([b.column(0)[a:e], b.column(2)[a:e], pa.array(cls, pa.binary()), pa.array(list(keys), pa.list_(pa.int64())), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], schema=ROW_SCHEMA)
             a = e
 
 
@@ -180,63 +180,98 @@ def with_labels(rows: DataFrame, labels: DataFrame | None, node: str, name: str)
     return rows.join(labels.select(F.col("node").alias(node), F.col("label").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
 
 
-def block_links(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links between the two sides of a block: overlaps of all pairs by matrix products, of which only links leave."""
-    a, b = (rows[rows.side == k] for k in (0, 1))
-    out = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "j": np.zeros(0)})
-    if not len(a) or not len(b):
-        return out
-
-    def entries(side):
-        """(row, shingle and level) for each unit of weight."""
-        h = [np.frombuffer(x, np.uint32).astype(np.uint64) for x in side.hashes]
-        c = [np.frombuffer(x, np.uint32).astype(np.int64) if x else np.ones(len(y), np.int64) for x, y in zip(side.counts, h)]
-        n = np.concatenate(c)
-        who = np.repeat(np.repeat(np.arange(len(side)), [len(x) for x in h]), n)
-        level = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return who, (np.repeat(np.concatenate(h), n) << np.uint64(24)) | np.minimum(level, (1 << 24) - 1).astype(np.uint64)
-
-    (ra, ca), (rb, cb) = entries(a), entries(b)
-    wa, wb = np.bincount(ra, minlength=len(a)), np.bincount(rb, minlength=len(b))
-    both = np.intersect1d(ca, cb)
-    ka, kb = np.isin(ca, both), np.isin(cb, both)
-    ia, ib, ra, rb = np.searchsorted(both, ca[ka]), np.searchsorted(both, cb[kb]), ra[ka], rb[kb]
-    shared = np.zeros((len(a), len(b)), np.float32)
-    for at in range(0, len(both), 4096):
-        x, y = np.zeros((len(a), 4096), np.float32), np.zeros((len(b), 4096), np.float32)
-        m = (ia >= at) & (ia < at + 4096)
-        x[ra[m], ia[m] - at] = 1
-        m = (ib >= at) & (ib < at + 4096)
-        y[rb[m], ib[m] - at] = 1
-        shared += x @ y.T
-    total = wa[:, None] + wb[None, :]
-    jac = shared / np.maximum(total - shared, 1)
-    x, y = np.nonzero((jac >= threshold) & (a.mine.to_numpy()[:, None] != b.mine.to_numpy()[None, :]))
-    return pd.DataFrame({"a": a.cls.to_numpy()[x], "b": b.cls.to_numpy()[y], "j": jac[x, y].astype(float)})
-
-
-def large_links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, j): links of members outside of their pivot's component to all members of other components, for buckets
-    of any size. Either side is cut into blocks; a task compares one block with another, so a bucket is many tasks of
-    bounded memory, and rows move once for each block of the other side."""
-    size = members.groupBy("band", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"), F.ceil(F.sum((F.col("mine") != F.col("its")).cast("int")) / BLOCK).cast("int").alias("na"))
+LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("j", pa.float64())])
+
+
+def block_links(rows: list[dict], threshold: float) -> list[tuple[bytes, bytes, float]]:
+    """Links between members of different components on the two sides of a pair of blocks, with exact overlaps.
+
+    All sets of side 1 are one sorted list of (hash, member, count); a set of side 0 finds its hashes there, and the
+    lesser counts are summed by member. Memory follows the sets and one member's matches.
+    """
+    a, b = ([r for r in rows if r["side"] == k] for k in (0, 1))
+    if not a or not b:
+        return []
+
+    def sets(side):
+        h = [np.frombuffer(r["hashes"], np.uint32) for r in side]
+        return h, [np.frombuffer(r["counts"], np.uint32).astype(np.int64) if r["counts"] else np.ones(len(x), np.int64) for r, x in zip(side, h)]
+
+    (ha, ca), (hb, cb) = sets(a), sets(b)
+    weight = np.array([c.sum() for c in cb])
+    order = np.argsort(keys := np.concatenate(hb), kind="stable")
+    keys, who, count = keys[order], np.repeat(np.arange(len(b)), [len(x) for x in hb])[order], np.concatenate(cb)[order]
+    mine = {m: i for i, m in enumerate({r["mine"] for r in rows})}
+    part, far = np.array([mine[r["mine"]] for r in b]), 1 - threshold + 1e-9
+    to_pivot = np.array([np.nan if r["j"] is None else r["j"] for r in b], float)
+    out = []
+    for r, h, c in zip(a, ha, ca):
+        total = c.sum()
+        open_ = (part != mine[r["mine"]]) & (np.minimum(weight, total) >= threshold * np.maximum(weight, total))
+        if r["j"] is not None:
+            open_ &= ~(np.abs(to_pivot - r["j"]) > far)
+        if not open_.any():
+            continue
+        low, high = np.searchsorted(keys, h), np.searchsorted(keys, h, "right")
+        n = high - low
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        shared = np.bincount(who[at], np.minimum(count[at], np.repeat(c, n)), len(b))
+        j = shared / (total + weight - shared)
+        out += [(r["cls"], b[k]["cls"], float(j[k])) for k in np.flatnonzero(open_ & (j >= threshold)).tolist()]
+    return out
+
+
+def _stream_links(threshold: float):
+    """Links of each pair of blocks; its rows come one after the other, so one pair is in memory at a time."""
+
+    def run(batches):
+        key, rows, found = None, [], []
+        for batch in batches:
+            for r in batch.to_pylist():
+                mine = (r["band"], r["key"], r["i"], r["k"])
+                if mine != key:
+                    found += block_links(rows, threshold)
+                    key, rows = mine, []
+                rows.append(r)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), LINKS)], schema=LINKS)
+                found = []
+        if found := block_links(rows, threshold):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), LINKS)], schema=LINKS)
+
+    return run
+
+
+def open_links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, j): links of members outside of their pivot's component to all members of other components of the bucket.
+
+    Either side is cut into blocks by the size of the sets; a task compares one block with another, so a bucket of any
+    size is many tasks of bounded memory, and a member moves once for each block of the other side.
+    """
+    width = F.col("width") + 16
+    blocks = lambda who: F.greatest(F.lit(1), F.ceil(F.sum(F.when(who, width).otherwise(0)) / BLOCK)).cast("int")
+    size = members.groupBy("band", "key").agg(blocks(F.lit(True)).alias("nb"), blocks(F.col("mine") != F.col("its")).alias("na"))
     m = members.join(size, ["band", "key"])
     h = F.xxhash64("cls", F.lit(1))
     a = m.where("mine <> its").withColumn("i", F.pmod(h, F.col("na")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("side", F.lit(0))
     b = m.withColumn("k", F.pmod(h, F.col("nb")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("side", F.lit(1))
-    rows = a.select("band", "key", "i", "k", "side", "cls", "mine").unionByName(b.select("band", "key", "i", "k", "side", "cls", "mine")).join(sets, "cls")
-    return rows.groupBy("band", "key", "i", "k").applyInPandas(lambda p: block_links(p, threshold), "a long, b long, j double")
+    names = ["band", "key", "i", "k", "side", "cls", "mine", "j"]
+    rows = a.select(*names).unionByName(b.select(*names)).join(sets, "cls")
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "band", "key", "i", "k").sortWithinPartitions("band", "key", "i", "k").mapInArrow(_stream_links(threshold), "a binary, b binary, j double")
+
 
+def class_links(classes: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, j): verified links that connect all classes whose similarity reaches threshold.
 
-def class_links(classes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, j): verified links that connect all classes whose similarity reaches threshold."""
-    far = 1 - threshold
-    bands = classes.select("cls", F.posexplode("bands").alias("band", "key"))
+    classes: cls, width (distinct shingles), bands; rows: cls, hashes, counts, at least one of each class."""
+    bands = classes.select("cls", "width", F.posexplode("bands").alias("band", "key"))
     # the pivot of a bucket: least in a hash of class and band, so bands have different pivots
     first = F.min(F.struct(F.xxhash64("cls", "band").alias("r"), F.col("cls").alias("pivot"))).alias("p")
-    crowded = bands.groupBy("band", "key").agg(F.count("*").alias("n"), first).where("n > 1").select("band", "key", "n", F.col("p.pivot").alias("pivot"))
+    crowded = bands.groupBy("band", "key").agg(F.count("*").alias("n"), first).where("n > 1").select("band", "key", F.col("p.pivot").alias("pivot"))
     active = written(bands.join(crowded, ["band", "key"]).where("cls <> pivot"), "nd-members")
-    sets = written(sets.join(active.select("cls").union(active.select("pivot")).distinct(), "cls", "left_semi"), "nd-sets", "snappy")
+    own = rows.join(active.select("cls").union(active.select("pivot")).distinct(), "cls", "left_semi")
+    sets = written(own.groupBy("cls").agg(F.first(F.struct("hashes", "counts")).alias("s")).select("cls", "s.hashes", "s.counts"), "nd-sets", "snappy")
     out, labels, seen = None, None, None
     for low, high in STEPS:
         now = active.where((F.col("band") >= low) & (F.col("band") < high))
@@ -248,17 +283,7 @@ def class_links(classes: DataFrame, sets: DataFrame, threshold: float) -> DataFr
     # what is left: members in other components than their pivot's, against the other components of the bucket
     members = written(with_labels(with_labels(active, labels, "cls", "mine"), labels, "pivot", "its").join(seen.select(F.col("a").alias("cls"), F.col("b").alias("pivot"), "j"), ["cls", "pivot"], "left"), "nd-left")
     open_ = members.where("mine <> its").select("band", "key").distinct()
-    members = members.join(open_, ["band", "key"], "left_semi")
-    small = members.where(F.col("n") <= SMALL)
-    apart = small.where("mine <> its").select("band", "key", F.col("cls").alias("a"), F.col("mine").alias("la"), F.col("j").alias("ja"))
-    others = small.select("band", "key", F.col("cls").alias("b"), F.col("mine").alias("lb"), F.col("j").alias("jb"))
-    within = F.coalesce(F.abs(F.col("ja") - F.col("jb")) <= far + 1e-9, F.lit(True))
-    rest = apart.join(others, ["band", "key"]).where((F.col("la") != F.col("lb")) & within).select("a", "b")
-    large = large_links(members.where(F.col("n") > SMALL), sets, threshold)
-    rest = written(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "nd-pairs")
-    if not rest.isEmpty():
-        out = out.union(verified(rest, sets).where(F.col("j") >= threshold))
-    return out.union(written(large.dropDuplicates(["a", "b"]), "nd-large"))
+    return out.union(open_links(members.join(open_, ["band", "key"], "left_semi"), sets, threshold))
 
 
 def _digest(text):
@@ -271,22 +296,31 @@ def _grouped(docs: DataFrame, threshold: float, digests: bool) -> tuple[DataFram
     bounded_batches(docs.sparkSession)
     digest = _digest(F.col("text")) if digests else F.lit(None).cast("binary")
     rows = narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), digest.alias("digest"))
-    rows = rows.mapInArrow(_prepare, "doc_id long, digest binary, cls long, bands array<long>, hashes binary, counts binary")
+    rows = rows.mapInArrow(_prepare, "doc_id long, digest binary, cls binary, bands array<long>, hashes binary, counts binary")
     rows = written(rows, "nd-rows", "snappy")
-    copies = written(rows.groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "nd-classes")
-    worded = rows.where(F.length("hashes") > 0)
-    # equal multisets have equal bands: one row of each class goes on
-    lead = worded.join(copies, "cls").where(F.col("doc_id").eqNullSafe(F.col("least"))).dropDuplicates(["cls"])
-    sets = lead.select("cls", "hashes", "counts")
-    links = written(class_links(lead.select("cls", "bands"), sets, threshold).select("a", "b", "j"), "nd-links")
+    # a row for each class: equal multisets have equal bands
+    copies = written(
+        rows.groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first(F.struct((F.length("hashes") / 4).cast("long").alias("width"), "bands")).alias("s")).select("cls", "least", "copies", "s.width", "s.bands"), "nd-classes"
+    )
+    links = written(class_links(copies.where("width > 0").select("cls", "width", "bands"), rows.where(F.length("hashes") > 0).select("cls", "hashes", "counts"), threshold).select("a", "b").distinct(), "nd-links")
     groups = components(links)
-    degree = links.select("a", "b").union(links.select("b", "a")).distinct().groupBy(F.col("a").alias("cls")).agg(F.count("*").alias("links"))
-    named = copies.join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls")).join(degree, "cls", "left")
+    degree = links.union(links.select("b", "a")).distinct().groupBy(F.col("a").alias("cls")).agg(F.count("*").alias("links"))
+    named = copies.select("cls", "least", "copies").join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls")).join(degree, "cls", "left")
     heads = named.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
     classes = written(named.join(heads, "label").select("cls", "label", "class_id", "class_size", "copies", F.coalesce("links", F.lit(0)).alias("links")), "nd-named")
     return rows.select("doc_id", "digest", "cls"), classes
 
 
+def of_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """rows with the columns of their class. Classes with more than one row in a hundred, which are a hundred at most, are
+    broadcast; the rows of all others move to their class."""
+    total = classes.agg(F.sum("copies").alias("t"))
+    big = classes.join(F.broadcast(total), F.col("copies") * 100 > F.col("t")).drop("t")
+    rest = classes.join(F.broadcast(total), F.col("copies") * 100 <= F.col("t")).drop("t")
+    few = rows.join(F.broadcast(big.select("cls")), "cls", "left_anti")
+    return rows.join(F.broadcast(big), "cls").unionByName(few.join(rest, "cls"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (least doc_id of its group), copies (rows with an equal multiset), links: a row for each row of docs.
 
@@ -296,7 +330,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     for a group whose rows all have a null doc_id, and groups that hold different texts of one doc_id can share it.
     """
     rows, classes = _grouped(docs, threshold, False)
-    return rows.join(classes, "cls").select("doc_id", "class_id", "class_size", "copies", "links")
+    return of_class(rows, classes).select("doc_id", "class_id", "class_size", "copies", "links")
 
 
 def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -306,7 +340,7 @@ def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> Da
     doc_id and text are in one group, so these two name a survivor; of rows that repeat both, one is kept.
     """
     rows, classes = _grouped(docs, threshold, True)
-    first = rows.join(classes, "cls").where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min("digest").alias("__digest"), F.first("class_id").alias("__keep"))
+    first = of_class(rows, classes).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min("digest").alias("__digest"), F.first("class_id").alias("__keep"))
     # min passes over nulls: a null text is the survivor only of a group that has no other
     keep = written(first.select("__keep", "__digest"), "nd-keep")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__keep")) & _digest(F.col("text")).eqNullSafe(F.col("__digest"))

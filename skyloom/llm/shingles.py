@@ -25,14 +25,34 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(p)
 
 
-_tables: list[np.ndarray] = [powers(_MUL, 1 << 16), powers(_INV, 1 << 16)]
-
-
-def tables(n: int) -> list[np.ndarray]:
-    if len(_tables[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        _tables[:] = [powers(_MUL, size), powers(_INV, size)]
-    return _tables
+#: Bytes of text that are hashed at once; longer texts go in segments.
+SEGMENT = 1 << 17
+_UP, _DOWN = powers(_MUL, SEGMENT + 1), powers(_INV, SEGMENT + 1)
+
+
+def tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers for n bytes; more than a segment (a few words of that size) are computed and not kept."""
+    return (_UP, _DOWN) if n <= len(_UP) else (powers(_MUL, n), powers(_INV, n))
+
+
+def segments(data: bytes, size: int):
+    """A text of words joined by single blanks in overlapping segments, so that each run of `size` words is in one of them."""
+    a = 0
+    while len(data) - a > SEGMENT:
+        width = SEGMENT
+        while True:
+            end = data.rfind(b" ", a, a + width)
+            start = end
+            for _ in range(size - 1):  # the next segment begins with the last words of this one
+                start = data.rfind(b" ", a, start) if start > a else -1
+            if start > a or a + width >= len(data):
+                break
+            width *= 2  # words longer than that
+        if start <= a:
+            break
+        yield data[a:end]
+        a = start + 1
+    yield data[a:]
 
 
 def words_of(text: str | None) -> str:
@@ -43,9 +63,27 @@ def words_of(text: str | None) -> str:
 def shingle_hashes(texts: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(text index, hash) of every run of `size` words; a text of 1 to size-1 words is one shingle.
 
-    texts come from words_of(). The hash of bytes i..j is a difference of prefix sums, so all cost is linear in bytes.
+    texts come from words_of(). The hash of bytes i..j is a difference of prefix sums, so all cost is linear in bytes; it
+    does not depend on where the bytes stand, so long texts are hashed segment by segment.
     """
     data = [t.encode("utf-8", "replace") for t in texts]
+    if sum(map(len, data)) + len(data) > SEGMENT:
+        parts = [(i, s) for i, d in enumerate(data) for s in segments(d, size)]
+        if len(parts) > 1:
+            out, a = [], 0
+            while a < len(parts):
+                b, total = a, 0
+                while b < len(parts) and (b == a or total + len(parts[b][1]) < SEGMENT):
+                    total += len(parts[b][1]) + 1
+                    b += 1
+                doc, h = _hashes([s for _, s in parts[a:b]], size)
+                out.append((np.array([i for i, _ in parts[a:b]], np.int64)[doc], h))
+                a = b
+            return np.concatenate([d for d, _ in out]), np.concatenate([h for _, h in out])
+    return _hashes(data, size)
+
+
+def _hashes(data: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     blob = np.frombuffer(b" ".join(data) + b" ", np.uint8)
     if len(blob) <= 1:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -90,6 +128,21 @@ def plain(text: str | None) -> bytes:
 
 def word_hashes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(text index, hash) of each word of texts from plain(), in order."""
+    if sum(map(len, data)) + len(data) <= SEGMENT:
+        return _word_hashes(data)
+    parts, out, a = [(i, s) for i, d in enumerate(data) for s in segments(d, 1)], [], 0
+    while a < len(parts):
+        b, total = a, 0
+        while b < len(parts) and (b == a or total + len(parts[b][1]) < SEGMENT):
+            total += len(parts[b][1]) + 1
+            b += 1
+        doc, h = _word_hashes([s for _, s in parts[a:b]])
+        out.append((np.array([i for i, _ in parts[a:b]], np.int64)[doc], h))
+        a = b
+    return np.concatenate([d for d, _ in out]), np.concatenate([h for _, h in out])
+
+
+def _word_hashes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     blob = np.frombuffer(b" ".join(data) + b" ", np.uint8)
     up, down = tables(len(blob) + 1)
     sums = np.zeros(len(blob) + 1, np.uint64)
