@@ -1,16 +1,19 @@
 """Operator 9: toxicity by compression distance.
 
-Two zstandard dictionaries are learned from labelled rows: one holds the WORDS most frequent words of the text
-(none as it stands, so blanks only); the other the same and, after them, at most STRINGS strings (words and beginnings of words) that toxic texts hold more often, by
-log-odds. A text is cut at white space into windows of about WINDOW bytes that cover all of it, and each window is
-compressed with either dictionary. What the toxic dictionary saves, window by window, gives a few sums, and a logistic
-curve fitted on cross-fitted training rows turns these into a probability.
+Two zstandard dictionaries of equal size are learned from labelled rows. The toxic one holds strings (words and beginnings
+of words) that toxic texts hold more often than ordinary ones, ranked by log-odds, as many as are borne out by SPREAD of
+the toxic texts and fit into SIZE bytes; the ordinary one holds the most frequent words of ordinary texts. A text is cut at
+white space into windows of about WINDOW bytes that cover all of it, and each window is compressed without a dictionary,
+with the ordinary and with the toxic one. The bytes saved, window by window, give a few sums, and a logistic curve fitted
+on cross-fitted training rows calibrates these into a probability; its threshold is fixed by the contract.
 
-At most SAMPLE labelled rows train, in hash order of doc_id; all rows are scored, whole.
+At most SAMPLE labelled rows train, in hash order of doc_id; all rows are scored, whole. Case and the amount of white space
+do not count; every other character does.
 
-Edge cases: null and empty texts have no window and score as such; a null doc_id is never a training row and counts as
+Edge cases: null and blank texts have no window and score as such; a null doc_id is never a training row and counts as
 not held out; without labels of both kinds the score is the share of toxic labels (0 without labels); rows that repeat
-are scored each; an empty table gives an empty result.
+are scored each; an empty table gives an empty result; extra columns, whatever their names, are carried along untouched by
+without_toxic and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -28,81 +31,113 @@ from skyloom.llm.common import bounded_batches, crc_mod, labelled_sample, narrow
 
 WINDOW = 48
 SAMPLE = 6000
-WORDS = 0
-STRINGS = 40
+#: Most bytes of a dictionary.
+SIZE = 4096
 #: Share of the toxic training texts that a string of the toxic dictionary is in, at least.
 SPREAD = 0.025
+#: Least log-odds of a string in toxic text, by occurrences and by texts.
+ODDS, ODDS_OF_TEXTS = 2.0, 1.5
+#: The shortest match that a compressor looks for; shorter strings with the blank before them save nothing.
+MATCH = 6
+FOLDS = 4
 THRESHOLD = 0.3
-FEATURES = 11
+#: Savings in bytes from which a window counts: against no dictionary, and against the ordinary one.
+STEPS, OVER = (2, 3, 4, 6), (2, 4)
+FEATURES = 2 * len(STEPS) + len(OVER) + 4
 CUT = re.compile(rb"\S[\s\S]{0,%d}(?=\s|\Z)|\S{1,%d}" % (WINDOW - 2, WINDOW - 1))
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def strings_of(text: str) -> set[str]:
-    """Words of a text, and their beginnings of three or more letters."""
-    out = set()
-    for w in set(LETTERS.findall(text.lower())):
-        out.add(w + " ")
-        out.update(w[:k] for k in range(3, min(len(w), 10) + 1))
+def strings_of(word: str) -> set[str]:
+    """A word with the blank after it, and its beginnings: those that make up a match with the blank before them."""
+    out = {word + " "} if len(word.encode()) >= MATCH - 2 else set()
+    out.update(word[:k] for k in range(4, min(len(word), 10) + 1) if len(word[:k].encode()) >= MATCH - 1)
     return out
 
 
-def learn_dictionaries(texts: list[str], y: np.ndarray) -> tuple[bytes, bytes]:
+class Counts:
+    """What dictionaries are made of, for some texts of one label: words, strings and their texts."""
+
+    def __init__(self):
+        self.words, self.uses, self.texts, self.n, self.chars = Counter(), Counter(), Counter(), 0, 0
+
+    def add(self, text: str) -> None:
+        found, own = Counter(LETTERS.findall(text.lower())), Counter()
+        for w, c in found.items():
+            for x in strings_of(w):
+                own[x] += c
+        self.words.update(found)
+        self.uses.update(own)
+        self.texts.update(own.keys())
+        self.n, self.chars = self.n + 1, self.chars + len(text)
+
+    def without(self, other: Counts) -> Counts:
+        out = Counts()
+        out.words, out.uses, out.texts = (a - b for a, b in ((self.words, other.words), (self.uses, other.uses), (self.texts, other.texts)))
+        out.n, out.chars = self.n - other.n, self.chars - other.chars
+        return out
+
+
+def learn_dictionaries(ordinary: Counts, toxic: Counts) -> tuple[bytes, bytes]:
     """Contents of the ordinary and the toxic dictionary."""
-    tf, df, words = (Counter(), Counter()), (Counter(), Counter()), Counter()
-    for t, label in zip(texts, y):
-        found = LETTERS.findall(t.lower())
-        words.update(found)
-        own = Counter(x for w, c in Counter(found).items() for x in strings_of(w) for _ in range(c))
-        tf[label].update(own)
-        df[label].update(own.keys())
-    n = [max(1, sum(len(t) for t, k in zip(texts, y) if k == label)) for label in (0, 1)]
     ranked = []
-    for s, c in df[1].items():
-        odds = np.log((tf[1][s] + 0.1) / n[1]) - np.log((tf[0][s] + 1.0) / n[0])
-        spread = np.log(c / max(1, (y == 1).sum())) - np.log((df[0][s] + 0.5) / max(1, (y == 0).sum()))
-        if c >= max(3, SPREAD * (y == 1).sum()) and odds > 2 and spread > 1.5:
+    for s, c in toxic.texts.items():
+        if c < max(3, SPREAD * toxic.n):
+            continue
+        odds = np.log((toxic.uses[s] + 0.1) / max(1, toxic.chars)) - np.log((ordinary.uses[s] + 1.0) / max(1, ordinary.chars))
+        of_texts = np.log(c / max(1, toxic.n)) - np.log((ordinary.texts[s] + 0.5) / max(1, ordinary.n))
+        if odds > ODDS and of_texts > ODDS_OF_TEXTS:
             ranked.append((c * odds, s))
-    ranked.sort(key=lambda x: (-round(x[0], 6), abs(len(x[1]) - 6), x[1]))  # six letters: long ends of words match others
+    ranked.sort(key=lambda x: (-round(x[0], 6), abs(len(x[1]) - MATCH), x[1]))  # long ends of words match others
     chosen: list[str] = []
+    room = SIZE
     for _, s in ranked:  # neither a longer form of a chosen string nor a beginning that is hardly more frequent
-        if len(chosen) < STRINGS and not any(s.startswith(c.strip()) or c.startswith(s) and tf[1][s] < 1.3 * tf[1][c] for c in chosen):
+        size = len(s.strip().encode()) + 1
+        if size < room and not any(s.startswith(c.strip()) or c.startswith(s) and toxic.uses[s] < 1.3 * toxic.uses[c] for c in chosen):
             chosen.append(s)
-    common = [w for w, c in sorted(words.items(), key=lambda x: (-x[1], x[0]))]
-    base = (" ".join(reversed(common[:WORDS])) + " ").encode()
-    toxic = "".join(" " + s.strip() for s in reversed(chosen)).encode() + b" "
-    return base + b" " * len(toxic), base + toxic
+            room -= size
+    own = "".join(" " + s.strip() for s in reversed(chosen)).encode() + b" "
+    common = [w for w, _ in sorted(ordinary.words.items(), key=lambda x: (-x[1], x[0])) if not strings_of(w) & set(chosen)]
+    base, size = [], 0
+    for w in common:  # the most frequent ones stand last, as those of the toxic dictionary do
+        if size >= len(own):
+            break
+        base.append(w)
+        size += len(w.encode()) + 1
+    return ("".join(" " + w for w in reversed(base)).encode() + b" ")[-len(own) :].rjust(len(own)), own
 
 
-#: Both dictionaries end with HEAD, which opens each window, as TAIL closes it: what a compressed block costs by itself
-#: is then paid in either case, and matches are found up to a window's end.
+#: All dictionaries end with HEAD, which opens each window, as TAIL closes it: what a compressed block costs by itself
+#: is then paid in any case, and matches are found up to a window's end.
 HEAD, TAIL = b"~0123456789~ABCDEFGHIJKLMNOP~ ", b" ~0123456789~"
-SETTINGS = zstandard.ZstdCompressionParameters(window_log=14, hash_log=14, chain_log=14, search_log=5, min_match=6, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
+SETTINGS = zstandard.ZstdCompressionParameters(window_log=14, hash_log=14, chain_log=14, search_log=5, min_match=MATCH, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
 class Windows:
-    """Savings of the toxic dictionary over the windows of texts."""
+    """What dictionaries save over the windows of texts."""
 
     def __init__(self, contents: tuple[bytes, bytes]):
-        self.both = []
-        for c in contents:
+        self.each = []
+        for c in (b"  ", *contents):
             d = zstandard.ZstdCompressionDict(c + HEAD, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=SETTINGS)
-            self.both.append(zstandard.ZstdCompressor(compression_params=SETTINGS, dict_data=d))
+            self.each.append(zstandard.ZstdCompressor(compression_params=SETTINGS, dict_data=d))
 
-    def savings(self, text: str) -> np.ndarray:
-        plain, toxic = (c.compress for c in self.both)
-        words = " ".join(LETTERS.findall(text.lower())).encode("utf-8", "replace")
-        framed = [HEAD + w + TAIL for w in CUT.findall(words)]
-        return np.array([len(plain(w)) - len(toxic(w)) for w in framed], np.int64)
+    def savings(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes that the ordinary and the toxic dictionary save, window by window."""
+        framed = [HEAD + w + TAIL for w in CUT.findall(" ".join(text.lower().split()).encode("utf-8", "replace"))]
+        plain, ordinary, toxic = (np.fromiter((len(c.compress(w)) for w in framed), np.int64, len(framed)) for c in self.each)
+        return plain - ordinary, plain - toxic
 
     def features(self, text: str) -> np.ndarray:
-        d = self.savings(text)
-        if not len(d):
+        ordinary, toxic = self.savings(text)
+        n = len(toxic)
+        if not n:
             return np.zeros(FEATURES)
-        hit = np.array([(d >= k).sum() for k in (2, 3, 4, 6)])
-        rate = (hit + 0.2) / (len(d) + 4)
-        return np.array([*np.log1p(hit), *np.log(rate), min(20, d.max()) / 10, np.clip(d, -2, 12).mean(), np.log1p(len(d)) / 5])
+        hit = np.array([(toxic >= k).sum() for k in STEPS])
+        more = np.array([(toxic - ordinary >= k).sum() for k in OVER])
+        sums = min(20, toxic.max()) / 10, np.clip(toxic, -2, 12).mean(), np.clip(ordinary, -2, 12).mean(), np.log1p(n) / 5
+        return np.array([*np.log1p(hit), *np.log((hit + 0.2) / (n + 4)), *np.log((more + 0.2) / (n + 4)), *sums])
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -125,28 +160,25 @@ def fit(rows: list[tuple[int, str, int]]):
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.0
         return (b" ", b"  "), np.array([0.0] * FEATURES + [np.log((share + 1e-6) / (1 - share + 1e-6))])
-    fold = np.zeros(len(y), int)  # features of one half of either kind come from dictionaries of the other
+    fold = np.zeros(len(y), int)  # features of a fold come from dictionaries of the others; each has its share of both kinds
+    counts = [[Counts() for _ in range(FOLDS)] for _ in (0, 1)]
+    whole = [Counts(), Counts()]
     for k in (0, 1):
-        fold[np.flatnonzero(y == k)[1::2]] = 1
+        own = np.flatnonzero(y == k)
+        fold[own] = np.arange(len(own)) % FOLDS
+    for t, k, f in zip(texts, y, fold):
+        counts[k][f].add(t)
+        whole[k].add(t)
     x = np.zeros((len(y), FEATURES))
-    for k in (0, 1):
-        w = Windows(learn_dictionaries([t for t, f in zip(texts, fold) if f != k], y[fold != k]))
-        for i in np.flatnonzero(fold == k):
+    for f in range(FOLDS):
+        w = Windows(learn_dictionaries(*(whole[k].without(counts[k][f]) for k in (0, 1))))
+        for i in np.flatnonzero(fold == f):
             x[i] = w.features(texts[i])
-    return learn_dictionaries(texts, y), fit_logistic(x, y)
-
+    return learn_dictionaries(*whole), fit_logistic(x, y)
 
-def scorer(model):
-    contents, weights = model
 
-    def run(batches):
-        w = Windows(contents)
-        for b in batches:
-            s = [float(np.append(w.features(t or ""), 1) @ weights) for t in b.column("text").to_pylist()]
-            p = 1 / (1 + np.exp(-np.clip(np.array(s), -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*b.schema.names, "score"])
-
-    return run
+def probability(w: Windows, weights: np.ndarray, text: str | None) -> float:
+    return float(1 / (1 + np.exp(-np.clip(np.append(w.features(text or ""), 1) @ weights, -30, 30))))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
@@ -157,26 +189,26 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted: one row for each row of docs(doc_id, text)."""
     bounded_batches(docs.sparkSession)
-    run = scorer(train(docs, labels, sample))
+    contents, weights = train(docs, labels, sample)
 
-    def slim(batches):
-        for b in run(batches):
-            yield b.select(["doc_id", "score"])
+    def score(batches):
+        w, schema = Windows(contents), pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([probability(w, weights, t.as_py()) for t in b.column("text")], pa.float64())], schema=schema)
 
-    scored = narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(slim, "doc_id long, score double")
+    scored = narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(score, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs that score under the threshold, with all their columns."""
     bounded_batches(docs.sparkSession)
-    run = scorer(train(docs, labels, sample))
-    names, schema = docs.columns, docs.schema
+    contents, weights = train(docs, labels, sample)
+    at, schema = [c.lower() for c in docs.columns].index("text"), docs.schema
 
     def keep(batches):
+        w = Windows(contents)  # once a task
         for b in batches:
-            slim = pa.RecordBatch.from_arrays([b.column(names.index("text")).cast(pa.string())], names=["text"])
-            for s in run([slim]):
-                yield b.filter(pa.array(s.column("score").to_numpy() < THRESHOLD))
+            yield b.filter(pa.array([probability(w, weights, t.as_py()) < THRESHOLD for t in b.column(at).cast(pa.string())], pa.bool_()))
 
     return docs.mapInArrow(keep, schema)
