@@ -8,6 +8,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+import zstandard
 from conftest import SF
 
 from skyloom.llm import decontam, exact_dedup, langid, licenses, minhash, mixing, quality, queries, secrets, shingles, tokens, toxicity
@@ -56,7 +57,7 @@ def lib_ids(texts):
 
 def test_pieces_encode_like_the_library():
     odd = ["a  b", "  x", "x  ", "a\n b", "a \nb", "tab\t c", "\n\nq", "it's  don't's .", "é...  ü;;", "<|endoftext|> a<|endoftext|>", "a\xa0 b", "a \xa0b", "x\x1c y", " .,; (x) ", "a-b -c -", "w.) (z", "", "日本 語。 。"]
-    assert [np.frombuffer(b, "<u2").tolist() for b in tokens.encoder(tokens.default_tokenizer()).encode(odd)] == lib_ids(odd)
+    assert [b.tolist() for b in tokens.encoder(tokens.default_tokenizer()).encode([t.encode() for t in odd])] == lib_ids(odd)
 
 
 def test_token_store_round_trip(spark, docs, tmp_path):
@@ -166,18 +167,26 @@ def test_signature_is_unbiased():
 
 
 def test_block_links():
-    import pandas as pd
-
     r = np.random.RandomState(2)
     rows = []
     for i in range(40):
         h = np.sort(r.choice(60, r.randint(1, 40), replace=False)).astype(np.uint32)
         c = r.randint(1, 4, len(h)).astype(np.uint32)
-        rows.append((i % 2, i, i % 5, h.tobytes(), b"" if (c == 1).all() else c.tobytes()))
-    f = pd.DataFrame(rows, columns=["side", "cls", "mine", "hashes", "counts"])
-    got = {(a, b): j for a, b, j in minhash.block_links(f, 0.3).itertuples(index=False)}
-    want = {(x.cls, y.cls): minhash.overlap(x.hashes, x.counts, y.hashes, y.counts) for x in f[f.side == 0].itertuples() for y in f[f.side == 1].itertuples() if x.mine != y.mine}
-    assert set(got) == {k for k, j in want.items() if j >= 0.3 - 1e-6} and all(abs(want[k] - j) < 1e-5 for k, j in got.items())
+        rows.append({"side": i % 2, "cls": bytes([i]), "mine": bytes([i % 5]), "j": None, "hashes": h.tobytes(), "counts": b"" if (c == 1).all() else c.tobytes()})
+    got = {(a, b): j for a, b, j in minhash.block_links(rows, 0.3)}
+    sides = [[x for x in rows if x["side"] == k] for k in (0, 1)]
+    want = {(x["cls"], y["cls"]): minhash.overlap(x["hashes"], x["counts"], y["hashes"], y["counts"]) for x in sides[0] for y in sides[1] if x["mine"] != y["mine"]}
+    assert got and set(got) == {k for k, j in want.items() if j >= 0.3} and all(abs(want[k] - j) < 1e-9 for k, j in got.items())
+
+
+def test_long_texts_hash_by_segments():
+    r = np.random.RandomState(3)
+    texts = [" ".join(f"w{k}" for k in r.randint(0, 900, n)) for n in (3, 40000, 0, 5, 90000, 7)] + ["x" * 300000 + " a b c d e", "a b " + "y" * 200000]
+    limit, want = shingles.SEGMENT, shingles._hashes([t.encode() for t in texts], 5)
+    got = shingles.shingle_hashes(texts)
+    assert limit < sum(map(len, texts)) and all(np.array_equal(a, b) for a, b in zip(got, want))
+    data = [shingles.plain(t) for t in texts]
+    assert all(np.array_equal(a, b) for a, b in zip(shingles.word_hashes(data), shingles._word_hashes(data)))
 
 
 def test_key_words_cover_templates():
@@ -268,9 +277,28 @@ def test_toxicity_separates(spark):
                 t.insert(r.randint(len(t)), str(r.choice(["grumbleweed", "snollygoster"])))
         rows.append((i, " ".join(t), int(i % 4 == 0)))
     w = toxicity.Windows((m := toxicity.fit(rows[:400]))[0])
-    p = [1 / (1 + np.exp(-np.append(w.features(t), 1) @ m[1])) >= 0.3 for _, t, _ in rows[400:]]
+    p = [toxicity.probability(w, m[1], t) >= 0.3 for _, t, _ in rows[400:]]
     y = [bool(k) for *_, k in rows[400:]]
     assert np.mean([a == b for a, b in zip(p, y)]) > 0.95
+    # the method itself, plainly: lengths of each window under three dictionaries of the library
+    ordinary, toxic = m[0]
+    assert len(ordinary) == len(toxic) and b"grumbl" in toxic and b"grumbl" not in ordinary and len(set(ordinary.split()) & {x.encode() for x in words}) > 2
+    text = rows[404][1] + " " + rows[405][1] + " One  MORE, 17."
+    flat = " ".join(text.lower().split())
+    pieces = toxicity.CUT.findall(flat.encode())
+    assert b" ".join(pieces).split() == flat.encode().split()
+    lengths = [[len(zstandard.ZstdCompressor(compression_params=toxicity.SETTINGS, dict_data=zstandard.ZstdCompressionDict(c + toxicity.HEAD, dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress(toxicity.HEAD + x + toxicity.TAIL)) for x in pieces] for c in (b"  ", ordinary, toxic)]
+    assert [list(x) for x in w.savings(text)] == [[a - b for a, b in zip(lengths[0], lengths[k])] for k in (1, 2)]
+
+
+def test_toxicity_held_out(spark):
+    """Accuracy on the labels that do not train."""
+    rows = {r.doc_id: r for r in toxicity.toxicity(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")).collect()}
+    y = {i: k for i, k in duckdb.sql("SELECT doc_id, toxic FROM '/root/testdata/sf0.01/labels.parquet'").fetchall() if k is not None and i in rows}
+    held = [i for i in y if rows[i].held_out]
+    assert all(rows[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i in y)
+    pairs = [(rows[i].score, rows[j].score) for i in held if y[i] for j in held if not y[j]]
+    assert np.mean([a > b for a, b in pairs]) > 0.85
 
 
 def test_quality_learns_and_covers_long_texts():
