@@ -56,6 +56,17 @@ def narrow(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[docs[n].alias(n) for n in names])
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of docs has."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for n in names:
+        while n in taken:
+            n = "_" + n
+        taken.add(n)
+        out.append(n)
+    return out
+
+
 def crc_mod(doc_id, n: int):
     """crc32 of the decimal text of doc_id, modulo n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

@@ -34,7 +34,7 @@ def op6_language(spark, sf_dir):
 
 def op7_mixing(spark, sf_dir):
     m = mixing.mixed(load(spark, sf_dir, "documents"))
-    return m.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+    return m.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken", F.round("virtual_finish", 6).alias("virtual_finish"))
 
 
 def op8_secret_scan(spark, sf_dir):
