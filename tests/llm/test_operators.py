@@ -95,11 +95,52 @@ def test_damage_is_found(spark, tmp_path):
 
 
 def test_directory_splits(spark):
-    e = spark.range(5000).selectExpr("xxhash64(id) AS h", "id AS sha")
+    """Against splitting one bucket after the other, also when many hashes share their leading bits."""
+    r = np.random.RandomState(0)
+    hashes = np.unique(np.concatenate([r.randint(0, 1 << 62, 3000) - (1 << 61), r.randint(0, 1 << 40, 2000), np.arange(40)])).astype(np.int64)
+    bits = hashes.view(np.uint64)
+
+    def split(depth, prefix, own):
+        if len(own) <= 300 or depth == exact_dedup.MAX_DEPTH:
+            return {(depth, prefix): len(own)}
+        one = (own >> np.uint64(63 - depth)) & np.uint64(1) == 1
+        return split(depth + 1, 2 * prefix, own[~one]) | split(depth + 1, 2 * prefix + 1, own[one])
+
+    e = spark.createDataFrame([(int(h),) for h in hashes], "h long")
     d = exact_dedup.build_directory(e, 300)
-    assert sum(n for *_, n in d) == 5000 and max(n for *_, n in d) <= 300 and len(d) > 16
-    assert sum(2.0**-b for b, *_ in d) == 1.0
-    assert exact_dedup.with_bucket(e, d).count() == 5000
+    rows = d.collect()
+    got = {(x.depth, x.prefix % (1 << max(x.depth, 1))): x.n for x in rows}
+    assert got == split(0, 0, bits) and len(got) == len(rows) and max(k for k, _ in got) > 20
+    owned = exact_dedup.with_bucket(e, d).collect()
+    assert len(owned) == len(hashes)
+    sizes = collections.Counter(x.bucket for x in owned)
+    assert sorted(sizes.values()) == sorted(n for n in got.values() if n)
+
+
+def test_owners_merge_and_tell_texts_apart(spark, monkeypatch):
+    """Hashes that collide form chains whose slots are told apart; copies of all lots come together; repeats leave one row."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"text {i % 7}" + " " * (i % 3)) for i in range(300)] + [(5, "text 5  "), (5, "text 5  "), (None, "text 1"), (None, "only"), (None, "only")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def plain():
+        groups = collections.defaultdict(list)
+        for i, t in rows:
+            groups[t.replace(" ", "")].append((i, t))
+        out = []
+        for norm, own in groups.items():
+            keep = min(own, key=lambda x: (-len(x[1]), x[0] is None, x[0] or 0))
+            kept = False
+            for x in own:
+                out.append((x[0], keep[0], len(own), x == keep and not kept, hashlib.sha256(norm.encode()).hexdigest()))
+                kept |= x == keep
+        return sorted(out, key=str)
+
+    got = lambda: sorted(map(tuple, exact_dedup.exact_duplicates(docs, capacity=2).collect()), key=str)
+    assert got() == plain()
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: F.expr("CAST(0 AS BIGINT)"))
+    assert got() == plain()
 
 
 def brute_classes(rows):
@@ -397,7 +438,8 @@ def test_mix_respects_targets(spark):
     by = collections.defaultdict(list)
     for r in rows:
         by[r.source].append(r)
-    assert all(abs(sum(r.taken for r in g) - g[0].target) <= 1 for g in by.values())
+    assert all(abs(sum(r.taken for r in g) - g[0].target) <= g[0].target / mixing.TICKS + 2 for g in by.values())
+    assert sum(r.taken for r in rows) == int(1.5 * sum(r.size for r in rows) + 0.25)
 
 
 OPERATORS = {
