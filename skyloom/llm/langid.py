@@ -2,10 +2,10 @@
 
 Each language has a probability for every piece of a fixed public vocabulary. A word (a run of letters, lower-cased,
 with the vocabulary's word mark before it) has the probability of all its segmentations into pieces together, which a
-forward recursion over its characters sums; a text's likelihood is the product over its words. Piece probabilities are
-learned by expectation maximisation (forward and backward sums) from the words of at most SAMPLE texts a language, in
-hash order of doc_id; all texts are scored, whole. A worker remembers the values of words it has met, up to WORDS of
-them.
+forward recursion over its characters sums, in logarithms, so that no word is too long for it; a text's likelihood is the
+product over its words. Piece probabilities are learned by expectation maximisation (forward and backward sums) from the
+words of at most SAMPLE texts a language, in hash order of doc_id; all texts are scored, whole. A worker remembers the
+values of words it has met, up to WORDS of them; words of more than LONG letters are summed in stretches, each time.
 
 Edge cases: a text that is null or has no letters is `und` with score 0; without any training text every text is `und`;
 a null doc_id never trains and counts as not held out; an empty table gives an empty result.
@@ -25,13 +25,12 @@ from skyloom.llm.common import bounded_batches, crc_mod, narrow
 
 SAMPLE = 300
 ROUNDS = 2
-LONGEST = 6
-#: Letters of a word that are segmented together; a longer run is several words.
-SPAN = 24
 WORDS = 400_000
+#: Letters of a word that is worked on together with others and remembered; positions of a stretch of longer ones.
+LONG, STRETCH = 64, 4096
 FLOOR = 1e-7
 MARK = "▁"
-LETTERS = re.compile(r"[^\W\d_]{1,%d}" % (SPAN - 1))
+LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = 0
 
 
@@ -44,7 +43,7 @@ def load_pieces(path: str) -> list[str]:
     for i in range(sp.get_piece_size()):
         p = sp.id_to_piece(i).lower()
         body = p.removeprefix(MARK)
-        if (body.isalpha() or p == MARK) and len(p) <= LONGEST:
+        if body.isalpha() or p == MARK:
             seen.setdefault(p)
     return ["", *seen]
 
@@ -52,12 +51,13 @@ def load_pieces(path: str) -> list[str]:
 class Pieces:
     """Finds pieces by a hash of their characters, for all places of many words at once."""
 
-    BITS = 20
+    BITS = 18
     STEP = np.uint64(0x9E3779B97F4A7C15)
     MIXERS = [np.uint64(m) for m in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
     def __init__(self, pieces: list[str]):
         """pieces[0] stands for letters that are no piece."""
+        self.longest = max(map(len, pieces[1:]), default=1)
         self.tables: list[tuple[np.uint64, np.ndarray]] = []
         self.hashes = np.zeros(len(pieces), np.uint64)
         with np.errstate(over="ignore"):
@@ -74,6 +74,8 @@ class Pieces:
                 todo = np.delete(todo, first)
                 if not len(todo):
                     break
+            if len(todo):
+                raise ValueError("too many pieces for the tables")
 
     def slots(self, h: np.ndarray, m: np.uint64) -> np.ndarray:
         return (((h ^ (h >> np.uint64(29))) * m) >> np.uint64(64 - self.BITS)).astype(np.int64)
@@ -88,12 +90,12 @@ class Pieces:
 
 
 def lattice(words: list[str], pieces: Pieces) -> np.ndarray:
-    """(words, longest word, LONGEST) piece ids: of the piece that ends after position j and has length l + 1, else -1."""
+    """(words, longest word, longest piece) piece ids: of the piece that ends after position j and has length l + 1, else -1."""
     width = max(map(len, words))
     chars = np.array(words, f"U{width}").view(np.uint32).reshape(len(words), width).astype(np.uint64)
-    out = np.full((len(words), width, LONGEST), -1, np.int32)
+    out = np.full((len(words), width, pieces.longest), -1, np.int32)
     h = np.zeros_like(chars)
-    for l in range(min(LONGEST, width)):  # noqa: E741
+    for l in range(min(pieces.longest, width)):  # noqa: E741
         h[:, l:] = h[:, l - 1 : -1] * Pieces.STEP + chars[:, l:] if l else chars
         out[:, l:, l] = pieces.find(h[:, l:])
     single = out[:, :, 0]
@@ -102,51 +104,87 @@ def lattice(words: list[str], pieces: Pieces) -> np.ndarray:
 
 
 def forward(grid: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """(positions + 1, words, languages) sums over the segmentations of each beginning. p: (languages, pieces)."""
-    n, width, _ = grid.shape
-    q = np.vstack([p.T, np.zeros(len(p))])  # -1 is the last row
-    alpha = np.zeros((width + 1, n, len(p)))
-    alpha[0] = 1
+    """(positions + 1, words, languages) logarithms of the sums over the segmentations of each beginning.
+
+    p: (pieces, languages), logarithms."""
+    n, width, longest = grid.shape
+    alpha = np.full((width + 1, n, p.shape[1]), -np.inf)
+    alpha[0] = 0
     for j in range(1, width + 1):
-        for l in range(1, min(j, LONGEST) + 1):  # noqa: E741
+        for l in range(1, min(j, longest) + 1):  # noqa: E741
             ids = grid[:, j - 1, l - 1]
-            if (ids >= 0).any():
-                alpha[j] += alpha[j - l] * q[ids]
+            who = np.flatnonzero(ids >= 0)
+            if len(who):
+                alpha[j, who] = np.logaddexp(alpha[j, who], alpha[j - l, who] + p[ids[who]])
     return alpha
 
 
+def long_score(word: str, pieces: Pieces, p: np.ndarray) -> np.ndarray:
+    """(languages) log probability of one word of any length: STRETCH positions at a time, after the beginnings that the
+    longest piece reaches back to."""
+    back = pieces.longest
+    past = np.full((back, p.shape[1]), -np.inf)
+    past[-1] = 0
+    q = np.vstack([p, np.full((1, p.shape[1]), -np.inf)])  # -1 is the last row
+    for a in range(0, len(word), STRETCH):
+        lead = min(a, back - 1)
+        grid = lattice([word[a - lead : a + STRETCH]], pieces)[0, lead:]
+        alpha = np.concatenate([past, np.empty((len(grid), p.shape[1]))])
+        for j, ids in enumerate(grid):
+            x = alpha[j : j + back][::-1] + q[ids]
+            top = x.max(0)
+            alpha[j + back] = top + np.log(np.exp(x - top).sum(0))
+        past = alpha[-back:]
+    return past[-1]
+
+
+def groups(words: list[str]):
+    """Places of words of like length, few enough to be worked on together."""
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    a = 0
+    while a < len(order):
+        b = a + 1
+        while b < len(order) and (b - a) < 4096 and (b + 1 - a) * len(words[order[b]]) <= 1 << 16:
+            b += 1
+        yield order[a:b]
+        a = b
+
+
 def word_scores(words: list[str], pieces: Pieces, p: np.ndarray) -> np.ndarray:
-    """(words, languages) log probabilities."""
+    """(words, languages) log probabilities. p: (languages, pieces)."""
     out = np.zeros((len(words), len(p)))
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    for a in range(0, len(order), 4096):
-        part = order[a : a + 4096]
-        alpha = forward(lattice([words[i] for i in part], pieces), p)
-        ends = np.array([len(words[i]) for i in part])
-        out[part] = np.log(np.maximum(alpha[ends, np.arange(len(part))], 1e-300))
+    log = np.log(p).T.copy()
+    short = [i for i, w in enumerate(words) if len(w) <= LONG]
+    for places in groups([words[i] for i in short]):
+        part = [short[i] for i in places]
+        alpha = forward(lattice([words[i] for i in part], pieces), log)
+        out[part] = alpha[np.array([len(words[i]) for i in part]), np.arange(len(part))]
+    for i, w in enumerate(words):
+        if len(w) > LONG:
+            out[i] = long_score(w, pieces, log)
     return out
 
 
 def expected(words: list[str], counts: np.ndarray, pieces: Pieces, p: np.ndarray) -> np.ndarray:
     """Expected uses of each piece, for one language, over all segmentations of all words."""
-    total = np.zeros(p.shape[1] + 1)
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    q = np.append(p[0], 0.0)
-    for a in range(0, len(order), 4096):
-        part = order[a : a + 4096]
+    total = np.zeros(p.shape[1])
+    log = np.log(p).T.copy()
+    for part in groups(words):
         grid = lattice([words[i] for i in part], pieces)
-        alpha = forward(grid, p)[:, :, 0]
-        ends, c = np.array([len(words[i]) for i in part]), counts[part]
+        alpha = forward(grid, log)[:, :, 0]
+        ends, each = np.array([len(words[i]) for i in part]), np.arange(len(part))
         width = grid.shape[1]
-        beta = np.zeros((width + 1, len(part)))
-        beta[ends, np.arange(len(part))] = c / np.maximum(alpha[ends, np.arange(len(part))], 1e-300)
+        beta = np.full((width + 1, len(part)), -np.inf)
+        beta[ends, each] = np.log(counts[part]) - alpha[ends, each]
         for j in range(width, 0, -1):
-            for l in range(1, min(j, LONGEST) + 1):  # noqa: E741
-                ids = grid[:, j - 1, l - 1]
-                x = q[ids] * beta[j]
-                np.add.at(total, ids, alpha[j - l] * x)
-                beta[j - l] += x
-    return total[:-1]
+            for l in range(1, min(j, pieces.longest) + 1):  # noqa: E741
+                who = np.flatnonzero((grid[:, j - 1, l - 1] >= 0) & (beta[j] > -np.inf))
+                if len(who):
+                    ids = grid[who, j - 1, l - 1]
+                    x = log[ids, 0] + beta[j, who]
+                    np.add.at(total, ids, np.exp(alpha[j - l, who] + x))
+                    beta[j - l, who] = np.logaddexp(beta[j - l, who], x)
+    return total
 
 
 class Model:
@@ -159,6 +197,15 @@ class Model:
         found = [LETTERS.findall(t.lower()) if t else [] for t in texts]
         if not self.names:
             return ["und"] * len(texts), [0.0] * len(texts)
+        lengthy = [i for i, f in enumerate(found) if f and max(map(len, f)) >= LONG]
+        if lengthy:
+            if len(texts) == 1:
+                return self.one(found[0])
+            apart = set(lengthy)
+            lang, score = self.predict([None if i in apart else t for i, t in enumerate(texts)])
+            for i in lengthy:
+                (lang[i],), (score[i],) = self.one(found[i])
+            return lang, score
         new = list(set().union(*found) - self.known.keys()) if found else []
         if len(self.known) + len(new) > WORDS:
             self.known.clear()
@@ -185,7 +232,7 @@ class Model:
         sums[some] = np.add.reduceat(self.values[ids], starts, axis=0)
 
     def one(self, words):
-        """A single text with more distinct words than are remembered: summed in blocks."""
+        """A single text, word by word in blocks: it has long words, or more words than are remembered."""
         total, c = np.zeros(len(self.names)), Counter(words)
         names = list(c)
         for a in range(0, len(names), WORDS // 4):
