@@ -290,6 +290,50 @@ def test_forward_sums_segmentations():
     assert np.isclose(got, 0.1 * 0.15 * 0.25 + 0.2 * 0.25 + 0.1 * 0.05 + 0.24)
 
 
+def test_whole_texts_against_plain_sums(docs):
+    """Scores of whole texts against a recursion over characters in plain loops, with all pieces, for words of any length."""
+    by = collections.defaultdict(list)
+    for i, t, lang in docs:
+        if lang and len(by[lang]) < 12:
+            by[lang].append(t[:2000])
+    names, pieces, p = langid.fit(by, langid.load_pieces(langid.default_pieces()))
+    assert langid.Pieces(pieces).longest == max(map(len, pieces)) > 10 and np.allclose(p.sum(1), 1, atol=0.01)
+    place = {x: k for k, x in enumerate(pieces) if x}
+
+    def plain(text):
+        total = np.zeros(len(names))
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            w = langid.MARK + w
+            for k in range(len(names)):
+                sums, scale = [1.0], [0.0]
+                for j in range(1, len(w) + 1):
+                    own = [(scale[j - l], sums[j - l] * p[k][place[w[j - l : j]]]) for l in range(1, j + 1) if w[j - l : j] in place]
+                    if w[j - 1] not in place:
+                        own.append((scale[j - 1], sums[j - 1] * p[k][0]))
+                    top = max(s + np.log(x) for s, x in own)
+                    sums.append(sum(np.exp(s + np.log(x) - top) for s, x in own))
+                    scale.append(top)
+                total[k] += scale[-1] + np.log(sums[-1])
+        post = np.exp(total - total.max())
+        return names[int(post.argmax())], float(post.max() / post.sum())
+
+    texts = [t[:300] for _, t, _ in docs[30:42]] + ["Donaudampfschifffahrtsgesellschaft", "the " + "abcde" * 40, "語" * 30, "x", "der the les que"]
+    model = langid.Model(names, pieces, p)
+    stretch, langid.STRETCH = langid.STRETCH, 50
+    try:
+        got = list(zip(*model.predict(texts)))
+    finally:
+        langid.STRETCH = stretch
+    for t, (lang, score) in zip(texts, got):
+        if re.search(r"[^\W\d_]", t):
+            want = plain(t)
+            assert lang == want[0] and abs(score - want[1]) < 1e-6
+        else:
+            assert lang == "und" and score == 0
+    one = langid.Model(names, pieces, p)
+    assert all(a == b[0] and abs(c - d[0]) < 1e-9 for (a, c), (b, d) in zip(got, [one.predict([t]) for t in texts]))
+
+
 def test_secrets(spark, docs, awkward):
     def brute(t):
         spans = []
