@@ -16,10 +16,15 @@ query. A passage whose terms' largest impacts cannot reach the threshold is pass
 batch); for the others WAND skips by term bounds and block bounds, and yields every entry at or above the threshold. The
 score reported is the item's as a whole, as a share of its own score.
 
-The index is built from at most SHARD items at a time; a larger benchmark is several indexes and scans.
-
-Edge cases: null and empty texts have no passages; items without words are never found; parts under five words count
-as one shingle; rows that repeat are reported each; empty tables give an empty result.
+An index is built from about SHARD_BYTES of items; a larger benchmark is several indexes, each with a scan of the texts.
+How many items there are, in how many of them a word occurs and how long they are on average is counted once over all
+items, so scores do not depend on the number of indexes. An index travels to the tasks once (Spark broadcasts functions
+that are large); its size follows SHARD_BYTES.
+
+Edge cases: null and empty texts have no passages; items without words are never found; an item with a null id is
+searched for like all others and reported with a null item_id; parts under five words count as one shingle; rows that
+repeat are reported each; empty tables give an empty result; extra columns, whatever their names, are carried along
+untouched by without_contaminated and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import bounded_batches, narrow
+from skyloom.llm.common import bounded_batches, narrow, written
 from skyloom.llm.shingles import SHINGLE, plain, word_hashes
 
 K1, B = 1.2, 0.75
@@ -45,8 +50,9 @@ BLOCK = 16
 PASSAGE = 128
 #: Ranges of entries with a bound of their own in the test that passes over hopeless passages.
 RANGES = 64
-SHARD = 50_000
-SLICE_BYTES = 1 << 20
+#: Bytes of items in an index, on average.
+SHARD_BYTES = 2 << 20
+SLICE_BYTES = 1 << 18
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
@@ -94,17 +100,17 @@ def absent(part: list[bytes], impact: dict[bytes, float]) -> float:
 class Index:
     """BM25 postings of test items in blocks, by word hash."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int | None, str]], statistics: tuple[int, float, dict[bytes, int]] | None = None):
+        """items: (item_id, text); statistics: number of items with words, their mean length, and for each word of these
+        items the number of items it is in; by default those of the items themselves."""
         self.items = []
-        for item_id, text in sorted((i, t or "") for i, t in items):
+        for item_id, text in sorted(((i, t or "") for i, t in items), key=lambda x: (x[0] is None, x[0] or 0, x[1])):
             words = plain(text).split()
             if words:
                 self.items.append((item_id, words, *[p.split() for p in parts_of(text)]))
-        n = len(self.items)
         tf = [Counter(w) for _, w, *_ in self.items]
-        df = Counter(w for c in tf for w in c)
-        mean = sum(len(w) for _, w, *_ in self.items) / n if n else 1
-        names = sorted(df)
+        n, mean, df = statistics or (len(tf), sum(len(w) for _, w, *_ in self.items) / max(1, len(tf)), Counter(w for c in tf for w in c))
+        names = sorted({w for c in tf for w in c})
         idf = {w: np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) for w in names}
         postings: dict[bytes, list[tuple[int, float]]] = {w: [] for w in names}
         self.entries: list[int] = []  # item of each entry
@@ -266,13 +272,36 @@ def _pieces(cut: np.ndarray, n: int):
         a = b
 
 
-def indexes(benchmark: DataFrame, shard: int = SHARD):
-    """Indexes over the benchmark, at most `shard` items at a time reach the driver."""
-    items = narrow(benchmark, "item_id", "text").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
-    n = max(1, -(-items.count() // shard))
+def _terms(batches):
+    """(lot, length of the item, word) for each word of an item once, and a row without a word for each item."""
+    schema = pa.schema([("lot", pa.int32()), ("length", pa.int64()), ("word", pa.binary())])
+    for b in batches:
+        rows = []
+        for lot, text in zip(b.column("lot").to_pylist(), b.column("text").to_pylist()):
+            if words := plain(text).split():
+                rows.append((lot, len(words), None))
+                rows += [(lot, None, w) for w in sorted(set(words))]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def indexes(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES):
+    """Indexes over the benchmark: about `shard_bytes` of items at a time reach the driver, with the counts of their words."""
+    items = narrow(benchmark, "item_id", "text").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-total // shard_bytes))
+    items = items.withColumn("lot", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int"))
+    if n == 1:
+        yield Index([(r.item_id, r.text) for r in items.collect()])  # at most shard_bytes
+        return
+    items = written(items, "leak-items")
+    terms = written(items.mapInArrow(_terms, "lot int, length long, word binary"), "leak-terms")
+    count, mean = terms.where("word is null").agg(F.count("*"), F.avg("length")).first()
+    df = written(terms.where("word is not null").groupBy("word").agg(F.count("*").alias("n")), "leak-words")
     for k in range(n):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) if n > 1 else items
-        yield Index([tuple(r) for r in part.collect()])
+        own = df.join(terms.where((F.col("lot") == k) & F.col("word").isNotNull()).select("word").distinct(), "word")
+        words = {bytes(r.word): r.n for r in own.collect()}
+        yield Index([(r.item_id, r.text) for r in items.where(F.col("lot") == k).collect()], (count, mean, words))
 
 
 def _ranges(texts):
@@ -289,12 +318,12 @@ def _ranges(texts):
 LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("first_word", pa.int64())])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap, first_word: the verified leaks of docs(doc_id, text)."""
     bounded_batches(docs.sparkSession)
     slim = narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for index in indexes(benchmark):
+    for index in indexes(benchmark, shard_bytes):
 
         def scan(batches, index=index):
             for b in batches:
@@ -309,15 +338,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The rows of docs without a verified leak, with all their columns."""
     bounded_batches(docs.sparkSession)
-    names, schema = docs.columns, docs.schema
-    for index in indexes(benchmark):
+    at, schema = [c.lower() for c in docs.columns].index("text"), docs.schema
+    for index in indexes(benchmark, shard_bytes):
 
         def keep(batches, index=index):
             for b in batches:
-                texts = b.column(names.index("text")).cast(pa.string()).to_pylist()
+                texts = b.column(at).cast(pa.string()).to_pylist()
                 bad = np.zeros(len(texts), bool)
                 for a, e in _ranges(texts):
                     for i, *_ in index.leaks(texts[a:e]):
