@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from skyloom.llm.common import bounded_batches, narrow, written
+from skyloom.llm.common import bounded_batches, fresh, narrow, written
 from skyloom.llm.shingles import mix, multisets, shingle_hashes, words_of
 
 REGISTERS, BANDS, ROWS = 64, 16, 4
@@ -340,16 +340,14 @@ def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> Da
     doc_id and text are in one group, so these two name a survivor; of rows that repeat both, one is kept.
     """
     rows, classes = _grouped(docs, threshold, True)
-    first = of_class(rows, classes).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min("digest").alias("__digest"), F.first("class_id").alias("__keep"))
+    digest, least = fresh(docs, "digest", "least")
+    first = of_class(rows, classes).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min("digest").alias(digest), F.first("class_id").alias(least))
     # min passes over nulls: a null text is the survivor only of a group that has no other
-    keep = written(first.select("__keep", "__digest"), "nd-keep")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__keep")) & _digest(F.col("text")).eqNullSafe(F.col("__digest"))
-    return _one_of_equal(docs.join(keep, same, "left_semi"))
-
-
-def _one_of_equal(docs: DataFrame) -> DataFrame:
-    """Rows that share doc_id and text: one of them."""
-    keyed = docs.withColumn("__digest", _digest(F.col("text")))
-    if keyed.groupBy("doc_id", "__digest").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return docs
-    return keyed.dropDuplicates(["doc_id", "__digest"]).drop("__digest")
+    keep = written(first.select(least, digest), "nd-keep")
+    same = docs["doc_id"].cast("long").eqNullSafe(keep[least]) & _digest(docs["text"]).eqNullSafe(keep[digest])
+    out = docs.join(keep, same, "left_semi")
+    # rows that share doc_id and text: one of them
+    keyed = out.withColumn(digest, _digest(F.col("text")))
+    if keyed.groupBy("doc_id", digest).agg(F.count("*").alias(least)).where(F.col(least) > 1).isEmpty():
+        return out
+    return keyed.dropDuplicates(["doc_id", digest]).drop(digest)
