@@ -455,6 +455,18 @@ def test_question_and_answer_decide(spark):
     assert {r.doc_id: (r.question_overlap, r.answer_overlap) for r in rows if r.doc_id < 3} == {0: (1.0, 1.0), 1: (1.0, 0.0), 2: (1.0, 0.0)}
 
 
+def test_scores_do_not_depend_on_shards(spark):
+    """One index or many: the same leaks and scores, items with null and shared ids among them."""
+    w = lambda name, n: " ".join(f"{name}{i % 17} common{i % 3}" for i in range(n))
+    items = [(i if i % 5 else None, f"{w(f'q{i}', 9)}. {w(f'a{i}', 4)}.") for i in range(30)] + [(7, None), (7, "")]
+    docs = spark.createDataFrame([(k, f"{w('fill', 30)} {items[k][1]} {w('end', 20)}") for k in range(30)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    key = lambda rows: sorted(((r.doc_id, r.item_id, round(r.score, 9), r.question_overlap, r.first_word) for r in rows), key=str)
+    one, many = (key(decontam.contaminated(docs, bench, size).collect()) for size in (1 << 20, 700))
+    assert len(one) == 30 and one == many and {(d, i) for d, i, *_ in one} == {(k, items[k][0]) for k in range(30)}
+    assert decontam.without_contaminated(docs, bench, 700).count() == 0
+
+
 def test_retrieval_loses_no_leak():
     """Entries at the threshold against the rule applied to each item and passage."""
     r = np.random.RandomState(3)
@@ -508,6 +520,41 @@ def test_empty_tables(name, spark, empty):
     assert got.count() == 0
 
 
+STAGES = {
+    "toxicity": lambda d, lab, b: toxicity.without_toxic(d, lab), "near": lambda d, lab, b: minhash.without_near_duplicates(d),
+    "leaks": lambda d, lab, b: decontam.without_contaminated(d, b), "mix": lambda d, lab, b: mixing.mixed_sequence(d),
+}
+CLASHES = ["row", "finish", "copy", "label", "cls", "lot", "h", "digest", "least", "score", "item_id", "size", "source_size", "target", "k", "words"]
+
+
+@pytest.mark.parametrize("name", sorted(STAGES))
+def test_stages_on_awkward_rows(name, spark, empty, labels):
+    """Nulls, repeats, empty tables and columns of any name: defined rows, all columns as they were."""
+    text = [" ".join(f"s{k}w{i}" for i in range(30)) for k in range(6)]
+    item = "what are the four seasons of a year in this part of the world. spring and summer and autumn and winter."
+    rows = [(1, text[0], "a"), (1, text[1], "a"), (None, text[2], "a"), (None, text[3], None), (2, None, "b"), (3, "", None), (4, " \n ", "b"), (5, text[4], "b"), (5, text[4], "b"),
+            (6, f"{text[5]} {item}", "b"), (None, f"{text[5]} {item} again", "a")]
+    wide = [(*r, "en", 1, *[f"c{i}" for i in range(len(CLASHES))]) for r in rows]
+    docs = spark.createDataFrame(wide, "doc_id long, text string, source string, lang string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES))
+    bench = spark.createDataFrame([(1, item), (None, "x"), (2, None)], "item_id long, text string")
+    out = STAGES[name](docs, labels, bench)
+    assert out.columns == docs.columns
+    got = collections.Counter(tuple(r) for r in out.collect())
+    assert set(got) <= set(wide)
+    have = collections.Counter(r[:3] for r in got.elements())
+    every = collections.Counter(rows)
+    if name == "leaks":
+        assert have == collections.Counter(r for r in rows if item not in (r[1] or ""))
+    if name == "near":  # a row of each text; blank ones are one group, and so are the two with the item
+        assert sorted(((r[0], (r[1] or "")[:3]) for r in have.elements()), key=str) == sorted([(1, "s0w"), (1, "s1w"), (None, "s2w"), (None, "s3w"), (2, ""), (5, "s4w"), (6, "s5w")], key=str)
+    if name == "mix":
+        assert all(n <= 2 * every[r] for r, n in have.items()) and not any((r[1] or "").strip() == "" for r in have) and len(have) >= 5
+    if name == "toxicity":
+        assert have == collections.Counter({r: n for r, n in every.items() if r in have}) and len(have) >= 5
+    none = STAGES[name](spark.createDataFrame([], docs.schema), spark.createDataFrame([], "doc_id long, quality int, toxic int"), spark.createDataFrame([], "item_id long, text string"))
+    assert none.columns == docs.columns and none.count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage against a plain version of itself, on that stage's own input."""
     import corpus_pipeline
