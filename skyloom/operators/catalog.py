@@ -15,6 +15,7 @@ from skyloom.functions.rng import u01, u01_fast
 from skyloom.operators.isometry import Isometry, IsometryError, box_to_cutsky, cutsky_to_box  # noqa: F401
 from skyloom.operators.masks import UniformAngular, UniformRadial
 from skyloom.operators.remap import Cuboid
+from skyloom.operators.scratch import once
 
 
 @dataclass(frozen=True)
@@ -196,14 +197,11 @@ class BoxCatalog(ParticleCatalog):
             if em is None and im is None:
                 ee = ii = slack / (n[a] + 1)
             else:
-                total = 2 * e[a] + (n[a] - 1) * i[a]
-                if em is None:
-                    ii, ee = i[a], (slack - (n[a] - 1) * i[a]) / 2
-                elif im is None and n[a] > 1:
-                    ee, ii = e[a], (slack - 2 * e[a]) / (n[a] - 1)
-                else:
-                    k = slack / total if total else 0.0
-                    ee, ii = (e[a] * k, i[a] * k) if total else (slack / 2, 0.0)
+                ee, ii = (i[a] if em is None else e[a]), (e[a] if im is None else i[a])  # a missing one is like the other
+                total = 2 * ee + (n[a] - 1) * ii
+                if total > slack + 1e-9:
+                    raise IsometryError(f"margins of {total} do not fit into {slack}")
+                ee, ii = (ee * slack / total, ii * slack / total) if total else (slack / 2, 0.0)
             grids.append([center[a] - box[a] / 2 + ee + size[a] / 2 + m * (size[a] + ii) for m in range(n[a])])
         ways = [Isometry().translation(-np.array(c)) + way for c in itertools.product(*grids)]
         return ways[:noutput], radial, angular
@@ -229,9 +227,15 @@ class BoxCatalog(ParticleCatalog):
                 )
             cut = replace(cut, df=df).with_vectors(values).drop("__w")
         d, r, c = g.cartesian_to_sky(cut.vector())
-        cut = replace(cut, df=cut.df.withColumns({dist: d, ra: r, dec: c}))
+        if isinstance(radial, UniformRadial) and radial.nbar >= 1:  # squares first: most rows need no angles
+            lo, hi = map(float, radial.zrange)
+            x, y, z = cut.vector()
+            cut, radial = cut.where((x * x + y * y + z * z).between(lo * lo * (1 - 1e-12), hi * hi * (1 + 1e-12))), None
+            cut = replace(cut, df=once(cut.df, {dist: d, ra: r, dec: c})).where(F.col(dist).between(lo, hi))
+        else:
+            cut = replace(cut, df=once(cut.df, {dist: d, ra: r, dec: c}))
         if radial is not None:
-            cut = cut.where(radial.keep(F.col(self.row_id), F.col(dist)) if not isinstance(radial, UniformRadial) or radial.nbar < 1 else F.col(dist).between(*map(float, radial.zrange)))
+            cut = cut.where(radial.keep(F.col(self.row_id), F.col(dist)))
         if angular is not None:
             cut = cut.where(angular.inside(F.col(ra), F.col(dec)) if angular.nbar >= 1 else angular.keep(F.col(self.row_id), F.col(ra), F.col(dec)))
         return cut
@@ -258,7 +262,7 @@ def box_of(df: DataFrame, row_id: str, boxsize, boxcenter=0.0, seed: int = 42, u
     cols = {f"Position_{a}": F.round((uniform(F.col("row_id"), seed, a) - 0.5) * float(s) + float(c), digits) for a, s, c in zip(g.AXES, size, center)}
     if velocity is not None:
         cols |= {f"Velocity_{a}": F.round((uniform(F.col("row_id"), seed, "v" + a) - 0.5) * float(velocity), digits) for a in g.AXES}
-    return BoxCatalog(rows.withColumns(cols), velocity="Velocity" if velocity is not None else None, boxsize=tuple(size), boxcenter=tuple(center), attrs={"seed": seed})
+    return BoxCatalog(once(rows, cols), velocity="Velocity" if velocity is not None else None, boxsize=tuple(size), boxcenter=tuple(center), attrs={"seed": seed})
 
 
 def random_cutsky(spark: SparkSession, rarange, decrange, drange=None, csize: int | None = None, nbar: float | None = None, seed: int = 42, position: str = "Position") -> CutskyCatalog:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyloom.functions import geometry as g
 from skyloom.functions.interp import Spline
+from skyloom.operators.scratch import settled
 
 
 def weighted_variance(x: Column, w: Column) -> Column:
@@ -117,26 +121,91 @@ def correlation_edges(mode: str, smax: float = 150.0, step: float = 4.0, scale:
     return s, second[mode]
 
 
+#: Points of a cell, on average, and of a block of a crowded cell; two blocks are compared at a time.
+CELL_POINTS, BLOCK_POINTS = 64, 2048
+
+
 def pair_counts(a: DataFrame, b: DataFrame, edges, position: str = "Position", row_id: str = "row_id", auto: bool = False) -> DataFrame:
-    """(bin, pairs): pairs by separation. Space is cut in cells of the largest separation; a point meets those of the 27
-    cells around its own by an equi-join on the cell, so work follows the number of close pairs, not of all pairs."""
-    from skyloom.functions import geometry as g
+    """(bin, lo, hi, pairs): pairs by separation.
 
+    Space is cut in cells of at least the largest separation. A point of `a` is at home in its cell; points of `b` go to the
+    cells around theirs (for pairs within one catalog to half of them, so that a pair meets once), and inside tasks the
+    separations are counted block by block: pairs never become rows. Crowded cells are cut in blocks on either side, so
+    that a task holds two blocks, whatever the crowding.
+    """
     e = np.asarray(edges, float)
-    size = float(e[-1])
-    cell = lambda v: [F.floor(c / size).cast("long") for c in v]
-    left = a.select(F.col(row_id).alias("ia"), *[c.alias(f"a{i}") for i, c in enumerate(g.vector(position))])
-    left = left.withColumns({f"c{i}": c for i, c in enumerate(cell([F.col(f"a{i}") for i in range(3)]))})
-    right = b.select(F.col(row_id).alias("ib"), *[c.alias(f"b{i}") for i, c in enumerate(g.vector(position))])
-    steps = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    right = right.withColumns({f"d{i}": c for i, c in enumerate(cell([F.col(f"b{i}") for i in range(3)]))})
-    for i in range(3):
-        right = right.withColumn("s", F.explode(steps)).withColumn(f"c{i}", F.col(f"d{i}") + F.col("s")).drop("s", f"d{i}")
-    d2 = sum(((F.col(f"a{i}") - F.col(f"b{i}")) * (F.col(f"a{i}") - F.col(f"b{i}")) for i in (1, 2)), (F.col("a0") - F.col("b0")) * (F.col("a0") - F.col("b0")))
-    pairs = left.join(right, ["c0", "c1", "c2"]).select("ia", "ib", F.sqrt(d2).alias("d"))
+    x = g.vector(position)
+    span = a.agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(f"s{i}") for i, c in enumerate(x)]).first()
+    volume = float(np.prod([max(span[f"s{i}"] or 0.0, e[-1]) for i in range(3)]))
+    size = max(float(e[-1]), (volume * CELL_POINTS / max(1, span.n)) ** (1 / 3))
+    # of a cell and the 26 around it, the half that comes after it in order; the cell itself comes first
+    around = sorted(itertools.product((-1, 0, 1), repeat=3), key=lambda s: (s != (0, 0, 0), s))
     if auto:
-        pairs = pairs.where("ia < ib")
-    return histogram(pairs, "d", e).select("bin", "lo", "hi", F.col("counts").cast("long").alias("pairs"))
+        around = [s for s in around if s >= (0, 0, 0)]
+    cell = lambda c: F.floor(c / size).cast("long")
+    home = a.select(F.col(row_id).alias("id"), *[c.alias(f"p{i}") for i, c in enumerate(x)]).withColumns({f"c{i}": cell(F.col(f"p{i}")) for i in range(3)}).withColumn("side", F.lit(0))
+    steps = F.array(*[F.struct(*[F.lit(int(v)).alias(f"d{i}") for i, v in enumerate(s)]) for s in around])
+    guests = b.select(F.col(row_id).alias("id"), *[c.alias(f"p{i}") for i, c in enumerate(x)], F.explode(steps).alias("s"))
+    guests = guests.select("id", "p0", "p1", "p2", *[(cell(F.col(f"p{i}")) - F.col(f"s.d{i}")).alias(f"c{i}") for i in range(3)], F.when(F.col("s.d0").isin(0) & F.col("s.d1").isin(0) & F.col("s.d2").isin(0), 1).otherwise(2).alias("side"))
+    cells = ["c0", "c1", "c2"]
+    # blocks of cells with more points than a block: a small table
+    crowd = home.groupBy(*cells).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_POINTS).select(*cells, F.ceil(F.col("n") / BLOCK_POINTS).cast("int").alias("nh"))
+    full = guests.groupBy(*cells).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_POINTS).select(*cells, F.ceil(F.col("n") / BLOCK_POINTS).cast("int").alias("ng"))
+    blocks = settled(crowd.join(full, cells, "full").select(*cells, F.coalesce("nh", F.lit(1)).alias("nh"), F.coalesce("ng", F.lit(1)).alias("ng")), "crowded")
+    rows = home.unionByName(guests)
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("side") == 0, F.col("nh")).otherwise(F.col("ng"))).cast("int")
+    other = F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("ng")).otherwise(F.col("nh")) - 1)
+    crowded = rows.join(blocks, cells).withColumn("own", own).withColumn("other", F.explode(other))
+    crowded = crowded.select("id", "p0", "p1", "p2", *cells, "side", F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")).alias("i"), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own")).alias("k"))
+    calm = rows.join(blocks, cells, "left_anti") if not blocks.isEmpty() else rows
+    rows = calm.select("id", "p0", "p1", "p2", *cells, "side", F.lit(0).alias("i"), F.lit(0).alias("k"))
+    if not blocks.isEmpty():
+        rows = rows.unionByName(crowded)
+    key = [*cells, "i", "k"]
+    parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(_pairs_of_cells(e, auto), "bin int, pairs long")
+    bins = a.sparkSession.createDataFrame([(i, float(lo), float(hi)) for i, (lo, hi) in enumerate(zip(e[:-1], e[1:]))], "bin int, lo double, hi double")
+    return bins.join(F.broadcast(counts.groupBy("bin").agg(F.sum("pairs").alias("pairs"))), "bin", "left").select("bin", "lo", "hi", F.coalesce("pairs", F.lit(0)).alias("pairs"))
+
+
+def _pairs_of_cells(edges: np.ndarray, auto: bool):
+    """Counts of separations between the points at home and the guests of each pair of blocks; rows arrive by cell."""
+    squares, last = edges**2, len(edges) - 1
+
+    def count(p: np.ndarray, side: np.ndarray, ids: np.ndarray, out: np.ndarray):
+        home, guests = np.flatnonzero(side == 0), np.flatnonzero(side > 0)
+        for at in range(0, len(home), 256):
+            h = home[at : at + 256]
+            d = np.zeros((len(h), len(guests)))
+            for i in range(3):
+                d += (p[i][h][:, None] - p[i][guests][None]) ** 2
+            meets = d <= squares[-1]
+            if auto:  # guests of the cell itself meet once
+                meets &= (side[guests] == 2)[None] | (ids[h][:, None] < ids[guests][None])
+            # the root, as edges are compared with separations
+            bins = np.searchsorted(edges, np.sqrt(d[meets]), "right") - 1
+            bins[np.sqrt(d[meets]) == edges[-1]] = last - 1
+            bins = bins[(bins >= 0) & (bins < last)]
+            out += np.bincount(bins, minlength=last)
+
+    def run(batches):
+        out, held = np.zeros(last, np.int64), None
+        schema = pa.schema([("bin", pa.int32()), ("pairs", pa.int64())])
+        for batch in batches:
+            cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("p0", "p1", "p2", "side", "id", "c0", "c1", "c2", "i", "k")]
+            if held is not None:
+                cols = [np.concatenate([x, y]) for x, y in zip(held, cols)]
+            key = np.stack(cols[5:])
+            new = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
+            ends = [0, *new.tolist()]
+            for lo, hi in zip(ends[:-1], ends[1:]):
+                count([c[lo:hi] for c in cols[:3]], cols[3][lo:hi], cols[4][lo:hi], out)
+            held = [c[ends[-1] :] for c in cols]
+        if held is not None:
+            count(held[:3], held[3], held[4], out)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(last, dtype=np.int32)), pa.array(out)], schema=schema)
+
+    return run
 
 
 def cumulative(rows: DataFrame, key: str, value: str) -> DataFrame:

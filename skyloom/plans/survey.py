@@ -10,7 +10,7 @@ from skyloom.functions.cosmology import cosmology
 from skyloom.functions.distributions import TruncatedCauchy, TruncatedNormal
 from skyloom.functions.rng import u01, u01_sql
 from skyloom.operators import blinding, bricks, fibers, footprint, mesh, mocks, smearing
-from skyloom.operators.scratch import LOCAL, settled
+from skyloom.operators.scratch import settled, shared_folder
 from skyloom.plans.sky import POS, SKY, _linear_sql, box_sql, orders_box, orders_sky, r6, rounded, table
 from skyloom.sources import files
 from skyloom.streaming.nz import streaming_nz
@@ -420,8 +420,7 @@ def blind_cosmology(spark, sf_dir):
 def catalog_round_trip(spark, sf_dir):
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL
-    path = f"{base.rstrip('/')}/catalog-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}"
     files.write_catalog(orders_box(spark, sf_dir), path, files=2, group="1")
     return rounded(files.read_catalog(spark, path, group="1").df, *POS)
 

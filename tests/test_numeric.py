@@ -173,3 +173,49 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.bin, r.counts) for r in spark.table("nz").collect()) == [(1, 2), (2, 1)]
+
+
+@pytest.mark.parametrize("auto", [True, False])
+def test_pairs_of_crowded_cells(spark, auto, monkeypatch):
+    """Half of the points lie in one cell, which is cut in blocks; every pair counts once."""
+    from skyloom.operators import density
+
+    monkeypatch.setattr(density, "BLOCK_POINTS", 50)
+    r = np.random.RandomState(1)
+    a = np.concatenate([r.uniform(0, 40, (150, 3)), r.uniform(10, 11, (150, 3)), [[5.0, 5.0, 5.0], [5.0, 5.0, 8.0]]])
+    b = a if auto else np.concatenate([r.uniform(0, 40, (100, 3)), r.uniform(10, 11, (120, 3))])
+    edges = [0.5, 1.0, 2.0, 3.0]
+    frame = lambda p: spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], "row_id long, Position_x double, Position_y double, Position_z double")
+    got = [r.pairs for r in density.pair_counts(frame(a), frame(b), edges, auto=auto).orderBy("bin").collect()]
+    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1))
+    d = d[np.triu_indices(len(a), 1)] if auto else d.ravel()
+    assert got == np.histogram(d, edges)[0].tolist()
+    empty = frame(a[:0])
+    assert [r.pairs for r in density.pair_counts(empty, empty, edges, auto=auto).orderBy("bin").collect()] == [0, 0, 0]
+
+
+def test_margins_of_cuts():
+    """A margin that is not given is like the other, and both grow alike to fill the box."""
+    from skyloom.operators.catalog import BoxCatalog
+    from skyloom.operators.isometry import IsometryError
+
+    box = type("Box", (), {"boxsize": (400.0,) * 3, "boxcenter": (0.0,) * 3})()
+    cut = dict(drange=(200.0, 260.0), rarange=(-10.0, 10.0), decrange=(-8.0, 8.0), noutput=None)
+    from skyloom.operators.isometry import cutsky_to_box
+
+    size, way = cutsky_to_box(cut["drange"], cut["rarange"], cut["decrange"])
+
+    def centers(**margins):
+        ways, _, _ = BoxCatalog.isometries_for_cutsky(box, **cut, **margins)
+        shifts = np.array([np.linalg.solve(np.array(w.rotation_matrix), np.array(way.shift) - np.array(w.shift)) for w in ways])
+        return [sorted(set(np.round(shifts[:, i], 6))) for i in range(3)]
+
+    for margins, e, i in (({"external_margin": 2.0}, 2.0, 2.0), ({"internal_margin": 1.0}, 1.0, 1.0), ({"external_margin": 1.0, "internal_margin": 3.0}, 1.0, 3.0)):
+        for a, got in enumerate(centers(**margins)):
+            given_e, given_i = margins.get("external_margin", 0.0), margins.get("internal_margin", 0.0)
+            n = int((400 - 2 * given_e + given_i) / (size[a] + given_i))
+            k = (400 - size[a] * n) / (i * (n - 1) + 2 * e)
+            want = k * e + (size[a] + k * i) * np.arange(n) + size[a] / 2 - 200
+            assert k >= 1 and np.allclose(got, want, atol=1e-5)
+    with pytest.raises(IsometryError):
+        centers(internal_margin=8.0)
