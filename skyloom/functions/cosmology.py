@@ -9,6 +9,8 @@ import numpy as np
 from skyloom.functions.interp import Spline
 
 SPEED = 299792.458  # km/s
+#: Other names of parameters.
+ALIASES = {"w0_fld": "w0", "wa_fld": "wa"}
 
 
 @dataclass(frozen=True)
@@ -71,7 +73,8 @@ class Cosmology:
         return np.where(k > 0, out, 0.0)
 
     def get(self, name: str, z: float = 0.0):
-        """A quantity by name: Omega_m, omega_m, sigma8, fsigma8, f, fnl, h, w0, wa, n_s."""
+        """A quantity by name: Omega_m, omega_m, sigma8, fsigma8, f, fnl, h, w0, wa, n_s; w0_fld and wa_fld are w0 and wa."""
+        name = ALIASES.get(name, name)
         if name in self.derived:
             return self.derived[name]
         if name == "omega_m":
@@ -106,10 +109,11 @@ def cosmology(spec="DESI") -> Cosmology:
     return blinded(cosmology(name), {}, fixed=changes)
 
 
-def blinded(fiducial: Cosmology, spreads: dict[str, float], seed: int = 42, fixed: dict | None = None) -> Cosmology:
-    """Each parameter uniform within fiducial +- spread, in the order given; f and fnl are kept apart as derived."""
+def blinded(fiducial: Cosmology, spreads: dict[str, float], seed: int = 42, fixed: dict | None = None, z: float = 0.0) -> Cosmology:
+    """Each parameter uniform within fiducial +- spread, in the order given; f (at redshift z) and fnl are kept apart as
+    derived."""
     rng = np.random.RandomState(seed)
-    values = {k: fiducial.get(k) + 2 * s * (rng.uniform() - 0.5) for k, s in spreads.items()} | (fixed or {})
+    values = {ALIASES.get(k, k): fiducial.get(k, z) + 2 * s * (rng.uniform() - 0.5) for k, s in spreads.items()} | {ALIASES.get(k, k): v for k, v in (fixed or {}).items()}
     own = {k: v for k, v in values.items() if k in Cosmology.__dataclass_fields__ and k != "derived"}
     return replace(fiducial, **own, derived=fiducial.derived | {k: v for k, v in values.items() if k not in own})
 

@@ -374,11 +374,11 @@ def blind_ap(spark, sf_dir):
 SHARE = 0.3
 
 
-@query(f"""WITH b AS ({box_sql(center=(1500.0, 0.0, 0.0))}), d AS (SELECT row_id, sqrt(x * x + y * y + z * z) AS d FROM b), m AS (SELECT * FROM d WHERE {u01_sql('row_id', 42, 'pick')} < {1 - (1 - SHARE)!r}),
+@query(f"""WITH b AS ({box_sql(center=(1500.0, 0.0, 0.0))}), d AS (SELECT row_id, sqrt(x * x + y * y + z * z) AS d FROM b), m AS (SELECT * FROM d WHERE {u01_sql('row_id', 42, 'pick')} < {SHARE}),
 gv AS (SELECT d AS new, row_number() OVER (ORDER BY {u01_sql('row_id', 42, 'give')}) AS r FROM m), tk AS (SELECT row_id, row_number() OVER (ORDER BY {u01_sql('row_id', 42, 'take')}) AS r FROM m)
 SELECT d.row_id, {r6('coalesce(new, d)', 'Distance', 4)} FROM d LEFT JOIN (SELECT row_id, new FROM tk JOIN gv USING (r)) USING (row_id)""")
 def blind_shuffle(spark, sf_dir):
-    out = BLIND.shuffle(orders_box(spark, sf_dir, center=(1500.0, 0.0, 0.0)).df, fraction=1 - SHARE)
+    out = BLIND.shuffle(orders_box(spark, sf_dir, center=(1500.0, 0.0, 0.0)).df, fraction=SHARE)
     return rounded(out.withColumn("Distance", g.norm(g.vector("Position"))), "Distance", digits=4)
 
 
@@ -395,7 +395,7 @@ def blind_rsd(spark, sf_dir):
 @query()
 def blind_png(spark, sf_dir):
     b = orders_box(spark, sf_dir, center=(1500.0, 0.0, 0.0))
-    return _blind(fnl=20.0).png(b.df, None, mesh.Grid(N, 1000.0, b.boxcenter), radius=60.0)
+    return _blind(fnl=20.0).png(b.df, None, mesh.Grid(N, 1000.0, b.boxcenter), "data_weights", radius=60.0)
 
 
 @query(f"WITH b AS ({box_sql(center=(1500.0, 0.0, 0.0))}) SELECT row_id, true AS same FROM b")
