@@ -111,11 +111,41 @@ def pass_arrays(targets: DataFrame, history: DataFrame, npasses: int) -> DataFra
     return out.drop(*[f"{a}{k}" for a in "fo" for k in range(npasses)])
 
 
-def completeness_one_pass(history: DataFrame, pass_id: int) -> DataFrame:
-    """(TARGETID, extra): what the observed targets of one pass stand for, if no other pass counted them before."""
+def completeness_one_pass(history: DataFrame, pass_id: int, unused: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One pass: (TARGETID, extra) of its observed targets, and what is left of `unused`.
+
+    unused: TARGETID of targets that no pass observed and that stand for nobody yet; those with a fibre in this pass count
+    for the target observed on it, and are used up.
+    """
     h = history.where(F.col("PASS") == pass_id)
-    waiting = h.where((F.col("FIBER") != -1) & ~F.col("OBSERVED")).groupBy("TILEID", "FIBER").agg(F.count("*").alias("extra"))
-    return h.where("OBSERVED").join(waiting, ["TILEID", "FIBER"]).select("TARGETID", "extra")
+    waiting = h.where(F.col("FIBER") != -1).join(unused, "TARGETID", "left_semi")
+    extra = waiting.groupBy("TILEID", "FIBER").agg(F.count("*").alias("extra"))
+    return h.where("OBSERVED").join(extra, ["TILEID", "FIBER"]).select("TARGETID", "extra"), unused.join(waiting, "TARGETID", "left_anti")
+
+
+def never_observed(history: DataFrame) -> DataFrame:
+    """TARGETID of targets that had a fibre in some pass and were observed in none."""
+    return history.groupBy("TARGETID").agg(F.bool_or("OBSERVED").alias("seen"), F.max("FIBER").alias("f")).where("NOT seen AND f <> -1").select("TARGETID")
+
+
+def completeness_by_pass(targets: DataFrame, history: DataFrame, npasses: int) -> tuple[DataFrame, DataFrame]:
+    """(targets with COMP_WEIGHT, remaining): pass after pass, with the count of unused targets left after each.
+
+    completeness_weights gives the same weights in closed form; this is for following the passes one by one.
+    """
+    unused, out, left = settled(never_observed(history), "unused"), None, []
+    for k in range(npasses):
+        extra, rest = completeness_one_pass(history, k, unused)
+        extra = settled(extra, "extra")
+        out = extra if out is None else out.union(extra)
+        unused = settled(rest, "unused")
+        left.append(unused.select(F.lit(k).alias("PASS"), F.lit(1).alias("one")).groupBy("PASS").agg(F.count("*").alias("remaining")))
+    seen = history.where("OBSERVED").select("TARGETID").distinct()
+    weight = seen.join(out.groupBy("TARGETID").agg(F.sum("extra").alias("e")), "TARGETID", "left").select("TARGETID", (F.lit(1.0) + F.coalesce("e", F.lit(0))).alias("COMP_WEIGHT"))
+    remaining = left[0]
+    for r in left[1:]:
+        remaining = remaining.union(r)
+    return targets.join(weight, "TARGETID", "left").withColumn("COMP_WEIGHT", F.coalesce("COMP_WEIGHT", F.lit(float("nan")))), remaining
 
 
 def completeness_weights(targets: DataFrame, history: DataFrame) -> DataFrame:

@@ -90,11 +90,12 @@ class GaussianMock:
         return replace(self, delta=real)
 
     def with_selection(self, nbar, interlacing: int | bool = False):
-        """nbar: a number, or f(distance, ra, dec) on the nodes; interlacing averages shifted grids in Fourier space."""
+        """nbar: a number, or f(distance, ra, dec) on the nodes; interlacing averages so many shifted grids in Fourier space
+        (True and 1 mean 2)."""
         if not callable(nbar):
             return replace(self, nbar=float(nbar), attrs=self.attrs | {"norm": float(nbar) ** 2 * self.grid.volume})
         n, h = self.grid.n, self.grid.cell
-        steps = range(int(interlacing)) if interlacing and int(interlacing) > 1 else [0]
+        steps = range(max(2, int(interlacing))) if interlacing else [0]
         total = None
         for s in steps:
             shift = s / len(steps) * h

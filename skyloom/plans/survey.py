@@ -169,15 +169,15 @@ def mtl_update(spark, sf_dir):
 
 
 def history(spark, sf_dir):
-    o = F.col("o_orderkey")
+    o, t = F.col("o_orderkey"), F.col("TARGETID")
     h = table(spark, sf_dir, "orders").select((o % 1000).alias("TARGETID"), (F.floor(o / 1000) % 3).cast("int").alias("PASS"), (o % 5).alias("TILEID"), o.alias("o"))
     h = h.groupBy("TARGETID", "PASS").agg(F.min("TILEID").alias("TILEID"), F.min("o").alias("o"))
-    f = F.when(F.col("o") % 9 == 0, -1).otherwise((F.col("TARGETID") * 7) % 60)
-    return h.select("TARGETID", "PASS", "TILEID", f.alias("FIBER"), ((F.col("o") % 4 == 1) & (F.col("o") % 9 != 0)).alias("OBSERVED"))
+    f = F.when(F.col("o") % 9 == 0, -1).otherwise((t * 7) % 60)
+    return h.select("TARGETID", "PASS", "TILEID", f.alias("FIBER"), (((F.floor(t / 60) + F.col("PASS")) % 6 == 0) & (F.col("o") % 9 != 0)).alias("OBSERVED"))
 
 
 HISTORY = """h0 AS (SELECT o_orderkey % 1000 AS TARGETID, (o_orderkey // 1000 % 3)::INT AS PASS, min(o_orderkey % 5) AS TILEID, min(o_orderkey) AS o FROM orders GROUP BY 1, 2),
-h AS (SELECT TARGETID, PASS, TILEID, CASE WHEN o % 9 = 0 THEN -1 ELSE TARGETID * 7 % 60 END AS FIBER, o % 4 = 1 AND o % 9 <> 0 AS OBSERVED FROM h0)"""
+h AS (SELECT TARGETID, PASS, TILEID, CASE WHEN o % 9 = 0 THEN -1 ELSE TARGETID * 7 % 60 END AS FIBER, (TARGETID // 60 + PASS) % 6 = 0 AND o % 9 <> 0 AS OBSERVED FROM h0)"""
 
 
 @query(f"""WITH {HISTORY}, never AS (SELECT TARGETID FROM h GROUP BY TARGETID HAVING NOT bool_or(OBSERVED)),
@@ -190,10 +190,26 @@ def completeness(spark, sf_dir):
     return w.select("TARGETID", F.when(~F.isnan("COMP_WEIGHT"), F.col("COMP_WEIGHT")).alias("COMP_WEIGHT"))
 
 
-@query(f"""WITH {HISTORY}, x AS (SELECT TILEID, FIBER, count(*) AS extra FROM h WHERE PASS = 1 AND FIBER <> -1 AND NOT OBSERVED GROUP BY ALL)
+NEVER = "never AS (SELECT TARGETID FROM h GROUP BY TARGETID HAVING NOT bool_or(OBSERVED) AND max(FIBER) <> -1)"
+
+
+@query(f"""WITH {HISTORY}, {NEVER}, unused AS (SELECT TARGETID FROM never WHERE TARGETID NOT IN (SELECT TARGETID FROM h WHERE PASS = 0 AND FIBER <> -1)),
+x AS (SELECT TILEID, FIBER, count(*) AS extra FROM h JOIN unused USING (TARGETID) WHERE PASS = 1 AND FIBER <> -1 GROUP BY ALL)
 SELECT TARGETID, extra FROM h JOIN x USING (TILEID, FIBER) WHERE PASS = 1 AND OBSERVED""")
 def completeness_one_pass(spark, sf_dir):
-    return fibers.completeness_one_pass(history(spark, sf_dir), 1)
+    """The second pass, after the first has used up its targets."""
+    h = history(spark, sf_dir)
+    _, unused = fibers.completeness_one_pass(h, 0, fibers.never_observed(h))
+    return fibers.completeness_one_pass(h, 1, unused)[0]
+
+
+@query(f"""WITH {HISTORY}, {NEVER}, k AS (SELECT unnest([0, 1, 2])::INT AS PASS)
+SELECT PASS, (SELECT count(*) FROM never WHERE TARGETID NOT IN (SELECT TARGETID FROM h WHERE h.PASS <= k.PASS AND FIBER <> -1)) AS remaining FROM k
+WHERE (SELECT count(*) FROM never WHERE TARGETID NOT IN (SELECT TARGETID FROM h WHERE h.PASS <= k.PASS AND FIBER <> -1)) > 0""")
+def completeness_remaining(spark, sf_dir):
+    """How many unobserved targets are left to count after each pass."""
+    h = history(spark, sf_dir)
+    return fibers.completeness_by_pass(h.select("TARGETID").distinct(), h, 3)[1]
 
 
 @query()

@@ -219,3 +219,38 @@ def test_margins_of_cuts():
             assert k >= 1 and np.allclose(got, want, atol=1e-5)
     with pytest.raises(IsometryError):
         centers(internal_margin=8.0)
+
+
+def test_passes_and_closed_form_agree(spark):
+    """Completeness pass after pass in plain loops, by pass with tables, and in closed form."""
+    from skyloom.operators import fibers
+
+    r = np.random.RandomState(2)
+    rows = [(t, k, int(r.randint(3)), int(r.choice([-1, *range(8)])), bool(r.uniform() < 0.2)) for t in range(200) for k in range(3) if r.uniform() < 0.8]
+    taken = set()
+    rows = [(t, k, ti, f, o and f != -1 and (k, ti, f) not in taken and not taken.add((k, ti, f))) for t, k, ti, f, o in rows]
+    seen = {t for t, *_, o in rows if o}
+    unused = {t for t, _, _, f, _ in rows if f != -1} - seen
+    weight, left = dict.fromkeys(seen, 1.0), []
+    for k in range(3):
+        mine = [x for x in rows if x[1] == k]
+        for t, _, tile, fiber, o in mine:
+            if o:
+                weight[t] += sum(x[2:4] == (tile, fiber) and x[0] in unused for x in mine)
+        unused -= {x[0] for x in mine if x[3] != -1}
+        left.append((k, len(unused)))
+    h = spark.createDataFrame(rows, "TARGETID long, PASS int, TILEID int, FIBER int, OBSERVED boolean")
+    targets = h.select("TARGETID").distinct()
+    by_pass, remaining = fibers.completeness_by_pass(targets, h, 3)
+    for out in (by_pass, fibers.completeness_weights(targets, h)):
+        got = {x.TARGETID: x.COMP_WEIGHT for x in out.collect()}
+        assert {t: w for t, w in got.items() if w == w} == weight and max(weight.values()) > 2 and len(got) > len(weight)
+    assert [tuple(x) for x in remaining.orderBy("PASS").collect()] == [x for x in left if x[1]]
+
+
+def test_one_interlaced_grid_means_two(spark):
+    from skyloom.operators import mesh, mocks
+
+    made = lambda k: mesh.real_to_array(mocks.GaussianMock.from_power(spark, lambda q: 1e3 + 0 * q, nmesh=6, boxsize=600.0, boxcenter=1000.0).with_real().with_selection(lambda d, ra, dec: 1e-4 * d, interlacing=k).nbar, 6)
+    plain, one, true, two = (made(k) for k in (False, 1, True, 2))
+    assert np.allclose(one, two) and np.allclose(true, two) and not np.allclose(plain, two)
