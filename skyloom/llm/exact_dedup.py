@@ -27,7 +27,7 @@ from skyloom.llm.common import narrow, scratch_path, written
 #: The characters that normalisation deletes.
 BLANKS = " \t\n\x0b\x0c\r"
 #: Hashes that a bucket may hold before it splits.
-CAPACITY = 1 << 16
+CAPACITY = 1 << 12
 #: Bits that one step of the directory looks at; its histogram has at most 2 ** STEP rows a bucket.
 STEP = 12
 MAX_DEPTH = 60
