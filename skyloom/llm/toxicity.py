@@ -56,17 +56,19 @@ def strings_of(word: str) -> set[str]:
 
 
 class Counts:
-    """What dictionaries are made of, for some texts of one label: words, strings and their texts."""
+    """What dictionaries are made of, for some texts of one label: how often words and strings of interest occur, and in how
+    many texts."""
 
     def __init__(self):
         self.words, self.uses, self.texts, self.n, self.chars = Counter(), Counter(), Counter(), 0, 0
 
-    def add(self, text: str) -> None:
+    def add(self, text: str, words: set[str], strings: dict[str, tuple[str, ...]]) -> None:
         found, own = Counter(LETTERS.findall(text.lower())), Counter()
         for w, c in found.items():
-            for x in strings_of(w):
+            if w in words:
+                self.words[w] += c
+            for x in strings.get(w, ()):
                 own[x] += c
-        self.words.update(found)
         self.uses.update(own)
         self.texts.update(own.keys())
         self.n, self.chars = self.n + 1, self.chars + len(text)
@@ -78,6 +80,25 @@ class Counts:
         return out
 
 
+def of_interest(texts: list[str], y: np.ndarray) -> tuple[set[str], dict[str, tuple[str, ...]]]:
+    """Words that an ordinary dictionary may hold, and for each word its strings that a toxic one may hold, in any fold."""
+    words, of_texts = Counter(), Counter()
+    for t, k in zip(texts, y):
+        found = LETTERS.findall(t.lower())
+        if k:
+            of_texts.update(set().union(*map(strings_of, set(found))))
+        else:
+            words.update(found)
+    least = max(3, SPREAD * (1 - 1 / FOLDS) * (y == 1).sum() - 1)
+    kept = {s for s, c in of_texts.items() if c >= least}
+    strings = {}
+    for t in texts:
+        for w in set(LETTERS.findall(t.lower())):
+            if w not in strings and (own := strings_of(w) & kept):
+                strings[w] = tuple(sorted(own))
+    return {w for w, _ in words.most_common(SIZE)}, strings
+
+
 def learn_dictionaries(ordinary: Counts, toxic: Counts) -> tuple[bytes, bytes]:
     """Contents of the ordinary and the toxic dictionary."""
     ranked = []
@@ -166,9 +187,10 @@ def fit(rows: list[tuple[int, str, int]]):
     for k in (0, 1):
         own = np.flatnonzero(y == k)
         fold[own] = np.arange(len(own)) % FOLDS
+    words, strings = of_interest(texts, y)
     for t, k, f in zip(texts, y, fold):
-        counts[k][f].add(t)
-        whole[k].add(t)
+        counts[k][f].add(t, words, strings)
+        whole[k].add(t, words, strings)
     x = np.zeros((len(y), FEATURES))
     for f in range(FOLDS):
         w = Windows(learn_dictionaries(*(whole[k].without(counts[k][f]) for k in (0, 1))))
