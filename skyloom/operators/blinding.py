@@ -132,14 +132,11 @@ class Blinding:
 
     def gradients(self, rows: DataFrame, delta_k: DataFrame, grid: mesh.Grid, row_id: str, name: str) -> DataFrame:
         """rows with <name>_x, _y, _z: i k / k^2 times the field, read out at positions."""
-        fields = []
-        for a in range(3):
+        fields = {}
+        for a, x in enumerate("xyz"):
             m = lambda c, kx, ky, kz, a=a: np.where((k2 := kx**2 + ky**2 + kz**2) > 0, 1j * (kx, ky, kz)[a] / np.where(k2 > 0, k2, 1) * c, 0)
-            fields.append(mesh.c2r(mesh.map_complex(delta_k, grid, m), grid.n))
-        out = rows
-        for a, psi in zip("xyz", fields):
-            out = out.join(mesh.readout(psi, grid, rows, row_id=row_id, name=f"{name}_{a}"), row_id)
-        return out
+            fields[f"{name}_{x}"] = mesh.c2r(mesh.map_complex(delta_k, grid, m), grid.n)
+        return rows.join(mesh.readout_many(fields, grid, rows, row_id=row_id), row_id)
 
     def shifts(self, rows: DataFrame, delta_k: DataFrame, grid: mesh.Grid, f: float, row_id: str = "row_id") -> DataFrame:
         """(row_id, shift_x, _y, _z): f times the displacement along the local line of sight."""

@@ -220,15 +220,68 @@ def _cells(rows: DataFrame, grid: Grid, position: str):
     return [(F.col(f"{position}_{a}") - F.lit(o)) / grid.cell for a, o in zip("xyz", low)]
 
 
+#: Nodes around a coordinate that a resampler reads: the first, relative to the node below it (or the nearest), and how many.
+REACH = {"nnb": (0, 1), "ngp": (0, 1), "cic": (0, 2), "tsc": (-1, 3), "pcs": (-1, 4)}
+#: Rows of a slab that are read out together.
+READ_ROWS = 250_000
+
+
+def weights(x: np.ndarray, resampler: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Lowest node and the weights of the nodes from it on, for coordinates in cells."""
+    i = np.floor(x + 0.5 if resampler in ("nnb", "tsc") else x).astype(np.int64)
+    d = x - i
+    e = 1 - d
+    w = {
+        "nnb": lambda: [np.ones_like(x)], "ngp": lambda: [np.ones_like(x)], "cic": lambda: [e, d], "tsc": lambda: [0.5 * (0.5 - d) ** 2, 0.75 - d * d, 0.5 * (0.5 + d) ** 2],
+        "pcs": lambda: [e**3 / 6, (4 - 6 * d * d + 3 * d**3) / 6, (4 - 6 * e * e + 3 * e**3) / 6, d**3 / 6],
+    }
+    return i + REACH[resampler][0], w[resampler]()
+
+
+def readout_many(fields: dict[str, DataFrame], grid: Grid, rows: DataFrame, resampler: str = "cic", position: str = "Position", row_id: str = "row_id") -> DataFrame:
+    """(row_id, a column for each field): fields at positions.
+
+    Rows move once, to the slab they lie in, and meet the slabs that their stencils reach; a slab with many rows is several
+    tasks. No task holds more than the slabs of a stencil and READ_ROWS rows on average.
+    """
+    if resampler not in REACH:
+        raise ValueError(f"unknown resampler {resampler}")
+    n, (low, width) = grid.n, REACH[resampler]
+    names = list(fields)
+    table = None
+    for i, f in enumerate(fields.values()):
+        f = f.select("ix", F.col("v").alias(f"v{i}"))
+        table = f if table is None else table.join(f, "ix")
+    x, y, z = _cells(rows, grid, position)
+    slab = F.pmod(F.floor(x + 0.5 if resampler in ("nnb", "tsc") else x).cast("int"), F.lit(n))
+    r = rows.select(F.col(row_id).alias("id"), slab.alias("slab"), x.alias("x"), y.alias("y"), z.alias("z"))
+    blocks = F.broadcast(r.groupBy("slab").agg(F.ceil(F.count("*") / READ_ROWS).cast("int").alias("blocks")))  # a row for each slab at most
+    r = r.join(blocks, "slab").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
+    halo = table.withColumn("at", F.explode(F.array(*[F.lit(k) for k in range(width)]))).withColumn("slab", F.pmod(F.col("ix") - F.col("at") - low, F.lit(n)).cast("int")).drop("ix")
+    halo = halo.join(blocks, "slab").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+
+    def read(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        (_, wx), (iy, wy), (iz, wz) = (weights(p[c].to_numpy(float), resampler) for c in "xyz")
+        out = {"id": p.id}
+        q = q.sort_values("at")
+        for i, name in enumerate(names):
+            value = np.zeros(len(p))
+            for v, a in zip(q[f"v{i}"], wx):
+                v = np.asarray(v)
+                for j, b in enumerate(wy):
+                    for k, c in enumerate(wz):
+                        value += a * b * c * v[(iy + j) % n * n + (iz + k) % n]
+            out[name] = value
+        return pd.DataFrame(out)
+
+    kind = dict(rows.dtypes)[row_id]
+    got = r.groupBy("slab", "block").cogroup(halo.groupBy("slab", "block")).applyInPandas(read, f"id {kind}, " + ", ".join(f"`{m}` double" for m in names))
+    return got.withColumnRenamed("id", row_id)
+
+
 def readout(field: DataFrame, grid: Grid, rows: DataFrame, resampler: str = "cic", position: str = "Position", row_id: str = "row_id", name: str = "value") -> DataFrame:
-    """(row_id, value): the field at positions. Rows meet pencils of the grid by an equi-join on (ix, iy), p x p a row."""
-    x, y, z = (stencil(c, grid.n, resampler) for c in _cells(rows, grid, position))
-    r = rows.select(row_id, F.explode(_pairs(x)).alias("x"), _pairs(y).alias("y"), _pairs(z).alias("z")).select(row_id, "x", F.explode("y").alias("y"), "z")
-    r = r.select(row_id, F.col("x.i").alias("ix"), F.col("y.i").alias("iy"), (F.col("x.w") * F.col("y.w")).alias("w"), "z")
-    n = F.lit(grid.n)
-    pencils = field.select("ix", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.slice("v", j * n + 1, n))).alias("iy", "p"))
-    along = F.aggregate("z", F.lit(0.0), lambda s, q: s + q["w"] * F.get(F.col("p"), q["i"]))
-    return r.join(pencils, ["ix", "iy"]).groupBy(row_id).agg(F.sum(F.col("w") * along).alias(name))
+    """(row_id, value): the field at positions."""
+    return readout_many({name: field}, grid, rows, resampler, position, row_id)
 
 
 def paint(rows: DataFrame, grid: Grid, resampler: str = "cic", position: str = "Position", weight: str | None = None) -> DataFrame:

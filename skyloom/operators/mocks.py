@@ -25,6 +25,18 @@ def _takes_mu(power) -> bool:
         return False
 
 
+def centered(grid: Grid, x, y, z):
+    """Positions in space from coordinates on the grid."""
+    return [np.mod(c, grid.boxsize) + o - grid.boxsize / 2 for c, o in zip((x, y, z), grid.boxcenter)]
+
+
+def sky(grid: Grid, x, y, z):
+    """Distance, right ascension and declination from coordinates on the grid."""
+    a, b, c = np.broadcast_arrays(*centered(grid, x, y, z))
+    d = np.sqrt(a * a + b * b + c * c)
+    return d, np.degrees(np.arctan2(b, a)) % 360.0, np.degrees(np.arcsin(np.divide(c, d, out=np.zeros_like(d), where=d > 0)))
+
+
 @dataclass(frozen=True)
 class GaussianMock:
     """Fields of a mock. delta_k is the density contrast; delta its real, biased form; nbar a density or a field."""
@@ -62,27 +74,19 @@ class GaussianMock:
     def from_field(cls, spark, delta: DataFrame, grid: Grid, los=None, complex_field: bool = True):
         return cls(spark, grid, None if los is None else tuple(g.line_of_sight(los)), delta if complex_field else mesh.r2c(delta, grid.n))
 
-    def centered(self, x, y, z):
-        """Positions in space from coordinates on the grid."""
-        return [np.mod(c, self.grid.boxsize) + o - self.grid.boxsize / 2 for c, o in zip((x, y, z), self.grid.boxcenter)]
-
-    def sky(self, x, y, z):
-        a, b, c = np.broadcast_arrays(*self.centered(x, y, z))
-        d = np.sqrt(a * a + b * b + c * c)
-        return d, np.degrees(np.arctan2(b, a)) % 360.0, np.degrees(np.arcsin(np.divide(c, d, out=np.zeros_like(d), where=d > 0)))
-
     def with_real(self, bias=None, lognormal: bool = False):
         """Inverse transform; bias a number or f(delta, distance); lognormal: exp, over its mean, minus 1."""
-        real = mesh.c2r(self.delta_k, self.grid.n)
+        grid = self.grid
+        real = mesh.c2r(self.delta_k, grid.n)
         if bias is not None or lognormal:
             def change(v, x, y, z):
                 if callable(bias):
-                    v = bias(v, self.sky(x, y, z)[0])
+                    v = bias(v, sky(grid, x, y, z)[0])
                 elif bias is not None:
                     v = bias * v
                 return np.exp(v) if lognormal else v
 
-            real = mesh.map_real(real, self.grid, _free(change, self))
+            real = mesh.map_real(real, grid, change)
         real = settled(real, "delta")
         if lognormal:
             m = mesh.mean(real)
@@ -94,12 +98,12 @@ class GaussianMock:
         (True and 1 mean 2)."""
         if not callable(nbar):
             return replace(self, nbar=float(nbar), attrs=self.attrs | {"norm": float(nbar) ** 2 * self.grid.volume})
-        n, h = self.grid.n, self.grid.cell
+        grid, n, h = self.grid, self.grid.n, self.grid.cell
         steps = range(max(2, int(interlacing))) if interlacing else [0]
         total = None
         for s in steps:
             shift = s / len(steps) * h
-            made = mesh.map_real(mesh.make_real(self.spark, self.grid, lambda i, gr: np.zeros((gr.n, gr.n))), self.grid, _free(lambda v, x, y, z, d=shift: nbar(*self.sky(x + d, y + d, z + d)), self))
+            made = mesh.map_real(mesh.make_real(self.spark, grid, lambda i, gr: np.zeros((gr.n, gr.n))), grid, lambda v, x, y, z, d=shift: nbar(*sky(grid, x + d, y + d, z + d)))
             if len(steps) > 1:
                 made = mesh.map_complex(mesh.r2c(made, n), self.grid, lambda c, kx, ky, kz, d=shift: c * np.exp(-1j * (kx + ky + kz) * d) / len(steps))
                 made = mesh.c2r(made, n)
@@ -161,17 +165,6 @@ class GaussianMock:
         return BoxCatalog(rows, boxsize=(self.grid.boxsize,) * 3, boxcenter=self.grid.boxcenter, attrs=dict(self.attrs))
 
 
-def _free(f, mock):
-    """f without the session that its mock holds, so that it can be sent to executors."""
-    bare = replace(mock, spark=None, delta_k=None, delta=None, nbar=None, fields={})
-    cells = [type(c)(bare) if c.cell_contents is mock else c for c in f.__closure__ or ()]
-    import types
-
-    out = types.FunctionType(f.__code__, f.__globals__, f.__name__, f.__defaults__, tuple(cells))
-    out.__kwdefaults__ = f.__kwdefaults__
-    return out
-
-
 class EulerianMock(GaussianMock):
     def with_rsd(self, f: float, los=None):
         """Linear redshift space: along a fixed direction delta_k (1 + f mu^2); else the sum over pairs of axes of
@@ -199,11 +192,11 @@ class EulerianMock(GaussianMock):
                 term = mesh.c2r(mesh.map_complex(self.delta_k, grid, pair), n)
 
                 def weigh(t, x, y, z, i=i, j=j):
-                    p = np.broadcast_arrays(*self.centered(x, y, z))
+                    p = np.broadcast_arrays(*centered(grid, x, y, z))
                     r2 = sum(a * a for a in p)
                     return (1 if i == j else 2) * f * t * p[i] * p[j] / np.where(r2 > 0, r2, 1)
 
-                out = mesh.combine(lambda a, b: a + b, out, mesh.map_real(term, grid, _free(weigh, self)))
+                out = mesh.combine(lambda a, b: a + b, out, mesh.map_real(term, grid, weigh))
         return replace(self, delta=settled(out, "delta"))
 
 
@@ -225,9 +218,7 @@ class LagrangianMock(GaussianMock):
     def poisson_sample(self, seed: int = 44, resampler: str = "cic") -> DataFrame:
         """Also Displacement; Position is moved by it and wrapped into the box."""
         rows = settled(GaussianMock.poisson_sample(self, seed), "sample")
-        out = rows
-        for a in "xyz":
-            out = out.join(mesh.readout(self.fields[f"disp_{a}"], self.grid, rows, resampler, name=f"Displacement_{a}"), "row_id")
+        out = rows.join(mesh.readout_many({f"Displacement_{a}": self.fields[f"disp_{a}"] for a in "xyz"}, self.grid, rows, resampler), "row_id")
         low = [c - self.grid.boxsize / 2 for c in self.grid.boxcenter]
         moved = {f"Position_{a}": F.pmod(F.col(f"Position_{a}") + F.col(f"Displacement_{a}") - F.lit(o), F.lit(self.grid.boxsize)) + F.lit(o) for a, o in zip("xyz", low)}
         return out.withColumns(moved)
