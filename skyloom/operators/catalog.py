@@ -150,6 +150,27 @@ class BoxCatalog(ParticleCatalog):
                 values[n] = tuple(c + F.lit(float(o)) for c, o in zip(inside, new_low))
         return replace(self.with_vectors(values), boxsize=tuple(cuboid.size))
 
+    def remap_to_ranges(self, ranges, which: int = 0, maxint: int = 1, quarters=((1, "y"), (1, "x"))):
+        """Remap to a lattice whose sizes lie in the ranges, in the order of its sizes, and turn by quarters about axes, by
+        default so that the least size comes first: the depth of a survey."""
+        sizes = Cuboid.lattices(self.boxsize, maxint, 1, sort=False, ranges=ranges)
+        if which >= len(sizes):
+            raise IsometryError(f"only {len(sizes)} lattices have sizes in {ranges}")
+        out = self.remap(list(sizes.values())[which][0])
+        for n, axis in quarters:
+            out = out.rotate(n, axis)
+        return out
+
+    def cutsky_rsd(self, dmin: float, dmax: float, f, names=("RA", "DEC", "DISTANCE"), center=(0.0, 0.0)) -> "CutskyCatalog":
+        """The whole box moved to where the largest survey up to dmax fits, with RSDPosition and its sky coordinates: redshift
+        space comes before any cut in distance."""
+        drange, rarange, decrange = box_to_cutsky(self.boxsize, dmax, dmin)
+        ways, _, _ = self.isometries_for_cutsky(drange, np.array(rarange) + center[0], np.array(decrange) + center[1])
+        cut = CutskyCatalog(self.df, self.position, self.velocity, self.vectors, self.invariants, dict(self.attrs), self.row_id).isometry(ways[0])
+        cut = replace(cut, df=once(cut.df, {f"RSDPosition_{a}": c for a, c in zip(g.AXES, cut.rsd_position(f))}), vectors=cut.vectors | {"RSDPosition"})
+        d, ra, dec = g.cartesian_to_sky(g.vector("RSDPosition"))
+        return replace(cut, df=cut.df.withColumns(dict(zip(names, (ra, dec, d)))))
+
     def subbox(self, ranges=(0.0, 1.0), boxsize_unit: bool = True):
         """Rows with lo <= x < hi on each axis; plain comparisons of stored columns reach the Parquet scan."""
         r = np.array([ranges] * 3 if np.ndim(ranges) == 1 else ranges, float)
@@ -245,13 +266,13 @@ class BoxCatalog(ParticleCatalog):
         return self.cutsky_from_isometry(ways[0] if noutput == 1 else ways, radial if mask_radial else None, angular if mask_angular else None)
 
 
-def random_box(spark: SparkSession, boxsize, boxcenter=0.0, csize: int | None = None, nbar: float | None = None, seed: int = 42) -> BoxCatalog:
-    """csize rows, or nbar rows a unit of volume, uniform in a box."""
+def random_box(spark: SparkSession, boxsize, boxcenter=0.0, csize: int | None = None, nbar: float | None = None, seed: int = 42, uniform=u01_fast) -> BoxCatalog:
+    """csize rows, or nbar rows a unit of volume, uniform in a box; uniform: u01 gives numbers that any engine can repeat."""
     size, center = g.triple(boxsize), g.triple(boxcenter)
     if csize is None:
         csize = int(nbar * size.prod() + 0.5)
     rows = spark.range(csize).withColumnRenamed("id", "row_id")
-    cols = {f"Position_{a}": (u01_fast(F.col("row_id"), seed, a) - 0.5) * float(s) + float(c) for a, s, c in zip(g.AXES, size, center)}
+    cols = {f"Position_{a}": (uniform(F.col("row_id"), seed, a) - 0.5) * float(s) + float(c) for a, s, c in zip(g.AXES, size, center)}
     return BoxCatalog(rows.withColumns(cols), boxsize=tuple(size), boxcenter=tuple(center), attrs={"seed": seed})
 
 
@@ -265,7 +286,7 @@ def box_of(df: DataFrame, row_id: str, boxsize, boxcenter=0.0, seed: int = 42, u
     return BoxCatalog(once(rows, cols), velocity="Velocity" if velocity is not None else None, boxsize=tuple(size), boxcenter=tuple(center), attrs={"seed": seed})
 
 
-def random_cutsky(spark: SparkSession, rarange, decrange, drange=None, csize: int | None = None, nbar: float | None = None, seed: int = 42, position: str = "Position") -> CutskyCatalog:
+def random_cutsky(spark: SparkSession, rarange, decrange, drange=None, csize: int | None = None, nbar: float | None = None, seed: int = 42, position: str = "Position", uniform=u01_fast) -> CutskyCatalog:
     """csize rows, or nbar rows a square degree, uniform on the sky and in volume between distances."""
     area = g.radec_area(rarange, decrange)
     if csize is None:
@@ -274,9 +295,9 @@ def random_cutsky(spark: SparkSession, rarange, decrange, drange=None, csize: in
     hi = hi if hi >= lo else hi + 360.0
     s0, s1 = np.sin(np.radians(decrange))
     i = F.col("row_id")
-    ra = F.pmod(F.lit(float(lo)) + F.lit(float(hi - lo)) * u01_fast(i, seed, "ra"), F.lit(360.0))
-    dec = F.degrees(F.asin(F.lit(float(s0)) + F.lit(float(s1 - s0)) * u01_fast(i, seed, "dec")))
-    d = F.lit(1.0) if drange is None else F.cbrt(F.lit(float(drange[0]) ** 3) + F.lit(float(drange[1]) ** 3 - float(drange[0]) ** 3) * u01_fast(i, seed, "d"))
+    ra = F.pmod(F.lit(float(lo)) + F.lit(float(hi - lo)) * uniform(i, seed, "ra"), F.lit(360.0))
+    dec = F.degrees(F.asin(F.lit(float(s0)) + F.lit(float(s1 - s0)) * uniform(i, seed, "dec")))
+    d = F.lit(1.0) if drange is None else F.cbrt(F.lit(float(drange[0]) ** 3) + F.lit(float(drange[1]) ** 3 - float(drange[0]) ** 3) * uniform(i, seed, "d"))
     rows = spark.range(csize).withColumnRenamed("id", "row_id").withColumns({"RA": ra, "DEC": dec, "Distance": d})
     xyz = g.sky_to_cartesian(F.col("Distance"), F.col("RA"), F.col("DEC"))
     return CutskyCatalog(rows.withColumns({f"{position}_{a}": c for a, c in zip(g.AXES, xyz)}), position=position, attrs={"seed": seed, "area": area})

@@ -151,22 +151,30 @@ class UniformAngular(Mask):
     def prob(self, ra: Column, dec: Column) -> Column:
         return F.when(self.inside(ra, dec), self.nbar).otherwise(0.0)
 
-    def sample(self, spark: SparkSession, size: int, seed: int = 0) -> DataFrame:
+    def sample(self, spark: SparkSession, size: int, seed: int = 0, uniform=u01_fast) -> DataFrame:
         """(row_id, ra, dec): size draws uniform on the sphere times the mask."""
         lo, hi = self.rarange or (0.0, 360.0)
         hi = hi if hi >= lo else hi + 360.0
         s0, s1 = np.sin(np.radians(self.decrange or (-90.0, 90.0)))
 
         def candidates(ids: DataFrame) -> DataFrame:
-            ra = F.pmod(F.lit(lo) + F.lit(hi - lo) * u01_fast(F.col("id"), seed, "ra"), F.lit(360.0))
-            dec = F.degrees(F.asin(F.lit(float(s0)) + F.lit(float(s1 - s0)) * u01_fast(F.col("id"), seed, "dec")))
+            ra = F.pmod(F.lit(lo) + F.lit(hi - lo) * uniform(F.col("id"), seed, "ra"), F.lit(360.0))
+            dec = F.degrees(F.asin(F.lit(float(s0)) + F.lit(float(s1 - s0)) * uniform(F.col("id"), seed, "dec")))
             rows = ids.withColumn("ra", ra).withColumn("dec", dec)
-            return self.selected(rows, seed)
+            return self.selected(rows, seed, uniform)
 
         return fill(spark, size, candidates, "ra", "dec")
 
-    def selected(self, rows: DataFrame, seed: int) -> DataFrame:
-        return rows.where(self.keep(F.col("id"), F.col("ra"), F.col("dec"), seed=seed, uniform=u01_fast))
+    def selected(self, rows: DataFrame, seed: int, uniform=u01_fast) -> DataFrame:
+        return rows.where(self.keep(F.col("id"), F.col("ra"), F.col("dec"), seed=seed, uniform=uniform))
+
+
+def generate_redshifts(nz: DataFrame, spark: SparkSession, size: int, distance, to_redshift, zmin: float, zmax: float, seed: int = 145) -> DataFrame:
+    """(row_id, z, distance): size redshifts that follow a table n(z) of counts (zmin, zmax, nz) between two redshifts."""
+    rows = sorted(tuple(r) for r in nz.select("zmin", "zmax", "nz").collect())  # a row for each bin
+    low, high, n = (np.array(x, float) for x in zip(*rows))
+    volume = distance(high) ** 3 - distance(low) ** 3
+    return TabulatedRadial((low + high) / 2, n / volume, zrange=(zmin, zmax), order=2).sample(spark, size, distance, to_redshift, seed)
 
 
 class HealpixAngular(UniformAngular):
@@ -190,8 +198,8 @@ class HealpixAngular(UniformAngular):
         value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("map_nbar", F.lit(0.0))))
         return rows.withColumn("pix", pix).join(table, "pix", "left").withColumn(name, F.when(self.inside(F.col(ra), F.col(dec)), value).otherwise(0.0)).drop("pix", "map_nbar")
 
-    def selected(self, rows: DataFrame, seed: int) -> DataFrame:
-        return self.with_prob(rows, name="__p").where(F.col("__p") >= u01_fast(F.col("id"), seed, "mask")).drop("__p")
+    def selected(self, rows: DataFrame, seed: int, uniform=u01_fast) -> DataFrame:
+        return self.with_prob(rows, name="__p").where(F.col("__p") >= uniform(F.col("id"), seed, "mask")).drop("__p")
 
 
 class PolygonAngular(UniformAngular):

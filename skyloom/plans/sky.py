@@ -261,18 +261,23 @@ def random_box_keyed(spark, sf_dir):
     return rounded(orders_box(spark, sf_dir, 10.0, 3.0).df, *POS)
 
 
-@query("SELECT 1000::BIGINT AS rows_made, true AS in_box")
+IDS = "SELECT unnest(range({n}))::BIGINT AS i"
+
+
+@query(f"SELECT i AS row_id, {', '.join(r6(f'({u01_sql('i', 42, a)} - 0.5) * 10.0 + 3.0', p) for a, p in zip('xyz', POS))} FROM ({IDS.format(n=1000)})")
 def random_box_generator(spark, sf_dir):
-    b = random_box(spark, 10.0, 3.0, nbar=1.0)
-    inside = [(c >= -2.0) & (c <= 8.0) for c in b.vector()]
-    return b.df.agg(F.count("*").alias("rows_made"), F.bool_and(inside[0] & inside[1] & inside[2]).alias("in_box"))
+    return rounded(random_box(spark, 10.0, 3.0, nbar=1.0, uniform=u01).df, *POS)
+
 
+S0, S1 = float(np.sin(np.radians(-10.0))), float(np.sin(np.radians(10.0)))
 
-@query("SELECT 1000::BIGINT AS rows_made, true AS in_range")
+
+@query(f"""WITH c AS (SELECT i AS row_id, (350.0 + 40.0 * {u01_sql('i', 42, 'ra')}) % 360.0 AS RA, degrees(asin({S0!r}::DOUBLE + {S1 - S0!r}::DOUBLE * {u01_sql('i', 42, 'dec')})) AS DEC,
+  cbrt(1000.0 ** 3 + (2000.0 ** 3 - 1000.0 ** 3) * {u01_sql('i', 42, 'd')}) AS d FROM ({IDS.format(n=1000)}))
+SELECT row_id, {r6('RA', 'RA')}, {r6('DEC', 'DEC')}, {r6('d', 'Distance')}, {r6('d * cos(radians(DEC)) * cos(radians(RA))', 'Position_x')}, {r6('d * cos(radians(DEC)) * sin(radians(RA))', 'Position_y')}, {r6('d * sin(radians(DEC))', 'Position_z')} FROM c""")
 def random_cutsky_generator(spark, sf_dir):
-    c = random_cutsky(spark, (350.0, 30.0), (-10.0, 10.0), (1000.0, 2000.0), csize=1000)
-    ok = ((F.col("RA") >= 350) | (F.col("RA") <= 30)) & F.col("DEC").between(-10, 10) & F.col("Distance").between(1000, 2000) & (F.abs(g.norm(c.vector()) - F.col("Distance")) < 1e-6)
-    return c.df.agg(F.count("*").alias("rows_made"), F.bool_and(ok).alias("in_range"))
+    c = random_cutsky(spark, (350.0, 30.0), (-10.0, 10.0), (1000.0, 2000.0), csize=1000, uniform=u01)
+    return rounded(c.df, "RA", "DEC", "Distance", *POS)
 
 
 EV = "SELECT event_id AS row_id, value / 200.0 AS z FROM events"
@@ -364,10 +369,14 @@ def photometric_region(spark, sf_dir):
     return s.select("row_id", *[masks.photometric_region(F.col("ra"), F.col("dec"), r).alias(f"in_{r.lower()}") for r in ("N", "DN", "DS")], masks.north_or_south(F.col("dec")).alias("region"))
 
 
-@query("SELECT DISTINCT 1000::BIGINT AS rows_made, true AS in_range FROM region")
+A0, A1 = float(np.sin(np.radians(-30.0))), float(np.sin(np.radians(40.0)))
+
+
+@query(f"""WITH c AS (SELECT i, (300.0 + 80.0 * {u01_sql('i', 3, 'ra')}) % 360.0 AS ra, degrees(asin({A0!r}::DOUBLE + {A1 - A0!r}::DOUBLE * {u01_sql('i', 3, 'dec')})) AS dec FROM ({IDS.format(n=4000)}) WHERE {u01_sql('i', 3, 'mask')} <= 0.5)
+SELECT row_number() OVER (ORDER BY i) - 1 AS row_id, {r6('ra', 'ra')}, {r6('dec', 'dec')} FROM c QUALIFY row_number() OVER (ORDER BY i) <= 1000""")
 def angular_sampler(spark, sf_dir):
-    r = masks.UniformAngular((300.0, 20.0), (-30.0, 40.0), 0.5).sample(spark, 1000, seed=3)
-    return r.agg(F.count_distinct("row_id").alias("rows_made"), F.bool_and(((F.col("ra") >= 300) | (F.col("ra") <= 20)) & F.col("dec").between(-30, 40)).alias("in_range"))
+    """The first thousand candidates that the mask accepts."""
+    return rounded(masks.UniformAngular((300.0, 20.0), (-30.0, 40.0), 0.5).sample(spark, 1000, seed=3, uniform=u01), "ra", "dec")
 
 
 @query("SELECT DISTINCT 1000::BIGINT AS rows_made, true AS in_range FROM region")
@@ -467,10 +476,10 @@ def pair_counts(spark, sf_dir):
     return density.pair_counts(b, b, [0.0, 10.0, 20.0, 30.0, 40.0], auto=True).select("bin", "pairs")
 
 
-@query()
+@query("SELECT 's' AS axis, unnest(range(0, 152, 4))::DOUBLE AS edge UNION ALL SELECT 'mu', round(unnest(range(0, 201)) / 100.0 - 1.0, 9)")
 def correlation_edges(spark, sf_dir):
     s, mu = density.correlation_edges("smu")
-    return spark.createDataFrame([("s", float(x)) for x in s] + [("mu", float(x)) for x in mu], "axis string, edge double")
+    return spark.createDataFrame([("s", float(x)) for x in s] + [("mu", round(float(x), 9) + 0.0) for x in mu], "axis string, edge double")
 
 
 Z2 = np.concatenate([[0.0], np.geomspace(1e-3, 2.0, 31)])
@@ -506,7 +515,12 @@ def key_clustered(spark, sf_dir):
     return rows.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.count_distinct("l_orderkey").alias("orders"))
 
 
-@query("SELECT o_orderkey AS row_id, 'o' AS kind FROM orders UNION ALL SELECT c_custkey, 'c' FROM customer")
+@query(f"WITH b AS ({box_sql()}) SELECT row_id, {', '.join(r6(a, p) for a, p in zip('xyz', POS))}, CASE WHEN row_id % 2 = 0 THEN row_id ELSE -1 END AS mark FROM b UNION ALL SELECT row_id, {', '.join(r6(f'{a} + 5.0', p) for a, p in zip('xyz', POS))}, -1 FROM b")
 def concatenate(spark, sf_dir):
-    a = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), F.lit("o").alias("kind"))
-    return a.unionByName(table(spark, sf_dir, "customer").select(F.lit("c").alias("kind"), F.col("c_custkey").alias("row_id")))
+    """Two catalogs, one of which lacks a column."""
+    from dataclasses import replace
+
+    b = orders_box(spark, sf_dir)
+    marked = replace(b, df=b.df.withColumn("mark", F.when(F.col("row_id") % 2 == 0, F.col("row_id"))))
+    both = marked.concatenate(b.translate(5.0)).df
+    return rounded(both.withColumn("mark", F.coalesce("mark", F.lit(-1))), *POS, keep=("row_id", "mark"))

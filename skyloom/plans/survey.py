@@ -106,12 +106,15 @@ def brick_lookup(spark, sf_dir):
 
 @query(f"WITH {BRICKS} SELECT row_id, CASE WHEN (brickrow + brickcol) % 4 = 0 THEN 7 ELSE ((brickrow * 7 + brickcol) % 64) END::SMALLINT AS maskbits FROM b")
 def brick_pixels(spark, sf_dir):
-    """Each brick's image is one value here; a quarter of the bricks have none and give the default."""
-    b = bricks.with_bricks(points(spark, sf_dir))
-    kinds = b.select("brickname", "brickrow", "brickcol").distinct()
-    value = F.when((F.col("brickrow") + F.col("brickcol")) % 4 == 0, 7).otherwise((F.col("brickrow") * 7 + F.col("brickcol")) % 64)
-    got = b.join(kinds.select("brickname", "brickrow", "brickcol", value.cast("short").alias("maskbits")), ["brickname", "brickrow", "brickcol"])
-    return got.select("row_id", "maskbits")
+    """Each brick's image has one value here, told by its name; a quarter of the bricks have none and give the default."""
+    b = settled(bricks.with_bricks(points(spark, sf_dir)), "bricks")
+    numbers = {r.brickname: (r.brickrow, r.brickcol) for r in b.select("brickname", "brickrow", "brickcol").distinct().collect()}  # at most the bricks of the sky
+
+    def open_(name, region):
+        row, col = numbers[name]
+        return None if (row + col) % 4 == 0 else (np.full((80, 80), (row * 7 + col) % 64, np.int16), 0.3 / 60, 39.5)
+
+    return bricks.pixel_values(points(spark, sf_dir), {"maskbits": (open_, 7)}, "maskbits short").select("row_id", "maskbits")
 
 
 @query()
@@ -248,12 +251,29 @@ def smearing_uniform(spark, sf_dir):
     return e.select("row_id", F.round(F.col("z") + s.column(F.col("row_id"), F.col("z"), 13), 6).alias("z"))
 
 
-@query("SELECT * FROM (VALUES ('cauchy', 0.0, 1.0, -0.6, 1.1), ('normal', 0.0, 1.0, -0.6, 1.1)) t(dist, low, high, first, last)")
+XS = [-1.6, -0.6, -0.25, 0.0, 0.2, 0.55, 0.9, 1.1, 2.1]
+QS = [0.0, 0.1, 0.35, 0.5, 0.8, 1.0]
+
+
+HEIGHT = "sum(exp(-0.5 * ((-0.6 + (i + 0.5) * h - 0.2) / 0.8) ** 2)) * h"
+
+
+@query(f"""WITH x AS (SELECT x, (least(greatest(x, -0.6), 1.1) + 0.6) / 2000 AS h FROM (SELECT unnest({XS})::DOUBLE AS x)), i AS (SELECT unnest(range(2000)) AS i),
+g AS (SELECT x, {HEIGHT} AS below FROM x, i GROUP BY x, h), w AS (SELECT {HEIGHT} AS whole FROM (SELECT 1.7 / 2000 AS h), i GROUP BY h),
+c AS (SELECT 'cauchy' AS dist, x, (atan((least(greatest(x, -0.6), 1.1) - 0.2) / 0.8) - atan(-1.0)) / (atan(0.9 / 0.8) - atan(-1.0)) AS cdf, CASE WHEN x BETWEEN -0.6 AND 1.1 THEN 1 / (1 + ((x - 0.2) / 0.8) ** 2) / 0.8 / (atan(0.9 / 0.8) - atan(-1.0)) ELSE 0.0 END AS pdf FROM x
+UNION ALL SELECT 'normal', x, below / whole, CASE WHEN x BETWEEN -0.6 AND 1.1 THEN exp(-0.5 * ((x - 0.2) / 0.8) ** 2) / whole ELSE 0.0 END FROM g, w)
+SELECT dist, x, {r6('cdf', 'cdf')}, {r6('pdf', 'pdf')} FROM c""")
 def truncated_distributions(spark, sf_dir):
     rows = []
     for n, d in (("cauchy", TruncatedCauchy(0.2, 0.8, -0.6, 1.1)), ("normal", TruncatedNormal(0.2, 0.8, -0.6, 1.1))):
-        rows.append((n, float(d.cdf(-1.6)), float(d.cdf(2.1)), float(d.ppf(0.0)), float(d.ppf(1.0))))
-    return spark.createDataFrame(rows, "dist string, low double, high double, first double, last double")
+        rows += [(n, x, round(float(d.cdf(x)), 6) + 0.0, round(float(d.pdf(x)), 6) + 0.0) for x in XS]
+    return spark.createDataFrame(rows, "dist string, x double, cdf double, pdf double")
+
+
+@query(f"""WITH q AS (SELECT unnest({QS})::DOUBLE AS q), c AS (SELECT q, 0.2 + 0.8 * tan(atan(-1.0) + q * (atan(0.9 / 0.8) - atan(-1.0))) AS x FROM q) SELECT q, {r6('x', 'x')} FROM c""")
+def truncated_ppf(spark, sf_dir):
+    d = TruncatedCauchy(0.2, 0.8, -0.6, 1.1)
+    return spark.createDataFrame([(q, round(float(d.ppf(q)), 6)) for q in QS], "q double, x double")
 
 
 N = 16
@@ -284,12 +304,18 @@ def mesh_readout_ngp(spark, sf_dir):
     return rounded(mesh.readout(field(spark), GRID, orders_box(spark, sf_dir).df, "ngp"), "value")
 
 
-@query(f"WITH b AS ({box_sql()}) SELECT row_id, 1.0::DOUBLE AS tsc, 1.0::DOUBLE AS pcs FROM b")
-def mesh_readout_kernels(spark, sf_dir):
-    """The weights of the wider kernels add up to one."""
-    one = mesh.make_real(spark, GRID, lambda i, gr: np.ones((gr.n, gr.n)))
-    b = orders_box(spark, sf_dir).df
-    return rounded(mesh.readout(one, GRID, b, "tsc", name="tsc").join(mesh.readout(one, GRID, b, "pcs", name="pcs"), "row_id"), "tsc", "pcs")
+TSC = ", ".join(f"a{a} AS (SELECT row_id, (floor({a} + 0.5)::INT + s + 16) % 16 AS i, CASE s WHEN -1 THEN 0.5 * (0.5 - d) ** 2 WHEN 0 THEN 0.75 - d * d ELSE 0.5 * (0.5 + d) ** 2 END AS w FROM (SELECT *, {a} - floor({a} + 0.5) AS d FROM c), (SELECT unnest([-1, 0, 1]) AS s))" for a in "xyz")
+PCS = ", ".join(f"a{a} AS (SELECT row_id, (floor({a})::INT + s + 16) % 16 AS i, CASE WHEN u < 1 THEN (4 - 6 * u ** 2 + 3 * u ** 3) / 6 ELSE (2 - u) ** 3 / 6 END AS w FROM (SELECT *, abs({a} - floor({a}) - s) AS u FROM c, (SELECT unnest([-1, 0, 1, 2]) AS s)))" for a in "xyz")
+
+
+@query(_readout_sql(TSC))
+def mesh_readout_tsc(spark, sf_dir):
+    return rounded(mesh.readout(field(spark), GRID, orders_box(spark, sf_dir).df, "tsc"), "value")
+
+
+@query(_readout_sql(PCS))
+def mesh_readout_pcs(spark, sf_dir):
+    return rounded(mesh.readout(field(spark), GRID, orders_box(spark, sf_dir).df, "pcs"), "value")
 
 
 @query(f"WITH b AS ({box_sql()}) SELECT (floor((x + 500.0) / 62.5)::INT % 16)::INT AS ix, count(*)::DOUBLE AS mass FROM b GROUP BY 1")
@@ -304,10 +330,10 @@ def mesh_moments(spark, sf_dir):
     return m.select(F.col("cells").cast("int").alias("cells"), F.round("mean", 6).alias("mean"), F.round("variance", 6).alias("variance"))
 
 
-@query("SELECT ix::INT AS ix, round(sum(v), 6) + 0.0 AS total FROM (" + FIELD + ") GROUP BY ix")
+@query("SELECT ix::INT AS ix, iy::INT AS iy, iz::INT AS iz, round(v, 6) + 0.0 AS v FROM (" + FIELD + ")")
 def mesh_fft_round_trip(spark, sf_dir):
-    back = mesh.c2r(mesh.r2c(field(spark), N), N)
-    return back.select("ix", (F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6) + 0.0).alias("total"))
+    back = mesh.c2r(mesh.r2c(field(spark), N), N).select("ix", F.posexplode("v").alias("at", "v"))
+    return back.select("ix", F.floor(F.col("at") / N).cast("int").alias("iy"), (F.col("at") % N).cast("int").alias("iz"), (F.round("v", 6) + 0.0).alias("v"))
 
 
 def power(k):
@@ -320,12 +346,15 @@ def gaussian_power(spark, sf_dir):
     return mesh.power_spectrum(m.delta_k, m.grid, np.arange(0.003, 0.06, 0.01))
 
 
-@query("SELECT true AS flat")
+MODES = "SELECT sqrt((x * x + y * y + z * z)::DOUBLE) * 2 * pi() / 1000.0 AS k FROM (SELECT unnest(range(-8, 8)) AS x), (SELECT unnest(range(-8, 8)) AS y), (SELECT unnest(range(-8, 8)) AS z)"
+
+
+@query(f"""WITH m AS ({MODES}), e AS (SELECT unnest([0, 1, 2]) AS bin, [0.003, 0.02, 0.04, 0.05]::DOUBLE[] AS e)
+SELECT bin::INT AS bin, {r6('avg(k)', 'k')}, 100.0::DOUBLE AS power, count(*)::DOUBLE AS modes FROM e, m WHERE k >= e[bin + 1] AND k < e[bin + 2] GROUP BY bin""")
 def gaussian_unitary(spark, sf_dir):
-    """Unit amplitudes give the power spectrum without scatter."""
+    """Unit amplitudes give the power spectrum without scatter; modes are counted by wave numbers."""
     m = mocks.GaussianMock.from_power(spark, lambda k: 100.0 + 0 * k, nmesh=N, boxsize=1000.0, unitary=True, inverted=True)
-    p = mesh.power_spectrum(m.delta_k, m.grid, [0.003, 0.02, 0.04])
-    return p.agg(F.bool_and(F.abs(F.col("power") - 100.0) < 1e-6).alias("flat"))
+    return rounded(mesh.power_spectrum(m.delta_k, m.grid, [0.003, 0.02, 0.04, 0.05]), "k", "power", keep=("bin", "modes"))
 
 
 @query("SELECT 4096 AS cells, 0.0::DOUBLE AS mean, true AS above_minus_one")
@@ -414,14 +443,14 @@ def blind_png(spark, sf_dir):
     return _blind(fnl=20.0).png(b.df, None, mesh.Grid(N, 1000.0, b.boxcenter), "data_weights", radius=60.0)
 
 
-@query(f"WITH b AS ({box_sql(center=(1500.0, 0.0, 0.0))}) SELECT row_id, true AS same FROM b")
+@query(f"""WITH b AS ({box_sql(center=(1500.0, 0.0, 0.0))}), d AS (SELECT *, sqrt(x * x + y * y + z * z) AS d FROM b)
+SELECT row_id, {r6('(degrees(atan2(y, x)) + 360.0) % 360.0', 'RA')}, {r6('degrees(asin(z / d))', 'DEC')}, {r6('d', 'Distance')}, {', '.join(r6(a, p) for a, p in zip('xyz', POS))}, {r6('x + y + z', 'total')} FROM d""")
 def position_formats(spark, sf_dir):
-    """Cartesian to sky and back gives the same positions."""
+    """Cartesian to sky, back to Cartesian, and as an array."""
     b = orders_box(spark, sf_dir, center=(1500.0, 0.0, 0.0)).df
-    out = blinding.positions_out(b.select("row_id", *[F.col(p).alias(f"o{p[-1]}") for p in POS], *POS), "rdd").drop(*POS)
-    back = blinding.positions_in(out, "rdd", ("RA", "DEC", "Distance"))
-    ok = [F.abs(F.col(p) - F.col(f"o{p[-1]}")) < 1e-6 for p in POS]
-    return back.select("row_id", (ok[0] & ok[1] & ok[2]).alias("same"))
+    sky = blinding.positions_out(b, "rdd").drop(*POS)
+    back = blinding.positions_out(blinding.positions_in(sky, "rdd", ("RA", "DEC", "Distance")), "pos")
+    return rounded(back.withColumn("total", F.aggregate("pos", F.lit(0.0), lambda t, x: t + x)), "RA", "DEC", "Distance", *POS, "total")
 
 
 @query()
@@ -441,6 +470,41 @@ def catalog_round_trip(spark, sf_dir):
     return rounded(files.read_catalog(spark, path, group="1").df, *POS)
 
 
+@query(f"WITH b AS ({box_sql()}) SELECT row_id, {r6('x', POS[0])}, {r6('y', POS[1])}, {r6('z', POS[2])} FROM b")
+def catalog_fits_round_trip(spark, sf_dir):
+    """Written as a few FITS tables and read back by executors."""
+    import uuid
+
+    path = f"{shared_folder(spark)}/fits-{uuid.uuid4().hex}"
+    files.write_fits(orders_box(spark, sf_dir).df.select("row_id", *POS), path, 3)
+    return rounded(files.read_fits(spark, f"{path}/*.fits", "row_id long, Position_x double, Position_y double, Position_z double"), *POS)
+
+
+@query("SELECT s_suppkey AS TILEID, round(s_acctbal, 2) AS RA, 1 AS OBSCONDITIONS FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey % 5 < 3")
+def tiles_from_csv(spark, sf_dir):
+    """A CSV file whose table follows 18 lines of comment."""
+    import uuid
+
+    t = table(spark, sf_dir, "supplier").orderBy("s_suppkey").collect()  # tiles are a small table
+    text = "\n".join([f"# comment {k}" for k in range(18)] + ["TILEID,PASS,PROGRAM,RA"] + [f"{r.s_suppkey},{r.s_suppkey % 5},{'DARK' if r.s_suppkey % 2 == 0 else 'BRIGHT'},{r.s_acctbal:.2f}" for r in t])
+    path = f"{shared_folder(spark)}/tiles-{uuid.uuid4().hex}"
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    tiles_ = files.read_tiles_csv(spark, path, "TILEID long, PASS int, PROGRAM string, RA double")
+    return files.tiles_for_program(tiles_, tiles_, "DARK", 3).select("TILEID", "RA", "OBSCONDITIONS")
+
+
+@query("SELECT 0.05 + 0.05 * i AS zmin, 0.1 + 0.05 * i AS zmax, (i * i % 7)::DOUBLE AS nz, 0.075 + 0.05 * i AS zmid, round((0.1 + 0.05 * i) ** 3 - (0.05 + 0.05 * i) ** 3, 9) AS volume FROM (SELECT unnest(range(89)) AS i)".replace("0.05 + 0.05 * i AS zmin, 0.1 + 0.05 * i AS zmax", "round(0.05 + 0.05 * i, 9) AS zmin, round(0.1 + 0.05 * i, 9) AS zmax").replace("0.075 + 0.05 * i AS zmid", "round(0.075 + 0.05 * i, 9) AS zmid"))
+def nz_from_text(spark, sf_dir):
+    """A text file of n(z) with one line of names."""
+    import uuid
+
+    path = f"{shared_folder(spark)}/nz-{uuid.uuid4().hex}"
+    text = "zmin zmax nz\n" + "\n".join(f"{0.05 + 0.05 * i:.3f} {0.1 + 0.05 * i:.3f} {i * i % 7}" for i in range(89))
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    t = files.read_nz_text(spark, path)
+    return t.select("nz", *[F.round(c, 9).alias(c) for c in ("zmin", "zmax", "zmid", "volume")])
+
+
 @query("SELECT date_trunc('day', ts) AS start, floor(value / 50.0)::INT AS bin, count(*) AS counts FROM events GROUP BY ALL")
 def windowed_nz(spark, sf_dir):
     """The aggregation that streaming n(z) uses, on the table."""

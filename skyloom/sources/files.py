@@ -117,6 +117,25 @@ def tiles_for_release(tiles: DataFrame, release: str, program: str = "dark") ->
     return out.withColumnRenamed("TILERA", "RA").withColumnRenamed("TILEDEC", "DEC")
 
 
+def read_tiles_csv(spark: SparkSession, path: str, schema: str, skip: int = 18) -> DataFrame:
+    """Tiles from a CSV file whose table follows `skip` lines of comment: one line of names, then rows. schema names the
+    columns that are wanted."""
+    lines = read_text(spark, path).splitlines()[skip:]  # some ten thousand tiles
+    wanted = [c.split()[0] for c in schema.split(",")]
+    kinds = {"string": str, "int": int, "long": int, "bigint": int, "double": float}
+    cast = [kinds[c.split()[1].lower()] for c in schema.split(",")]
+    rows = [tuple(k(r[n]) for n, k in zip(wanted, cast)) for r in _csv.DictReader(lines)]
+    return spark.createDataFrame(rows, schema)
+
+
+def read_sky_targets(spark: SparkSession, paths, tiles: DataFrame, radius: float, schema: str = "TARGETID long, RA double, DEC double", fmt: str = "fits") -> DataFrame:
+    """Sky targets, of files of any number, that lie within a tile."""
+    from skyloom.operators.footprint import points_in_tiles
+
+    rows = read_fits(spark, paths, schema) if fmt == "fits" else spark.read.format(fmt).load(paths).select(*[c.split()[0] for c in schema.split(",")])
+    return rows.join(points_in_tiles(rows, tiles, radius, row_id="TARGETID").select("TARGETID").distinct(), "TARGETID", "left_semi")
+
+
 def tile_files(tiles: DataFrame, template: str = "{head}/{tile}.fits") -> list[str]:
     """One path a tile, from its number padded to six digits; head is its first three."""
     ids = sorted(r.TILEID for r in tiles.select("TILEID").distinct().collect())  # some thousand tiles
@@ -124,8 +143,8 @@ def tile_files(tiles: DataFrame, template: str = "{head}/{tile}.fits") -> list[s
 
 
 def compact(df: DataFrame, path: str, columns, files: int) -> None:
-    """Many small files of wide rows to a few files of the needed columns."""
-    df.select(*columns).coalesce(files).write.mode("overwrite").parquet(path)
+    """Many small files of wide rows to a few files of the needed columns; reading keeps all its tasks."""
+    df.select(*columns).repartition(files).write.mode("overwrite").parquet(path)
 
 
 def cached_lattices(spark: SparkSession, path: str, make) -> DataFrame:
@@ -146,6 +165,20 @@ FITS_TYPES = {"L": "S1", "B": "u1", "I": ">i2", "J": ">i4", "K": ">i8", "E": ">f
 
 def parse_fits(data: bytes, hdu: int = 1) -> np.ndarray:
     """A binary table extension as a structured array: plain and fixed-length vector columns."""
+    for index, header, body in _fits_units(data):
+        if index == hdu:
+            kinds = []
+            for i in range(int(header["TFIELDS"])):
+                m = re.match(r"(\d*)([A-Z])", header[f"TFORM{i + 1}"])
+                n, k = int(m[1] or 1), m[2]
+                name = header[f"TTYPE{i + 1}"]
+                kinds.append((name, f"S{n}") if k == "A" else (name, FITS_TYPES[k]) if n == 1 else (name, FITS_TYPES[k], (n,)))
+            return np.frombuffer(body, np.dtype(kinds), int(header["NAXIS2"]))
+    raise ValueError(f"no extension {hdu}")
+
+
+def _fits_units(data: bytes):
+    """(index, header, body) of the units of a file."""
     at = index = 0
     while at < len(data):
         header: dict[str, str] = {}
@@ -159,22 +192,99 @@ def parse_fits(data: bytes, hdu: int = 1) -> np.ndarray:
                     header[c[:8].strip()] = v[1 : v.index("'", 1)].strip() if v.startswith("'") else v.split("/")[0].strip()
             if any(c.startswith("END") and not c[3:].strip() for c in cards):
                 break
-        size = abs(int(header["BITPIX"])) // 8
         dims = [int(header[f"NAXIS{i + 1}"]) for i in range(int(header["NAXIS"]))]
-        body = size * int(np.prod(dims)) + int(header.get("PCOUNT", 0)) if dims else 0
-        if index == hdu:
-            kinds = []
-            for i in range(int(header["TFIELDS"])):
-                m = re.match(r"(\d*)([A-Z])", header[f"TFORM{i + 1}"])
-                n, k = int(m[1] or 1), m[2]
-                name = header[f"TTYPE{i + 1}"]
-                kinds.append((name, f"S{n}") if k == "A" else (name, FITS_TYPES[k]) if n == 1 else (name, FITS_TYPES[k], (n,)))
-            return np.frombuffer(data[at : at + dims[0] * dims[1]], np.dtype(kinds))
-        at += -(-body // 2880) * 2880
+        size = abs(int(header["BITPIX"])) // 8 * int(np.prod(dims)) + int(header.get("PCOUNT", 0)) if dims else 0
+        yield index, header, data[at : at + size]
+        at += -(-size // 2880) * 2880
         index += 1
+
+
+def parse_fits_image(data: bytes, hdu: int = 0) -> tuple[np.ndarray, dict[str, str]]:
+    """An image and its header."""
+    for index, header, body in _fits_units(data):
+        if index == hdu:
+            dims = [int(header[f"NAXIS{i + 1}"]) for i in range(int(header["NAXIS"]))]
+            kind = {8: "u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}[int(header["BITPIX"])]
+            a = np.frombuffer(body, kind, int(np.prod(dims))).reshape(dims[::-1])
+            return a.astype(a.dtype.newbyteorder("=")), header
     raise ValueError(f"no extension {hdu}")
 
 
+def image_bytes(image: np.ndarray, cards: dict | None = None) -> bytes:
+    """A FITS file with one image and further cards."""
+    image = np.asarray(image)
+    bits = {"u1": 8, "i2": 16, "i4": 32, "i8": 64, "f4": -32, "f8": -64}[image.dtype.str[1:]]
+    head = [("SIMPLE", "T"), ("BITPIX", bits), ("NAXIS", image.ndim), *[(f"NAXIS{i + 1}", n) for i, n in enumerate(image.shape[::-1])], *(cards or {}).items()]
+    body = image.astype(image.dtype.newbyteorder(">")).tobytes()
+    return _fits_header(head) + body.ljust(-(-len(body) // 2880) * 2880, b"\0")
+
+
+def brick_image_opener(template: str):
+    """For pixel_values: opens the FITS image of a brick, whose header has the degrees a pixel and the centre pixel.
+
+    template: a path with {brick} and {region}, in a folder that executors mount; a missing file is a brick without image.
+    """
+
+    def open_(brick: str, region: str):
+        try:
+            with open(template.format(brick=brick, region=region), "rb") as f:
+                image, header = parse_fits_image(f.read())
+        except FileNotFoundError:
+            return None
+        return image, abs(float(header["CD1_1"])), float(header["CRPIX1"]) - 1
+
+    return open_
+
+
+def _fits_header(cards) -> bytes:
+    text = "".join(f"{k:<8}= {v:>20}".ljust(80) for k, v in cards) + "END".ljust(80)
+    return text.ljust(-(-len(text) // 2880) * 2880).encode()
+
+
+def read_healpix_map(spark: SparkSession, path: str, column: str, hdu: int = 1) -> DataFrame:
+    """(pix, nbar) of a map in a FITS table, a pixel or a fixed number of pixels a row."""
+    import pandas as pd
+
+    def parse(frames):
+        for f in frames:
+            for content in f["content"]:
+                v = parse_fits(bytes(content), hdu)[column].astype(float).ravel()
+                yield pd.DataFrame({"pix": np.arange(len(v), dtype=np.int64), "nbar": v})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "pix long, nbar double")
+
+
+def write_fits(df: DataFrame, path: str, files: int) -> DataFrame:
+    """Rows in so many FITS tables under path, a folder that executors mount; (file, rows) of each.
+
+    A task writes its file beside its place and moves it there whole, so that a task that is run again does no harm. Plain
+    columns of numbers and texts; a file's rows are in its task's memory.
+    """
+    import os
+    import uuid
+
+    import pandas as pd
+
+    target = path.removeprefix("file://")
+    columns = df.columns
+
+    def write(frames):
+        from pyspark import TaskContext
+
+        rows = pd.concat(list(frames) or [pd.DataFrame(columns=columns)])
+        name = f"part-{TaskContext.get().partitionId():05d}.fits"
+        os.makedirs(target, exist_ok=True)
+        beside = os.path.join(target, f".{name}-{uuid.uuid4().hex}")
+        if len(rows):
+            with open(beside, "wb") as f:
+                f.write(fits_bytes({c: rows[c].to_numpy() if rows[c].dtype != object else rows[c].to_numpy().astype(str) for c in columns}))
+            os.replace(beside, os.path.join(target, name))
+        yield pd.DataFrame({"file": [name], "rows": [len(rows)]})
+
+    done = df.repartition(files).mapInPandas(write, "file string, rows long").collect()  # a row for each file
+    return df.sparkSession.createDataFrame([tuple(r) for r in done], "file string, rows long")
+
+
 def fits_bytes(columns: dict[str, np.ndarray]) -> bytes:
     """A FITS file with one binary table."""
     letters = {"f8": "D", "f4": "E", "i8": "K", "i4": "J", "i2": "I", "u1": "B"}
@@ -192,16 +302,12 @@ def fits_bytes(columns: dict[str, np.ndarray]) -> bytes:
     for k, v in columns.items():
         rows[k] = np.asarray(v).astype("S") if np.asarray(v).dtype.kind == "U" else v
 
-    def block(cards):
-        text = "".join(f"{k:<8}= {v:>20}".ljust(80) if v is not None else k.ljust(80) for k, v in cards) + "END".ljust(80)
-        return text.ljust(-(-len(text) // 2880) * 2880).encode()
-
-    first = block([("SIMPLE", "T"), ("BITPIX", "8"), ("NAXIS", "0"), ("EXTEND", "T")])
+    first = _fits_header([("SIMPLE", "T"), ("BITPIX", "8"), ("NAXIS", "0"), ("EXTEND", "T")])
     cards = [("XTENSION", "'BINTABLE'"), ("BITPIX", "8"), ("NAXIS", "2"), ("NAXIS1", rows.dtype.itemsize), ("NAXIS2", len(rows)), ("PCOUNT", "0"), ("GCOUNT", "1"), ("TFIELDS", len(kinds))]
     for i, (k, f) in enumerate(zip(columns, forms)):
         cards += [(f"TTYPE{i + 1}", f"'{k}'"), (f"TFORM{i + 1}", f"'{f}'")]
     body = rows.tobytes()
-    return first + block(cards) + body.ljust(-(-len(body) // 2880) * 2880, b"\0")
+    return first + _fits_header(cards) + body.ljust(-(-len(body) // 2880) * 2880, b"\0")
 
 
 def read_fits(spark: SparkSession, paths, schema: str, columns=None, hdu: int = 1) -> DataFrame:

@@ -254,3 +254,93 @@ def test_one_interlaced_grid_means_two(spark):
     made = lambda k: mesh.real_to_array(mocks.GaussianMock.from_power(spark, lambda q: 1e3 + 0 * q, nmesh=6, boxsize=600.0, boxcenter=1000.0).with_real().with_selection(lambda d, ra, dec: 1e-4 * d, interlacing=k).nbar, 6)
     plain, one, true, two = (made(k) for k in (False, 1, True, 2))
     assert np.allclose(one, two) and np.allclose(true, two) and not np.allclose(plain, two)
+
+
+def test_images_maps_and_sky_targets(spark, tmp_path):
+    """FITS images of bricks, HEALPix maps and per-tile sky targets through files."""
+    from skyloom.operators import bricks, masks
+    from skyloom.sources import files
+
+    r = np.random.RandomState(0)
+    image = r.randint(-99, 99, (5, 7)).astype("i2")
+    got, header = files.parse_fits_image(files.image_bytes(image, {"CRPIX1": 4, "CD1_1": -0.01}))
+    assert np.array_equal(got, image) and header["CRPIX1"] == "4"
+    points = spark.createDataFrame([(i, float(a), float(d)) for i, (a, d) in enumerate(r.uniform([10, 30], [11, 33], (300, 2)))], "row_id long, RA double, DEC double")
+    rows = bricks.with_bricks(points).collect()
+    names = sorted({(x.brickname, x.photsys) for x in rows})
+    n, scale = 120, 0.3 / 120
+    for k, (name, region) in enumerate(names[1:]):  # the first has no image
+        (tmp_path / f"{region}-{name}.fits").write_bytes(files.image_bytes((np.arange(n * n).reshape(n, n) % 1000 + k).astype("i4"), {"CRPIX1": (n + 1) / 2, "CD1_1": -scale}))
+    out = bricks.pixel_values(points, {"maskbits": (files.brick_image_opener(str(tmp_path / "{region}-{brick}.fits")), -1)}, "maskbits int").collect()
+    value = {x.row_id: x.maskbits for x in out}
+    assert {x.photsys for x in rows} == {"N", "S"} and len(value) == 300
+    for x in rows:
+        k = names.index((x.brickname, x.photsys))
+        if k == 0:
+            assert value[x.row_id] == -1
+            continue
+        ra, dec, a0, d0 = np.radians([x.RA, x.DEC, x.brick_ra, x.brick_dec])
+        c = np.sin(d0) * np.sin(dec) + np.cos(d0) * np.cos(dec) * np.cos(ra - a0)
+        px = round(np.degrees(-np.cos(dec) * np.sin(ra - a0) / c) / scale + (n - 1) / 2)
+        py = round(np.degrees((np.cos(d0) * np.sin(dec) - np.sin(d0) * np.cos(dec) * np.cos(ra - a0)) / c) / scale + (n - 1) / 2)
+        assert value[x.row_id] == (py * n + px) % 1000 + k - 1
+
+    values = r.uniform(size=(48, 4))
+    (tmp_path / "map.fits").write_bytes(files.fits_bytes({"w": values}))
+    m = files.read_healpix_map(spark, str(tmp_path / "map.fits"), "w")
+    assert [x.nbar for x in m.orderBy("pix").collect()] == values.ravel().tolist()
+    p = masks.HealpixAngular(m, 4).with_prob(points, "RA", "DEC").collect()
+    from skyloom.functions import healpix
+
+    pix = {x.row_id: x.p for x in points.select("row_id", healpix.ang2pix(4, points.RA, points.DEC).alias("p")).collect()}
+    assert all(np.isclose(x.prob, values.ravel()[pix[x.row_id]]) for x in p)
+
+    targets = r.uniform([10, 30], [12, 33], (200, 2))
+    for k in range(2):
+        own = slice(100 * k, 100 * k + 100)
+        (tmp_path / f"sky-{k}.fits").write_bytes(files.fits_bytes({"RA": targets[own, 0], "TARGETID": np.arange(200)[own], "DEC": targets[own, 1]}))
+    tiles = spark.createDataFrame([(1, 11.0, 31.0), (2, 11.5, 32.5)], "TILEID long, RA double, DEC double")
+    got = {x.TARGETID for x in files.read_sky_targets(spark, str(tmp_path / "sky-*.fits"), tiles, 0.6).collect()}
+    a, d = np.radians(targets).T
+    near = lambda ra, dec: np.degrees(np.arccos(np.sin(d) * np.sin(np.radians(dec)) + np.cos(d) * np.cos(np.radians(dec)) * np.cos(a - np.radians(ra)))) <= 0.6
+    assert got == set(np.flatnonzero(near(11, 31) | near(11.5, 32.5)).tolist()) and got
+
+
+def test_steps_from_box_to_survey(spark):
+    """Lattice by ranges of sizes and quarter turns; redshift space before cuts; redshifts that follow n(z)."""
+    from skyloom.functions.cosmology import DistanceToRedshift, cosmology
+    from skyloom.operators import masks
+    from skyloom.operators.catalog import random_box
+    from skyloom.operators.remap import Cuboid
+
+    box = random_box(spark, 5500.0, csize=500)
+    ranges = [[8000, 10000], [4000, 5000], [2000, 4000]]
+    sizes = list(Cuboid.lattices((5500.0,) * 3, 1, 1, sort=False, ranges=ranges))
+    out = box.remap_to_ranges(ranges)
+    assert len(sizes) == 1 and np.allclose(out.boxsize, np.array(sizes[0])[[2, 0, 1]]) and np.isclose(np.prod(out.boxsize), 5500.0**3)
+    low, high = np.array(out.boxcenter) - np.array(out.boxsize) / 2, np.array(out.boxcenter) + np.array(out.boxsize) / 2
+    p = out.df.toPandas()[["Position_x", "Position_y", "Position_z"]].to_numpy()
+    assert (p >= low - 1e-6).all() and (p <= high + 1e-6).all()
+
+    from pyspark.sql import functions as F
+
+    b = random_box(spark, (2000.0, 3000.0, 8000.0), csize=300)
+    from dataclasses import replace
+
+    b = replace(b, df=b.df.withColumns({f"Velocity_{a}": F.col(f"Position_{a}") * 0.001 + 1 for a in "xyz"}), velocity="Velocity", vectors=b.vectors | {"Velocity"}, invariants=frozenset({"Velocity"}))
+    c = b.cutsky_rsd(3500.0, 4000.0, 0.7).df.toPandas()
+    x, v = (c[[f"{n}_{a}" for a in "xyz"]].to_numpy() for n in ("Position", "Velocity"))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = x + 0.7 * (v * unit).sum(1, keepdims=True) * unit
+    assert np.allclose(c[[f"RSDPosition_{a}" for a in "xyz"]].to_numpy(), want) and np.allclose(c.DISTANCE, np.linalg.norm(want, axis=1))
+    assert np.allclose(c.DEC, np.degrees(np.arcsin(want[:, 2] / c.DISTANCE))) and len(c) == 300
+    assert np.isclose(x[:, 0].mean(), 3000, rtol=0.05) and x[:, 0].max() <= 4000  # the far corners of a box 2000 deep lie at 4000
+
+    cosmo = cosmology()
+    edges = np.linspace(0.1, 1.1, 11)
+    n = np.array([1, 3, 6, 9, 12, 12, 9, 6, 3, 1.0])
+    nz = spark.createDataFrame([(float(a), float(b), float(k)) for a, b, k in zip(edges[:-1], edges[1:], n)], "zmin double, zmax double, nz double")
+    z = masks.generate_redshifts(nz, spark, 4000, cosmo.distance, DistanceToRedshift(cosmo.distance, 2.0), 0.2, 1.0).toPandas().z
+    assert len(z) == 4000 and z.between(0.2, 1.0).all()
+    got = np.histogram(z, edges[1:-1])[0] / 4000
+    assert np.abs(got - n[1:-1] / n[1:-1].sum()).max() < 0.03

@@ -5,15 +5,12 @@ from conftest import SF
 
 from skyloom.plans import registry
 
-SLOW = {"assign_passes", "eulerian_rsd_local", "selection_function", "survey_from_box", "smearing_qso", "smearing_lrg"}
-
-
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_same_as_sql(name, same):
     same(registry.QUERIES[name], registry.ORACLE_SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_runs(name, spark):
     assert registry.QUERIES[name](spark, SF).count() > 0
 
