@@ -80,7 +80,7 @@ def window_entropy(s):
     terms = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(WINDOW + 2)])
     ones = F.array(*[F.lit(1 << 5 * k).cast("long") for k in range(COUNTERS)])
     word, one = lambda c: F.floor(c / COUNTERS).cast("int"), lambda c: F.get(ones, c % COUNTERS)
-    count = lambda w, c: (F.floor(F.get(w, word(c)) / one(c)) % 32).cast("int")
+    count = lambda w, c: F.call_function("shiftrightunsigned", F.get(w, word(c)), (c % COUNTERS * 5).cast("int")).bitwiseAND(F.lit(31)).cast("int")
     term = lambda n: F.get(terms, n)
     begin = F.struct(F.array_repeat(F.lit(0).cast("long"), COUNTED).alias("w"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
 
