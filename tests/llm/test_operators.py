@@ -351,6 +351,45 @@ def test_secrets(spark, docs, awkward):
     assert e[1].n_entropy == 1 and e[1].spans == "entropy:4:27" and not e[2].n_entropy and not e[3].n_entropy
 
 
+def test_entropy_spans_against_plain_windows(spark, docs):
+    """Added spans: every run of a class, every window counted anew, each allowed pattern by itself."""
+    r = np.random.RandomState(9)
+    pick = lambda chars, n: "".join(r.choice(list(chars), n))
+    base64, hexa = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789abcdef"
+    texts = [t for _, t, _ in docs] + ["", "é" * 30 + pick(base64, 40) + "ü", "aA1" * 20, "x" * 200 + pick(base64, 30) + "=="]
+    for _ in range(150):
+        parts = [pick(base64[: r.randint(8, 65)], r.randint(15, 60)), pick(hexa, r.randint(15, 50)), "sha256:" + pick(hexa, 64), "my_long_variable_name_for_things12", "https://" + pick(base64, 25), "wordÉ"]
+        texts.append("".join(x + str(r.choice([" ", "\n", ", ", "", "=", "==", "."])) for x in r.permutation(parts)))
+
+    def entropy(s):
+        best = 0.0
+        for a in range(len(s) - secrets.WINDOW + 1):
+            n = collections.Counter(s[a : a + secrets.WINDOW])
+            best = max(best, -sum(c / secrets.WINDOW * np.log2(c / secrets.WINDOW) for c in n.values()))
+        return best
+
+    close = 0
+
+    def brute(t):
+        nonlocal close
+        out = set()
+        for _, run, needs, bits in secrets.CLASSES:
+            for m in re.finditer(run, t):
+                if re.match(needs, m[0]) and not any(re.search(a, m[0]) for a in secrets.ALLOWED):
+                    e = entropy(m[0])
+                    close += abs(e - bits) < 1e-9
+                    if e >= bits - 1e-9:
+                        out.add((m.start(), m.end()))
+        return out
+
+    got = {x.doc_id: x for x in secrets.secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = [brute(t) for t in texts]
+    for i, spans in enumerate(want):
+        mine = [tuple(map(int, x.split(":")[1:])) for x in got[i].spans.split(",") if x.startswith("entropy")]
+        assert set(mine) == spans and len(mine) == len(spans) == got[i].n_entropy
+    assert sum(map(len, want)) > 100 and not close
+
+
 def test_toxicity_separates(spark):
     r = np.random.RandomState(0)
     words = ["".join(r.choice(["ta", "no", "ri", "es", "lo"], r.randint(1, 4))) for _ in range(300)]
@@ -401,6 +440,44 @@ def test_quality_learns_and_covers_long_texts():
         quality.SLICE = limit
 
 
+def plain_quality(m, text: bytes) -> float:
+    """The network in plain loops over one text."""
+    n = max(1, -(-len(text) // quality.PAD)) * quality.PAD
+    data = text + b" " * (n - len(text) + quality.WIDTH)
+    rows = [np.concatenate([m["emb"][c].astype(float) for c in data[at : at + quality.WIDTH]]) @ m["conv"] for at in range(0, n, quality.STRIDE)]
+    blocks = [np.max(rows[a : a + quality.BLOCK], axis=0) for a in range(0, len(rows), quality.BLOCK)]
+    chunks, a = [], 0
+    while True:
+        chunks.append(np.maximum(np.max(blocks[a : a + quality.CHUNK], axis=0) + m["bias"], 0))
+        if a + quality.CHUNK >= len(blocks):
+            break
+        a += quality.CHUNK - 1
+    z = np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0)]) @ m["out"] + m["zero"][0]
+    return 1 / (1 + np.exp(-z))
+
+
+def test_quality_against_plain_loops(monkeypatch):
+    """Scores depend on the text alone, whatever stands beside it in a batch and however it is cut for memory."""
+    r = np.random.RandomState(6)
+    m = {k: (v + r.normal(0, 0.3, v.shape)).astype("f4") for k, v in quality.init(2).items()}
+    texts = [bytes(r.randint(32, 127, n).astype(np.uint8)) for n in (0, 1, 63, 64, 65, 128, 700, 5000, 3, 64, 9000)] + ["é" .encode() * 50]
+    middle = np.median([plain_quality(m, t) for t in texts])
+    m["zero"] = m["zero"] - np.float32(np.log(middle / (1 - middle)))  # scores on either side of a half
+    want = [plain_quality(m, t) for t in texts]
+    assert max(want) - min(want) > 0.05
+    for size in (1 << 18, 1024, 64):
+        monkeypatch.setattr(quality, "SLICE", size)
+        assert np.allclose(quality.probabilities(m, texts), want, atol=1e-5)
+        assert np.allclose(quality.probabilities(m, texts[::-1])[::-1], want, atol=1e-5)
+    assert all(np.isclose(quality.probabilities(m, [t])[0], w, atol=1e-5) for t, w in zip(texts, want))
+
+
+def test_quality_does_not_depend_on_partitions(spark, labels):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one, two = ({r.doc_id: r.score for r in quality.quality(d, labels).collect()} for d in (docs, docs.repartition(7, "doc_id")))
+    assert one.keys() == two.keys() and all(abs(one[i] - two[i]) < 1e-5 for i in one)
+
+
 def test_gradient():
     m = quality.init(3)
     t, e = "some text with bytes " * 9, 1e-2
