@@ -43,7 +43,7 @@ THRESHOLD = 0.8
 #: Distinct shingles of the sets of a block, on average; two blocks are compared at a time.
 BLOCK = 1 << 17
 #: Bands that are worked on together; what one step connects, the next need not compare.
-STEPS = ((0, 4), (4, BANDS))
+STEPS = ((0, 1), (1, 4), (4, BANDS))
 SLICE_BYTES = 1 << 17
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -180,6 +180,17 @@ def with_labels(rows: DataFrame, labels: DataFrame | None, node: str, name: str)
     return rows.join(labels.select(F.col("node").alias(node), F.col("label").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
 
 
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """labels (node, label) after further links (a, b). Only links between different components count, and their
+    components are found on labels instead of nodes, so that a large component costs its links once."""
+    if labels is None:
+        return components(links)
+    between = with_labels(with_labels(links.select("a", "b"), labels, "a", "la"), labels, "b", "lb").where("la <> lb")
+    joined = components(between.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
+    nodes = labels.select("node").union(links.select("a")).union(links.select("b")).distinct()
+    return written(with_labels(with_labels(nodes, labels, "node", "own"), joined, "own", "label").select("node", "label"), "cc-merged")
+
+
 LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("j", pa.float64())])
 
 
@@ -261,8 +272,8 @@ def open_links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFra
     return rows.repartition(parts, "band", "key", "i", "k").sortWithinPartitions("band", "key", "i", "k").mapInArrow(_stream_links(threshold), "a binary, b binary, j double")
 
 
-def class_links(classes: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, j): verified links that connect all classes whose similarity reaches threshold.
+def class_links(classes: DataFrame, rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b): verified links that connect all classes whose similarity reaches threshold; and (node, label): components.
 
     classes: cls, width (distinct shingles), bands; rows: cls, hashes, counts, at least one of each class."""
     bands = classes.select("cls", "width", F.posexplode("bands").alias("band", "key"))
@@ -277,13 +288,15 @@ def class_links(classes: DataFrame, rows: DataFrame, threshold: float) -> DataFr
         now = active.where((F.col("band") >= low) & (F.col("band") < high))
         now = with_labels(with_labels(now, labels, "cls", "mine"), labels, "pivot", "its").where("mine <> its")
         known = written(verified(now.select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct(), sets), "nd-stars")
-        out = known.where(F.col("j") >= threshold) if out is None else out.union(known.where(F.col("j") >= threshold))
+        near = known.where(F.col("j") >= threshold).select("a", "b")
+        out = near if out is None else out.union(near)
         seen = known if seen is None else seen.union(known)
-        labels = components(out)
+        labels = merged(labels, near)
     # what is left: members in other components than their pivot's, against the other components of the bucket
     members = written(with_labels(with_labels(active, labels, "cls", "mine"), labels, "pivot", "its").join(seen.select(F.col("a").alias("cls"), F.col("b").alias("pivot"), "j"), ["cls", "pivot"], "left"), "nd-left")
     open_ = members.where("mine <> its").select("band", "key").distinct()
-    return out.union(open_links(members.join(open_, ["band", "key"], "left_semi"), sets, threshold))
+    rest = written(open_links(members.join(open_, ["band", "key"], "left_semi"), sets, threshold).select("a", "b").distinct(), "nd-rest")
+    return out.union(rest), merged(labels, rest)
 
 
 def _digest(text):
@@ -302,8 +315,8 @@ def _grouped(docs: DataFrame, threshold: float, digests: bool) -> tuple[DataFram
     copies = written(
         rows.groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first(F.struct((F.length("hashes") / 4).cast("long").alias("width"), "bands")).alias("s")).select("cls", "least", "copies", "s.width", "s.bands"), "nd-classes"
     )
-    links = written(class_links(copies.where("width > 0").select("cls", "width", "bands"), rows.where(F.length("hashes") > 0).select("cls", "hashes", "counts"), threshold).select("a", "b").distinct(), "nd-links")
-    groups = components(links)
+    links, groups = class_links(copies.where("width > 0").select("cls", "width", "bands"), rows.where(F.length("hashes") > 0).select("cls", "hashes", "counts"), threshold)
+    links = written(links.distinct(), "nd-links")
     degree = links.union(links.select("b", "a")).distinct().groupBy(F.col("a").alias("cls")).agg(F.count("*").alias("links"))
     named = copies.select("cls", "least", "copies").join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls")).join(degree, "cls", "left")
     heads = named.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
