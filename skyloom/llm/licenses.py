@@ -8,7 +8,7 @@ What segments cut apart is found by windows of words, which run across lines and
 times a template's length are scored against the templates, where they cross an end of a segment, and against NOTICES,
 whole notices of several lines, wherever they are. All windows that can reach the threshold are scored: a best window
 begins and ends with a bigram of the template, and has at least t / (2 - t) of the template's. A whole notice names the
-licence before any template does. ORACLE_SQL states the part by segments only.
+licence before any template does. ORACLE_SQL states the part by segments only, without either bound.
 
 Two bounds prune, and lose nothing. Size: Dice t needs |A| / |B| between t / (2 - t) and (2 - t) / t, so a template is
 a candidate only for segments of fitting size. Keys: at most 1 - t / (2 - t) of a template's bigrams can be missing from
@@ -174,7 +174,7 @@ WITH tpl(k, license_id, b) AS (VALUES {rows}),
 d AS (SELECT doc_id, row_number() OVER () AS row, text FROM documents),
 s AS (SELECT doc_id, row, trim(regexp_replace(lower(x), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS x
   FROM (SELECT doc_id, row, unnest(string_split_regex(regexp_replace(text, '([.!?;])\s+', '\1' || chr(10), 'g'), '\n+')) AS x FROM d)),
-w AS (SELECT doc_id, row, string_split(x, ' ') AS w FROM s WHERE x LIKE '% %' AND regexp_matches(x, '(^| )({"|".join(key_words(TEMPLATES, THRESHOLD))})( |$)')),
+w AS (SELECT doc_id, row, string_split(x, ' ') AS w FROM s WHERE x LIKE '% %'),
 g AS (SELECT doc_id, row, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS g FROM w),
 h AS (SELECT doc_id, row, max({{'dice': dice, 'k': -k}}) AS best FROM (
   SELECT doc_id, row, g, k, 2.0::DOUBLE * len(list_intersect(g, b)) / (len(g) + len(b)) AS dice FROM g, tpl) WHERE dice >= {THRESHOLD} GROUP BY doc_id, row, g)
