@@ -90,7 +90,7 @@ def effective_redshift(rows: DataFrame, z: str = "z", w: str | None = None) -> D
 def region_counts(rows: DataFrame, region: str, z: str, zrange, areas: DataFrame) -> DataFrame:
     """(region, ndata, density): rows strictly inside a redshift range, and per square degree."""
     inside = rows.where((F.col(z) > float(zrange[0])) & (F.col(z) < float(zrange[1])))
-    return inside.groupBy(region).agg(F.count("*").alias("ndata")).join(F.broadcast(areas), region).select(region, "ndata", (F.col("ndata") / F.col("area")).alias("density"))
+    return inside.groupBy(region).agg(F.count("*").alias("ndata")).join(areas, region).select(region, "ndata", (F.col("ndata") / F.col("area")).alias("density"))
 
 
 def unique_counts(rows: DataFrame, key: str, order: str) -> DataFrame:

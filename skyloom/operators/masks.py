@@ -288,4 +288,4 @@ def downsample(rows: DataFrame, targets: DataFrame, region: str, row_id: str, se
     targets: (region, ndata). Counting is a partial aggregation, so a region with most rows is no hot key.
     """
     sizes = rows.groupBy(region).agg(F.count("*").alias("__n")).join(targets, region).select(region, (F.col("ndata") / F.col("__n")).alias("__f"))
-    return rows.join(F.broadcast(sizes), region).where(u01(F.col(row_id), seed, "down") < F.col("__f")).drop("__f")
+    return rows.join(sizes, region).where(u01(F.col(row_id), seed, "down") < F.col("__f")).drop("__f")

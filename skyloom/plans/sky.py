@@ -422,12 +422,20 @@ def nz_scott(spark, sf_dir):
     return spark.createDataFrame([(len(e) - 1, round(float(e[1] - e[0]), 6))], "nbins long, width double")
 
 
-@query()
+NZ_EDGES = np.linspace(0.0, 2.4, 31)
+NZ_SHELLS = 0.42 * 4 / 3 * np.pi * np.diff(cosmology().distance(NZ_EDGES) ** 3)
+
+
+@query(f"""WITH e AS ({EV}), k AS (SELECT {[float(x) for x in NZ_EDGES]}::DOUBLE[] AS edge, {[float(x) for x in (NZ_EDGES[1:] + NZ_EDGES[:-1]) / 2]}::DOUBLE[] AS mid, {[float(x) for x in NZ_SHELLS]}::DOUBLE[] AS shell),
+h AS (SELECT least(len(list_filter(edge, lambda x: x <= z)), 30) AS i, count(*) AS c FROM e, k WHERE z BETWEEN 0.0 AND 2.4 GROUP BY 1),
+n AS (SELECT list(coalesce(c, 0) / shell[b.i] ORDER BY b.i) AS n FROM (SELECT unnest(range(1, 31)) AS i) b LEFT JOIN h USING (i), k),
+p AS (SELECT row_id, z, mid, n, least(len(list_filter(mid, lambda x: x <= z)), 29) AS j FROM e, k, n)
+SELECT row_id, {r6('CASE WHEN z BETWEEN mid[1] AND mid[30] THEN n[j] + (n[j + 1] - n[j]) * (z - mid[j]) / (mid[j + 1] - mid[j]) ELSE 0.0 END * 1e9', 'nbar_e9', 3)} FROM p""")
 def nz_density(spark, sf_dir):
-    """n(z) per volume, evaluated for every event."""
+    """n(z) per volume (times 10^9), evaluated for every event."""
     e = events_z(spark, sf_dir)
-    n = density.RedshiftDensity(e, "z", np.linspace(0.0, 2.4, 31), fsky=0.42, distance=cosmology().distance)
-    return e.select("row_id", n.column(F.col("z")).alias("nbar"))
+    n = density.RedshiftDensity(e, "z", NZ_EDGES, fsky=0.42, distance=cosmology().distance)
+    return rounded(e.withColumn("nbar_e9", n.column(F.col("z")) * 1e9), "nbar_e9", digits=3)
 
 
 @query("SELECT round(sum(l_quantity * l_extendedprice) / sum(l_extendedprice), 6) AS zeff FROM lineitem")
