@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,12 +44,39 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+#: Tables that workspaces in use have to clear away.
+_made: list[list[DataFrame]] = []
+
+
 def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    if _made:
+        _made[-1].append(out)
+    return out
+
+
+@contextmanager
+def workspace():
+    """Yields a list of the tables to keep; all others that were written inside are deleted at the end, when nothing that
+    is still to be computed may depend on them."""
+    keep: list[DataFrame] = []
+    _made.append([])
+    try:
+        yield keep
+    finally:
+        made = _made.pop()
+        for t in made:
+            if not any(t is k for k in keep):
+                jvm = t.sparkSession._jvm
+                path = jvm.org.apache.hadoop.fs.Path(t.scratch)
+                path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        if _made:
+            _made[-1].extend(t for t in made if any(t is k for k in keep))
 
 
 def narrow(docs: DataFrame, *names: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from skyloom.llm.common import bounded_batches, fresh, narrow, written
+from skyloom.llm.common import bounded_batches, fresh, narrow, workspace, written
 from skyloom.llm.shingles import mix, multisets, shingle_hashes, words_of
 
 REGISTERS, BANDS, ROWS = 64, 16, 4
@@ -310,18 +310,21 @@ def _grouped(docs: DataFrame, threshold: float, digests: bool) -> tuple[DataFram
     digest = _digest(F.col("text")) if digests else F.lit(None).cast("binary")
     rows = narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), digest.alias("digest"))
     rows = rows.mapInArrow(_prepare, "doc_id long, digest binary, cls binary, bands array<long>, hashes binary, counts binary")
-    rows = written(rows, "nd-rows", "snappy")
-    # a row for each class: equal multisets have equal bands
-    copies = written(
-        rows.groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first(F.struct((F.length("hashes") / 4).cast("long").alias("width"), "bands")).alias("s")).select("cls", "least", "copies", "s.width", "s.bands"), "nd-classes"
-    )
-    links, groups = class_links(copies.where("width > 0").select("cls", "width", "bands"), rows.where(F.length("hashes") > 0).select("cls", "hashes", "counts"), threshold)
-    links = written(links.distinct(), "nd-links")
-    degree = links.union(links.select("b", "a")).distinct().groupBy(F.col("a").alias("cls")).agg(F.count("*").alias("links"))
-    named = copies.select("cls", "least", "copies").join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls")).join(degree, "cls", "left")
-    heads = named.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-    classes = written(named.join(heads, "label").select("cls", "label", "class_id", "class_size", "copies", F.coalesce("links", F.lit(0)).alias("links")), "nd-named")
-    return rows.select("doc_id", "digest", "cls"), classes
+    with workspace() as keep:  # the sets go when the classes stand
+        rows = written(rows, "nd-rows", "snappy")
+        # a row for each class: equal multisets have equal bands
+        copies = written(
+            rows.groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first(F.struct((F.length("hashes") / 4).cast("long").alias("width"), "bands")).alias("s")).select("cls", "least", "copies", "s.width", "s.bands"), "nd-classes"
+        )
+        links, groups = class_links(copies.where("width > 0").select("cls", "width", "bands"), rows.where(F.length("hashes") > 0).select("cls", "hashes", "counts"), threshold)
+        links = written(links.distinct(), "nd-links")
+        degree = links.union(links.select("b", "a")).distinct().groupBy(F.col("a").alias("cls")).agg(F.count("*").alias("links"))
+        named = copies.select("cls", "least", "copies").join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls")).join(degree, "cls", "left")
+        heads = named.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
+        classes = written(named.join(heads, "label").select("cls", "label", "class_id", "class_size", "copies", F.coalesce("links", F.lit(0)).alias("links")), "nd-named")
+        rows = written(rows.select("doc_id", "digest", "cls"), "nd-ids")
+        keep += [rows, classes]
+    return rows, classes
 
 
 def of_class(rows: DataFrame, classes: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import fresh, narrow, written
+from skyloom.llm.common import fresh, narrow, workspace, written
 
 #: Fixed values of the contract: weights by order of source, share of all words, most repeats.
 WEIGHTS = (5, 2, 1)
@@ -106,9 +106,11 @@ def served(queue: DataFrame, repeats: int) -> DataFrame:
 def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, virtual_finish (of the first copy; null without words): one row
     for each row of docs."""
-    sizes = written(sized(narrow(docs, "doc_id", "text", "source"), F.monotonically_increasing_id()), "mix-sizes")
-    queue = written(queued(sizes, weights, share, repeats), "mix-queue")
-    each = served(queue, repeats).groupBy("row").agg(F.sum("taken").alias("taken"), F.min("finish").alias("virtual_finish"))
+    with workspace() as keep:
+        sizes = written(sized(narrow(docs, "doc_id", "text", "source"), F.monotonically_increasing_id()), "mix-sizes")
+        queue = written(queued(sizes, weights, share, repeats), "mix-queue")
+        each = written(served(queue, repeats).groupBy("row").agg(F.sum("taken").alias("taken"), F.min("finish").alias("virtual_finish")), "mix-taken")
+        keep += [queue, each]
     return queue.join(each, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "virtual_finish")
 
 
@@ -119,10 +121,13 @@ def mixed_sequence(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repea
     it shares with others.
     """
     row, finish, copy = fresh(docs, "row", "finish", "copy")
-    keyed = written(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
-    sizes = written(sized(narrow(keyed, "doc_id", "text", "source", row), F.col(row)), "mix-sizes")
-    queue = written(queued(sizes, weights, share, repeats), "mix-queue")
-    whole = served(queue, repeats).join(queue.select("row", "size"), "row").where("2 * taken >= size").select(F.col("row").alias(row), F.col("finish").alias(finish), F.col("copy").alias(copy))
+    with workspace() as keep:
+        keyed = written(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+        sizes = written(sized(narrow(keyed, "doc_id", "text", "source", row), F.col(row)), "mix-sizes")
+        queue = written(queued(sizes, weights, share, repeats), "mix-queue")
+        whole = served(queue, repeats).join(queue.select("row", "size"), "row").where("2 * taken >= size")
+        whole = written(whole.select(F.col("row").alias(row), F.col("finish").alias(finish), F.col("copy").alias(copy)), "mix-copies")
+        keep += [keyed, whole]
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return keyed.join(whole, row).repartitionByRange(n, finish, row).sortWithinPartitions(finish, row, copy).select(*[keyed[c] for c in docs.columns])
 
