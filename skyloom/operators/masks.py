@@ -223,7 +223,36 @@ class PolygonAngular(UniformAngular):
                 caps.append(tuple(map(float, v)))
         return cls(out, **options)
 
+    def with_prob(self, rows: DataFrame, ra: str = "ra", dec: str = "dec", name: str = "prob", size: float = 4.0) -> DataFrame:
+        """rows with the weight of the first polygon that holds them.
+
+        A polygon is listed in the cells of the sky that its least cap touches, and a point looks through the polygons of
+        its cell: for any number of polygons one equi-join of a row a point.
+        """
+        from skyloom.operators.footprint import by_cell, with_cells
+
+        table = []
+        for k, (weight, caps) in enumerate(self.polygons):
+            x, y, z, cm = min((c for c in caps if c[3] >= 0), key=lambda c: c[3], default=(0.0, 0.0, 1.0, 2.0))
+            reach = np.degrees(np.arccos(np.clip(1 - cm, -1, 1))) + 1e-6
+            table.append((k, float(weight), [tuple(map(float, c)) for c in caps], float(np.degrees(np.arctan2(y, x)) % 360), float(np.degrees(np.arcsin(np.clip(z, -1, 1)))), float(reach)))
+        schema = "id int, weight double, caps array<struct<x:double,y:double,z:double,cm:double>>, tra double, tdec double, reach double"
+        polygons = rows.sparkSession.createDataFrame(table, schema)
+        v = g.sky_to_cartesian(F.lit(1.0), F.col(ra), F.col(dec))
+
+        def holds(c):
+            away = F.lit(1.0) - (v[0] * c["x"] + v[1] * c["y"] + v[2] * c["z"])
+            return F.when(c["cm"] >= 0, away < c["cm"]).otherwise(away > -c["cm"])
+
+        out = with_cells(rows, by_cell(polygons, size, F.col("reach"), "id", "weight", "caps"), size, ra, dec, "__polygons")
+        first = F.array_min(F.filter("__polygons", lambda p: F.forall(p["caps"], holds)))
+        return out.withColumn(name, F.when(self.inside(F.col(ra), F.col(dec)), F.coalesce(first["weight"], F.lit(0.0))).otherwise(0.0)).drop("__polygons")
+
+    def selected(self, rows: DataFrame, seed: int, uniform=u01_fast) -> DataFrame:
+        return self.with_prob(rows, name="__p").where(F.col("__p") >= uniform(F.col("id"), seed, "mask")).drop("__p")
+
     def prob(self, ra: Column, dec: Column) -> Column:
+        """As an expression, with a branch for each polygon: for a few of them; with_prob takes any number."""
         v = g.sky_to_cartesian(F.lit(1.0), ra, dec)
         out = None
         for weight, caps in self.polygons:

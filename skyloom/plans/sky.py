@@ -360,7 +360,7 @@ def healpix_mask(spark, sf_dir):
 SELECT row_id, CASE WHEN 1 - z < 0.5 THEN 0.8 WHEN 1 - x < 0.3 AND 1 - z > 0.9 THEN 0.4 ELSE 0.0 END::DOUBLE AS prob FROM v""")
 def polygon_mask(spark, sf_dir):
     m = masks.PolygonAngular([(0.8, [(0.0, 0.0, 1.0, 0.5)]), (0.4, [(1.0, 0.0, 0.0, 0.3), (0.0, 0.0, 1.0, -0.9)])])
-    return orders_sky(spark, sf_dir).select("row_id", m.prob(F.col("ra"), F.col("dec")).alias("prob"))
+    return m.with_prob(orders_sky(spark, sf_dir)).select("row_id", "prob")
 
 
 @query(f"WITH s AS ({SKY}) SELECT row_id, dec > 32.375 AS in_n, dec < 32.375 AND ra > 100 - dec AND ra < 280 + dec AS in_dn, dec < 32.375 AND dec > -25 AND NOT (ra > 100 - dec AND ra < 280 + dec) AS in_ds, CASE WHEN dec > 32.375 THEN 'N' ELSE 'S' END AS region FROM s")

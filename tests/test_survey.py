@@ -88,3 +88,27 @@ def test_passes_of_fibre_assignment(spark):
     assert {tuple(x) for x in history.select("TARGETID", "PASS", "TILEID", "FIBER", "OBSERVED").collect()} == want
     assert {x.TARGETID: x.NUMOBS_MORE for x in out.collect()} == more and 20 < sum(o for *_, o in want) < 150
     assert any(f != -1 and not o for *_, f, o in want)
+
+
+def test_many_polygons(spark):
+    """Polygons by cells against a branch for each, with caps of all sizes, holes and the poles."""
+    from pyspark.sql import functions as F
+
+    from skyloom.operators import masks
+
+    r = np.random.RandomState(7)
+    polygons = []
+    for k in range(60):
+        v = r.normal(size=(3, 3))
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        if k < 3:
+            v[0] = [0, 0, 1 - 2 * (k % 2)]
+        near = v[0] + 0.2 * v[1]
+        caps = [(*v[0], float(r.choice([0.002, 0.02, 0.2, 1.2]))), (*(near / np.linalg.norm(near)), float(r.uniform(0.05, 0.5)))]
+        polygons.append((float(r.uniform(0.1, 1)), caps + [(*v[2], -float(r.uniform(0.05, 0.5)))] * (k % 2)))
+    polygons.append((0.05, [(0.0, 1.0, 0.0, -0.3)]))
+    m = masks.PolygonAngular(polygons)
+    u = r.uniform(size=(4000, 2))
+    points = spark.createDataFrame([(i, float(a), float(d)) for i, (a, d) in enumerate(zip(360 * u[:, 0], np.degrees(np.arcsin(2 * u[:, 1] - 1))))], "row_id long, ra double, dec double")
+    rows = m.with_prob(points).withColumn("plain", m.prob(F.col("ra"), F.col("dec"))).collect()
+    assert len(rows) == 4000 and all(x.prob == x.plain for x in rows) and len({x.prob for x in rows}) > 30
