@@ -505,11 +505,22 @@ def _squares() -> list[np.ndarray]:
 SQUARES = _squares()
 
 
+def crc_shift(size: np.ndarray) -> np.ndarray:
+    """What a crc32 is multiplied by when so many bytes follow."""
+    out = np.full(len(size), 1 << 31, np.uint64)
+    for k in range(int(size.max(initial=0)).bit_length()):
+        out = np.where((size >> np.uint64(k)) & np.uint64(1), gf2_times(SQUARES[k + 3], out), out)
+    return out
+
+
+#: The same for all numbers of ids that a chunk can have.
+SHIFTS = crc_shift(4 * np.arange(MAX_IDS + 1, dtype=np.uint64))
+
+
 def crc_join(first: np.ndarray, second: np.ndarray, size: np.ndarray) -> np.ndarray:
     """crc32 of two byte strings in a row, from their own crc32s and the second's length."""
-    shift = np.full(len(size), 1 << 31, np.uint64)
-    for k in range(int(size.max(initial=0)).bit_length()):
-        shift = np.where((size >> np.uint64(k)) & np.uint64(1), gf2_times(SQUARES[k + 3], shift), shift)
+    known = not (size % np.uint64(4)).any() and size.max(initial=0) <= 4 * MAX_IDS
+    shift = SHIFTS[size // np.uint64(4)] if known else crc_shift(size)
     return gf2_times(shift, first) ^ second
 
 
