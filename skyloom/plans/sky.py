@@ -532,3 +532,34 @@ def concatenate(spark, sf_dir):
     marked = replace(b, df=b.df.withColumn("mark", F.when(F.col("row_id") % 2 == 0, F.col("row_id"))))
     both = marked.concatenate(b.translate(5.0)).df
     return rounded(both.withColumn("mark", F.coalesce("mark", F.lit(-1))), *POS, keep=("row_id", "mark"))
+
+
+@query("SELECT n_nationkey::BIGINT AS row_id, n_nationkey * 1.5::DOUBLE AS Position_x, n_regionkey * 2.0::DOUBLE AS Position_y, (n_nationkey - n_regionkey)::DOUBLE AS Position_z, length(n_name)::BIGINT AS size FROM nation")
+def catalog_from_arrays(spark, sf_dir):
+    """Arrays of the driver, one of them of vectors."""
+    from skyloom.operators.catalog import ParticleCatalog
+
+    rows = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # 25 rows
+    key, region = (np.array([r[c] for r in rows], np.int64) for c in ("n_nationkey", "n_regionkey"))
+    data = {"row_id": key, "Position": np.stack([key * 1.5, region * 2.0, key - region], 1), "size": np.array([len(r.n_name) for r in rows], np.int64)}
+    return ParticleCatalog.from_arrays(spark, data).df.select("row_id", *POS, "size")
+
+
+@query(f"""WITH b AS ({box_sql()}), k AS (SELECT *, 1 / sqrt(3.0) AS c, sqrt(2.0 / 3.0) AS s, -1 / sqrt(2.0) AS ky, 1 / sqrt(2.0) AS kz FROM b), d AS (SELECT *, ky * y + kz * z AS along FROM k)
+SELECT row_id, {r6('c * x + s * (ky * z - kz * y)', POS[0])}, {r6('c * y + s * kz * x + ky * along * (1 - c)', POS[1])}, {r6('c * z - s * ky * x + kz * along * (1 - c)', POS[2])} FROM d""")
+def rotate_between(spark, sf_dir):
+    """The rotation that takes the x axis to the diagonal, in the form of Rodrigues."""
+    b = orders_box(spark, sf_dir)
+    return rounded(b.isometry(Isometry(g.rotation_between((1.0, 0.0, 0.0), (1.0, 1.0, 1.0)))).df, *POS)
+
+
+@query(f"WITH b AS ({box_sql(center=(100.0, 200.0, 200.0), velocity=10.0)}), l AS (SELECT *, (vx + 2 * vy + 2 * vz) / 3 AS v FROM b) SELECT row_id, {', '.join(r6(f'{a} + 0.414213562 * v * {n} / 3', p) for a, n, p in zip('xyz', (1, 2, 2), POS))} FROM l")
+def rsd_global(spark, sf_dir):
+    """Along the direction of the box's centre."""
+    b = orders_box(spark, sf_dir, center=(100.0, 200.0, 200.0), velocity=10.0)
+    return rounded(b.with_vectors({"Position": b.rsd_position(0.414213562, b.global_los)}).df, *POS)
+
+
+@query("SELECT * FROM (VALUES ('DN', 192.0, 13.0), ('DS', 6.4, 5.3), ('N', 192.3, 56.0), ('N+DN', 192.0, 35.0), ('N+SNGC', 192.0, 35.0), ('SNGC', 192.0, 13.0), ('SSGC', 6.4, 5.3)) t(region, ra, dec)")
+def region_centers(spark, sf_dir):
+    return spark.createDataFrame([(r, *masks.region_center(r)) for r in sorted(masks.REGION_CENTERS)], "region string, ra double, dec double")

@@ -537,3 +537,46 @@ def survey_from_box(spark, sf_dir):
     s = cut.df.withColumns({"Distance": d, "RA": ra, "DEC": dec}).where(F.col("Distance").between(200.0, 1000.0)).where(photometric_region(F.col("RA"), F.col("DEC"), "S"))
     s = smearing.smeared(s.withColumn("Z", DistanceToRedshift(c.distance, 3.0).column(F.col("Distance"))), "Z", "LRG", "row_id")
     return s.where(TabulatedRadial(np.linspace(0.0, 0.6, 13), np.linspace(1, 2, 13)).keep(F.col("row_id"), F.col("Z"), seed=2)).select("row_id", "RA", "DEC", "Distance", "Z")
+
+
+@query("SELECT c_custkey % 4 AS m, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY 1")
+def compacted_files(spark, sf_dir):
+    """Many small files of wide rows become a few files of two columns."""
+    import uuid
+
+    path = f"{shared_folder(spark)}/compact-{uuid.uuid4().hex}"
+    files.compact(table(spark, sf_dir, "customer").repartition(16), path, ["c_custkey", "c_acctbal"], 2)
+    return spark.read.parquet(path).groupBy((F.col("c_custkey") % 4).alias("m")).agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
+
+
+@query("SELECT r_regionkey::BIGINT AS ROSETTE_NUMBER, round(r_regionkey * 7.25, 2) AS RA, round(r_regionkey - 2.5, 2) AS DEC, unnest([r_regionkey * 3, r_regionkey * 3 + 1])::BIGINT AS TILEID, 'S' AS region FROM region")
+def rosettes_from_ecsv(spark, sf_dir):
+    """An ECSV file with a column of comma-joined tile ids."""
+    import uuid
+
+    rows = sorted(r.r_regionkey for r in table(spark, sf_dir, "region").collect())  # 5 rows
+    head = ["# %ECSV 1.0", "# ---", "# delimiter: ','", "# datatype:", *[f"# - {{name: {n}, datatype: {k}}}" for n, k in (("ROSETTE_NUMBER", "int64"), ("RA", "float64"), ("DEC", "float64"), ("TILEID", "string"))], "ROSETTE_NUMBER,RA,DEC,TILEID"]
+    text = "\n".join(head + [f'{i},{i * 7.25:.2f},{i - 2.5:.2f},"{i * 3},{i * 3 + 1}"' for i in rows])
+    path = f"{shared_folder(spark)}/ecsv-{uuid.uuid4().hex}"
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    return footprint.rosette_tiles(files.read_ecsv(spark, path)).select("ROSETTE_NUMBER", F.round("RA", 2).alias("RA"), F.round("DEC", 2).alias("DEC"), "TILEID", "region")
+
+
+@query(f"WITH b AS ({box_sql()}) SELECT row_id, round(row_id % 7 / 4.0, 6) AS w, {r6('x', POS[0])} FROM b")
+def weights_round_trip(spark, sf_dir):
+    """Weights under another name, and back."""
+    b = orders_box(spark, sf_dir).df.withColumn("w", F.col("row_id") % 7 / 4.0)
+    out = blinding.weights_out(blinding.weights_in(b, "w").drop("w"), "w")
+    return rounded(out.select("row_id", "w", POS[0]), "w", POS[0])
+
+
+@query("SELECT round(a, 6) AS l1, round(b, 6) AS l2, round(c, 6) AS l3 FROM (VALUES (1.0, 1.0, 1.0), (sqrt(2.0), 1.0, sqrt(0.5)), (sqrt(2.0), sqrt(1.5), sqrt(1.0 / 3.0)), (sqrt(3.0), sqrt(2.0 / 3.0), sqrt(0.5)), (sqrt(3.0), sqrt(2.0), sqrt(1.0 / 6.0))) t(a, b, c)")
+def lattices_from_cache(spark, sf_dir):
+    """Lattices computed once and read from their table the second time."""
+    import uuid
+
+    from skyloom.operators.remap import Cuboid
+
+    path = f"{shared_folder(spark)}/lattices-{uuid.uuid4().hex}"
+    files.cached_lattices(spark, path, lambda: Cuboid.lattices(1.0, 1))
+    return files.cached_lattices(spark, path, lambda: {}).select(*[F.round(c, 6).alias(c) for c in ("l1", "l2", "l3")])
