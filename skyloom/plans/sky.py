@@ -560,6 +560,6 @@ def rsd_global(spark, sf_dir):
     return rounded(b.with_vectors({"Position": b.rsd_position(0.414213562, b.global_los)}).df, *POS)
 
 
-@query("SELECT * FROM (VALUES ('DN', 192.0, 13.0), ('DS', 6.4, 5.3), ('N', 192.3, 56.0), ('N+DN', 192.0, 35.0), ('N+SNGC', 192.0, 35.0), ('SNGC', 192.0, 13.0), ('SSGC', 6.4, 5.3)) t(region, ra, dec)")
+@query("SELECT region, ra::DOUBLE AS ra, dec::DOUBLE AS dec FROM (VALUES ('DN', 192.0, 13.0), ('DS', 6.4, 5.3), ('N', 192.3, 56.0), ('N+DN', 192.0, 35.0), ('N+SNGC', 192.0, 35.0), ('SNGC', 192.0, 13.0), ('SSGC', 6.4, 5.3)) t(region, ra, dec)")
 def region_centers(spark, sf_dir):
     return spark.createDataFrame([(r, *masks.region_center(r)) for r in sorted(masks.REGION_CENTERS)], "region string, ra double, dec double")

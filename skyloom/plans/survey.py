@@ -493,7 +493,8 @@ def tiles_from_csv(spark, sf_dir):
     return files.tiles_for_program(tiles_, tiles_, "DARK", 3).select("TILEID", "RA", "OBSCONDITIONS")
 
 
-@query("SELECT 0.05 + 0.05 * i AS zmin, 0.1 + 0.05 * i AS zmax, (i * i % 7)::DOUBLE AS nz, 0.075 + 0.05 * i AS zmid, round((0.1 + 0.05 * i) ** 3 - (0.05 + 0.05 * i) ** 3, 9) AS volume FROM (SELECT unnest(range(89)) AS i)".replace("0.05 + 0.05 * i AS zmin, 0.1 + 0.05 * i AS zmax", "round(0.05 + 0.05 * i, 9) AS zmin, round(0.1 + 0.05 * i, 9) AS zmax").replace("0.075 + 0.05 * i AS zmid", "round(0.075 + 0.05 * i, 9) AS zmid"))
+@query("""WITH b AS (SELECT i, 0.05::DOUBLE + 0.05::DOUBLE * i AS low FROM (SELECT unnest(range(89)) AS i))
+SELECT round(low, 9) AS zmin, round(low + 0.05, 9) AS zmax, (i * i % 7)::DOUBLE AS nz, round(low + 0.025, 9) AS zmid, round((low + 0.05) ** 3 - low ** 3, 9) AS volume FROM b""")
 def nz_from_text(spark, sf_dir):
     """A text file of n(z) with one line of names."""
     import uuid
@@ -549,7 +550,7 @@ def compacted_files(spark, sf_dir):
     return spark.read.parquet(path).groupBy((F.col("c_custkey") % 4).alias("m")).agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
 
 
-@query("SELECT r_regionkey::BIGINT AS ROSETTE_NUMBER, round(r_regionkey * 7.25, 2) AS RA, round(r_regionkey - 2.5, 2) AS DEC, unnest([r_regionkey * 3, r_regionkey * 3 + 1])::BIGINT AS TILEID, 'S' AS region FROM region")
+@query("SELECT r_regionkey::BIGINT AS ROSETTE_NUMBER, round(r_regionkey * 7.25::DOUBLE, 2) AS RA, round(r_regionkey - 2.5::DOUBLE, 2) AS DEC, unnest([r_regionkey * 3, r_regionkey * 3 + 1])::BIGINT AS TILEID, 'S' AS region FROM region")
 def rosettes_from_ecsv(spark, sf_dir):
     """An ECSV file with a column of comma-joined tile ids."""
     import uuid
