@@ -1,7 +1,7 @@
 """All queries of the sky-catalog engine and their SQL."""
 
-from skyloom.plans import sky, survey
+from skyloom.plans import sky, survey, waves
 
 FLAGSHIP = "cutsky_single"
-QUERIES = sky.QUERIES | survey.QUERIES
-ORACLE_SQL = sky.ORACLE_SQL | survey.ORACLE_SQL
+QUERIES = sky.QUERIES | survey.QUERIES | waves.QUERIES
+ORACLE_SQL = sky.ORACLE_SQL | survey.ORACLE_SQL | waves.ORACLE_SQL

@@ -357,37 +357,12 @@ def gaussian_unitary(spark, sf_dir):
     return rounded(mesh.power_spectrum(m.delta_k, m.grid, [0.003, 0.02, 0.04, 0.05]), "k", "power", keep=("bin", "modes"))
 
 
-@query("SELECT 4096 AS cells, 0.0::DOUBLE AS mean, true AS above_minus_one")
-def lognormal_field(spark, sf_dir):
-    m = mocks.GaussianMock.from_power(spark, power, nmesh=N, boxsize=1000.0).with_real(1.5, lognormal=True)
-    return m.delta.select(F.explode("v").alias("v")).agg(F.count("*").cast("int").alias("cells"), (F.round(F.avg("v"), 6) + 0.0).alias("mean"), F.bool_and(F.col("v") > -1).alias("above_minus_one"))
-
-
-@query()
-def selection_function(spark, sf_dir):
-    m = mocks.GaussianMock.from_power(spark, power, nmesh=N, boxsize=1000.0, boxcenter=1000.0).with_real()
-    m = m.with_selection(lambda d, ra, dec: 1e-4 * np.exp(-((d - 1700) ** 2) / 2e5), interlacing=2)
-    return mesh.moments(m.galaxies())
-
-
 @query()
 def shot_noise_field(spark, sf_dir):
     m = mocks.GaussianMock.from_power(spark, power, nmesh=N, boxsize=1000.0).with_real().with_white_noise(1e-3)
     return mesh.moments(m.delta)
 
 
-@query()
-def eulerian_rsd_plane(spark, sf_dir):
-    m = mocks.EulerianMock.from_power(spark, power, nmesh=N, boxsize=1000.0, los="z").with_real().with_rsd(0.8)
-    return mesh.moments(m.delta)
-
-
-@query()
-def eulerian_rsd_local(spark, sf_dir):
-    m = mocks.EulerianMock.from_power(spark, power, nmesh=N, boxsize=1000.0, boxcenter=1500.0).with_real().with_rsd(0.8)
-    return mesh.moments(m.delta)
-
-
 @query()
 def poisson_catalog(spark, sf_dir):
     m = mocks.GaussianMock.from_power(spark, power, nmesh=N, boxsize=1000.0).with_real(lognormal=True).with_selection(1e-5)
