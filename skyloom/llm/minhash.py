@@ -367,3 +367,19 @@ def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> Da
     if keyed.groupBy("doc_id", digest).agg(F.count("*").alias(least)).where(F.col(least) > 1).isEmpty():
         return out
     return keyed.dropDuplicates(["doc_id", digest]).drop(digest)
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT r, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
+c AS (SELECT r, g, count(*) AS n FROM s GROUP BY r, g),
+t AS (SELECT r, sum(n) AS t, md5(string_agg(g || ' ' || n, '|' ORDER BY g)) AS k FROM c GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, sum(least(a.n, b.n)) AS shared FROM c a JOIN c b USING (g) WHERE a.r <> b.r GROUP BY a.r, b.r),
+e AS (SELECT x, y FROM p JOIN t a ON a.r = x JOIN t b ON b.r = y WHERE shared >= 0.8 * (a.t + b.t - shared)),
+reach(r, q) AS (SELECT r, r FROM t UNION SELECT reach.r, e.y FROM reach JOIN e ON e.x = reach.q),
+g AS (SELECT reach.r, min(d.doc_id) AS class_id, count(*) AS class_size FROM reach JOIN d ON d.r = q GROUP BY reach.r),
+b AS (SELECT min(doc_id) AS class_id, count(*) AS n FROM d WHERE len(w) = 0)
+SELECT d.doc_id, CASE WHEN len(w) = 0 THEN b.class_id ELSE g.class_id END AS class_id, CASE WHEN len(w) = 0 THEN b.n ELSE class_size END::BIGINT AS class_size,
+  CASE WHEN len(w) = 0 THEN b.n ELSE count(*) OVER (PARTITION BY k) END::BIGINT AS copies
+FROM d CROSS JOIN b LEFT JOIN g USING (r) LEFT JOIN t USING (r)
+"""
