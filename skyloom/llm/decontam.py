@@ -355,3 +355,29 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, shard_bytes: int
 
         docs = docs.mapInArrow(keep, schema)
     return docs
+
+
+def _sql() -> str:
+    """The rule applied to every passage and every item, without any retrieval."""
+    words = lambda x: rf"list_filter(string_split(regexp_replace(lower({x}), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]', ' ', 'g'), ' '), lambda y: y <> '')"
+    grams = lambda w, n: f"list_transform(range(1, len({w}) - {n} + 2), lambda j: array_to_string({w}[j:j + {n} - 1], ' '))"
+    return rf"""
+WITH t AS (SELECT row_number() OVER () AS i, item_id, coalesce(text, '') AS text FROM benchmark),
+s AS (SELECT *, list_filter(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: len({words('x')}) > 0) AS s FROM t),
+p AS (SELECT i, item_id, {words('text')} AS whole, CASE WHEN len(s) < 2 THEN {words('text')} ELSE {words("array_to_string(s[1:len(s) - 1], ' ')")} END AS q, CASE WHEN len(s) < 2 THEN {words('text')} ELSE {words('s[len(s)]')} END AS a FROM s),
+k AS (SELECT i, 'w' AS kind, whole AS w FROM p UNION ALL SELECT i, 'q', q FROM p UNION ALL SELECT i, 'a', a FROM p),
+g AS (SELECT DISTINCT i, kind, least(len(w), {SHINGLE}) AS n, unnest(CASE WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')] ELSE {grams('w', SHINGLE)} END) AS gram FROM k WHERE len(w) > 0),
+o AS (SELECT i, kind, count(*) AS own FROM g GROUP BY i, kind),
+z AS (SELECT greatest({PASSAGE}, 2 * max(len(whole))) AS size FROM p),
+d AS (SELECT row_number() OVER () AS r, doc_id, {words("coalesce(text, '')")} AS w FROM documents),
+f AS (SELECT r, w, size, unnest(range(greatest(1, ceil((len(w) - size // 2) / (size // 2)))::INT)) * (size // 2) AS start FROM d, z WHERE len(w) > 0),
+v AS (SELECT r, start, w[start + 1:start + size] AS w FROM f),
+h AS (SELECT DISTINCT r, start, n, unnest(list_transform(range(1, len(w) - n + 2), lambda j: array_to_string(w[j:j + n - 1], ' '))) AS gram FROM v, (SELECT DISTINCT n FROM g)),
+m AS (SELECT r, start, i, kind, count(*) AS hit FROM h JOIN g USING (n, gram) GROUP BY r, start, i, kind),
+x AS (SELECT r, start, i, max(CASE kind WHEN 'w' THEN hit::DOUBLE / own ELSE 0 END) AS ws, max(CASE kind WHEN 'q' THEN hit::DOUBLE / own ELSE 0 END) AS qs, max(CASE kind WHEN 'a' THEN hit::DOUBLE / own ELSE 0 END) AS az FROM m JOIN o USING (i, kind) GROUP BY r, start, i)
+SELECT DISTINCT ON (x.r, x.i) d.doc_id, p.item_id FROM x JOIN d USING (r) JOIN p USING (i)
+WHERE CASE WHEN qs >= {OVERLAP}::DOUBLE THEN az >= {OVERLAP}::DOUBLE OR len(q) >= {QUESTION} ELSE az >= {OVERLAP}::DOUBLE AND ws >= {OVERLAP}::DOUBLE END
+"""
+
+
+ORACLE_SQL = _sql()
