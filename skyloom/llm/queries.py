@@ -53,4 +53,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_token_store, op2_exact_dedup, op3_quality, op4_near_duplicates, op5_licenses, op6_language, op7_mixing, op8_secret_scan, op9_toxicity, op10_decontamination)
 }
-ORACLE_SQL = {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op4_near_duplicates": minhash.ORACLE_SQL, "op5_licenses": licenses.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL, "op10_decontamination": decontam.ORACLE_SQL}
+ORACLE_SQL = {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op4_near_duplicates": minhash.ORACLE_SQL, "op5_licenses": licenses.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL, "op8_secret_scan": secrets.ORACLE_SQL, "op10_decontamination": decontam.ORACLE_SQL}

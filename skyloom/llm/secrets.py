@@ -134,3 +134,32 @@ def secrets(docs: DataFrame) -> DataFrame:
         "doc_id", *[F.size(c).cast("long").alias(n) for c, n in (("a", "n_assign"), ("c", "n_access"), ("h", "n_hex"), ("x", "n_entropy"))],
         F.sha2(joined(base), 256).alias("base_sha256"), joined(every).alias("spans"),
     )
+
+
+def _sql() -> str:
+    """Every window of every candidate anew; candidates without look-around, which DuckDB lacks."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    # a hexadecimal candidate is a run of letters and digits that is hexadecimal as a whole
+    runs = (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("base64", r"[A-Za-z0-9+/_-]{%d,}={0,2}" % WINDOW), ("alnum", "[A-Za-z0-9]+"))
+    found = " UNION ALL ".join(f"SELECT r, '{k}' AS run, regexp_extract_all(t, {quoted(p)}, 0) AS hits, string_split_regex(t, {quoted(p)}) AS gaps FROM d" for k, p in runs)
+    allowed = " OR ".join(f"regexp_matches(m, {quoted(a)})" for a in ALLOWED)
+    entropy = f"list_max(list_transform(range(1, length(m) - {WINDOW} + 2), lambda a: list_aggregate(string_split(m[a:a + {WINDOW} - 1], ''), 'entropy')))"
+    has = lambda *x: " AND ".join(f"regexp_matches(m, '{c}')" for c in x)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({found}),
+u AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM f),
+h AS (SELECT r, run, hits[i] AS m, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s FROM u),
+c AS (SELECT r, s, s + length(m) AS e, m, CASE run WHEN 'assign' THEN 0 WHEN 'access' THEN 1 WHEN 'hex' THEN 2 ELSE 3 END AS k,
+  CASE run WHEN 'assign' THEN length(regexp_extract(m, {quoted(ASSIGN)}, 2)) >= 6 WHEN 'access' THEN length(m) >= 20 WHEN 'hex' THEN length(m) >= 24
+    WHEN 'base64' THEN {has('[0-9]', '[A-Z]', '[a-z]')} AND NOT ({allowed}) ELSE regexp_full_match(m, '[0-9A-Fa-f]{{{WINDOW},}}') AND {has('[0-9]', '[A-Fa-f]')} AND NOT ({allowed}) END AS ok,
+  CASE run WHEN 'base64' THEN {CLASSES[0][3]} WHEN 'alnum' THEN {CLASSES[1][3]} END AS bits FROM h),
+x AS (SELECT DISTINCT r, s, e, k FROM c WHERE ok AND (bits IS NULL OR CASE WHEN length(m) >= {WINDOW} THEN {entropy} ELSE 0 END >= bits)),
+y AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, count(*) FILTER (k = 3) AS n_entropy,
+  string_agg({list(KINDS)}[k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg({list(KINDS)}[k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans FROM x GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, coalesce(n_entropy, 0)::BIGINT AS n_entropy,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN y USING (r)
+"""
+
+
+ORACLE_SQL = _sql()
