@@ -334,10 +334,12 @@ def mask_integral_sample(spark, sf_dir):
     return spark.createDataFrame([(round(value, 6),)], "integral double")
 
 
-@query("SELECT 0.5::DOUBLE AS integral")
+@query(f"""WITH t AS (SELECT unnest({[float(x) for x in NZ]})::DOUBLE AS z, unnest({[float(x) for x in NN]})::DOUBLE AS n), s AS (SELECT (n + lead(n) OVER w) / 2 * (lead(z) OVER w - z) AS part FROM t WINDOW w AS (ORDER BY z))
+SELECT round(0.2 * (SELECT max(z) - min(z) FROM t) / sum(part), 9) AS norm, 0.2::DOUBLE AS integral FROM s""")
 def mask_normalize(spark, sf_dir):
-    m = masks.TabulatedRadial(np.linspace(0.3, 1.7, 100), 10 * np.exp(-10 * (np.linspace(0.3, 1.7, 100) - 1) ** 2), order=2).normalized(0.5)
-    return spark.createDataFrame([(round(m.integral(), 6),)], "integral double")
+    """The factor that brings the mean probability to a target."""
+    m = masks.TabulatedRadial(NZ, NN, order=1).normalized(0.2)
+    return spark.createDataFrame([(round(m.norm, 9), round(m.integral(), 6))], "norm double, integral double")
 
 
 @query()
