@@ -339,7 +339,7 @@ SELECT round(0.2 * (SELECT max(z) - min(z) FROM t) / sum(part), 9) AS norm, 0.2:
 def mask_normalize(spark, sf_dir):
     """The factor that brings the mean probability to a target."""
     m = masks.TabulatedRadial(NZ, NN, order=1).normalized(0.2)
-    return spark.createDataFrame([(round(m.norm, 9), round(m.integral(), 6))], "norm double, integral double")
+    return spark.createDataFrame([(round(float(m.norm), 9), round(float(m.integral()), 6))], "norm double, integral double")
 
 
 @query()
