@@ -100,17 +100,24 @@ def crc_mod(doc_id, n: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
+def uniform(doc_id):
+    """A number in [0, 1) from a hash of the id."""
+    return F.shiftrightunsigned(F.xxhash64(doc_id), 11).cast("double") / F.lit(float(1 << 53))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, bound: int) -> DataFrame:
     """At most `bound` labelled training rows (text, y), taken in hash order of doc_id.
 
-    Rows with a null label or id do not train; ties in the hash are broken by doc_id.
+    Of many labels, only about twice as many as needed are ranked. Rows with a null label or id do not train; ties in the
+    hash are broken by doc_id.
     """
     ids = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-        .where(keep(F.col("doc_id")))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+        .where(keep(F.col("doc_id"))).withColumn("u", uniform(F.col("doc_id")))
     )
-    return narrow(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id").select(
+    n = ids.count()
+    chosen = ids.where(F.col("u") * n < 2.0 * bound).orderBy("u", "doc_id").limit(bound).drop("u")
+    return narrow(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
         "doc_id", F.coalesce("text", F.lit("")).alias("text"), "y"
     )

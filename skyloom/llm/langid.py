@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import bounded_batches, crc_mod, narrow
+from skyloom.llm.common import bounded_batches, crc_mod, narrow, uniform
 
 SAMPLE = 300
 ROUNDS = 2
@@ -274,9 +274,8 @@ def default_pieces() -> str:
 def train(docs: DataFrame, path: str, sample: int = SAMPLE):
     ok = narrow(docs, "doc_id", "text", "lang").where((F.col("lang").isNotNull()) & (F.col("text").isNotNull()) & (crc_mod(F.col("doc_id"), 5) != 0))
     # by a uniform number of the id, twice as many as needed of each language, so that none is a window of many rows
-    u = F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double") / F.lit(float(1 << 53))
     share = ok.groupBy("lang").agg((F.lit(2.0 * sample) / F.count("*")).alias("share"))
-    few = ok.select("doc_id", "lang", u.alias("u")).join(share, "lang").where("u < share")
+    few = ok.select("doc_id", "lang", uniform(F.col("doc_id")).alias("u")).join(share, "lang").where("u < share")
     w = Window.partitionBy("lang").orderBy("u", "doc_id")
     chosen = few.withColumn("n", F.row_number().over(w)).where(F.col("n") <= sample).select("doc_id", "lang")
     rows = ok.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).select("doc_id", "lang", "text").collect()  # `sample` a language
