@@ -274,8 +274,11 @@ def default_pieces() -> str:
 def train(docs: DataFrame, path: str, sample: int = SAMPLE):
     ok = narrow(docs, "doc_id", "text", "lang").where((F.col("lang").isNotNull()) & (F.col("text").isNotNull()) & (crc_mod(F.col("doc_id"), 5) != 0))
     # by a uniform number of the id, twice as many as needed of each language, so that none is a window of many rows
-    share = ok.groupBy("lang").agg((F.lit(2.0 * sample) / F.count("*")).alias("share"))
-    few = ok.select("doc_id", "lang", uniform(F.col("doc_id")).alias("u")).join(share, "lang").where("u < share")
+    # (a row for each language comes to the driver, as it does for the model itself)
+    share = [x for r in ok.groupBy("lang").agg(F.count("*").alias("n")).collect() for x in (F.lit(r.lang), F.lit(2.0 * sample / r.n))]
+    if not share:
+        return fit({}, load_pieces(path))
+    few = ok.select("doc_id", "lang", uniform(F.col("doc_id")).alias("u")).where(F.col("u") < F.element_at(F.create_map(*share), F.col("lang")))
     w = Window.partitionBy("lang").orderBy("u", "doc_id")
     chosen = few.withColumn("n", F.row_number().over(w)).where(F.col("n") <= sample).select("doc_id", "lang")
     rows = ok.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).select("doc_id", "lang", "text").collect()  # `sample` a language
