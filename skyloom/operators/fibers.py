@@ -7,12 +7,12 @@ fibre, and the rest try again with what is left, for a few rounds.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions.rng import u01
-from skyloom.operators.footprint import points_in_tiles, tile_of_pass
-from skyloom.operators.scratch import settled
+from skyloom.operators.footprint import near, points_in_tiles, tile_of_pass, unit
+from skyloom.operators.scratch import once, settled
 
 #: Bits of ZWARN for a fibre without data or of bad quality; science target bit.
 ZWARN_BAD = (1 << 9) | (1 << 10) | (1 << 11)
@@ -28,25 +28,35 @@ def prepared_targets(df: DataFrame, row_id: str, seed: int = 44, numobs: int = 1
     })
 
 
-def reachable(targets: DataFrame, fibers: DataFrame, radius: float) -> DataFrame:
-    """(TARGETID, TILEID, FIBER): fibres within their patrol radius. fibers: TILEID, FIBER, RA, DEC."""
-    f = fibers.select(F.struct("TILEID", "FIBER").alias("TILEID"), "RA", "DEC")
-    hits = points_in_tiles(targets, f, radius, row_id="TARGETID")
-    near = hits.select("TARGETID", F.col("TILEID.TILEID").alias("TILEID"), F.col("TILEID.FIBER").alias("FIBER"))
-    own = targets.select("TARGETID", F.col("TILEID").alias("own")) if "TILEID" in targets.columns else None
-    return near if own is None else near.join(own, "TARGETID").where("TILEID = own").drop("own")
+def reachable(targets: DataFrame, fibers: DataFrame, radius: float, keep=()) -> DataFrame:
+    """(TARGETID, TILEID, FIBER, *keep): fibres within their patrol radius. fibers: TILEID, FIBER, RA, DEC; keep: columns of
+    targets. Targets with a TILEID look at the fibres of that tile only."""
+    if "TILEID" not in targets.columns:
+        f = fibers.select(F.struct("TILEID", "FIBER").alias("TILEID"), "RA", "DEC")
+        hits = points_in_tiles(targets, f, radius, row_id="TARGETID").select("TARGETID", F.col("TILEID.TILEID").alias("TILEID"), F.col("TILEID.FIBER").alias("FIBER"))
+        return hits.join(targets.select("TARGETID", *keep), "TARGETID") if keep else hits
+    f = fibers.select("TILEID", "FIBER", F.col("RA").alias("tra"), F.col("DEC").alias("tdec"))
+    f = settled(once(f.join(targets.select("TILEID").distinct(), "TILEID", "left_semi"), unit("tra", "tdec", "t")), "fibers")  # its size tells how to join it
+    f = f.groupBy("TILEID").agg(F.collect_list(F.struct("FIBER", "tra", "tdec", "tx", "ty", "tz")).alias("__fibers"))
+    rows = once(targets.select("TARGETID", "TILEID", "RA", "DEC", *keep).join(f, "TILEID"), unit("RA", "DEC", "__p"))
+    pairs = rows.select("TARGETID", "TILEID", "RA", "DEC", *keep, "__px", "__py", "__pz", F.inline("__fibers"))
+    return pairs.where(near(("RA", "DEC"), {c: F.col(c) for c in ("tra", "tdec", "tx", "ty", "tz")}, radius)).select("TARGETID", "TILEID", "FIBER", *keep)
+
+
+def _ranked(targets: DataFrame) -> list:
+    """Columns of targets that rank them: p (their priority, or 0) and SUBPRIORITY."""
+    return [F.col("PRIORITY").alias("p") if "PRIORITY" in targets.columns else F.lit(0).alias("p"), F.col("SUBPRIORITY")]
 
 
 def greedy(reach: DataFrame, targets: DataFrame, rounds: int = 3) -> DataFrame:
-    """(TARGETID, TILEID, FIBER) of the assigned; all tiles at once. reach: TARGETID, TILEID, FIBER."""
-    order = targets.select("TARGETID", F.col("PRIORITY").alias("p") if "PRIORITY" in targets.columns else F.lit(0).alias("p"), "SUBPRIORITY")
-    open_ = reach.join(order, "TARGETID")
-    by_fiber = Window.partitionBy("TILEID", "FIBER").orderBy(F.desc("p"), F.desc("SUBPRIORITY"), "TARGETID")
-    by_target = Window.partitionBy("TILEID", "TARGETID").orderBy("FIBER")
+    """(TARGETID, TILEID, FIBER) of the assigned; all tiles at once. reach: TARGETID (integers), TILEID, FIBER, and p and
+    SUBPRIORITY of the target where they are known already."""
+    open_ = reach if {"p", "SUBPRIORITY"} <= set(reach.columns) else reach.join(targets.select("TARGETID", *_ranked(targets)), "TARGETID")
+    order = F.struct("p", "SUBPRIORITY", F.bitwise_not("TARGETID").alias("id"))  # the greatest is the best, of equals the smallest TARGETID
     taken = None
     for k in range(rounds):
-        best = open_.withColumn("r", F.row_number().over(by_fiber)).where("r = 1").drop("r")
-        got = best.withColumn("r", F.row_number().over(by_target)).where("r = 1").select("TARGETID", "TILEID", "FIBER")
+        best = open_.groupBy("TILEID", "FIBER").agg(F.max(order).alias("best"))
+        got = best.groupBy(F.bitwise_not(F.col("best.id")).alias("TARGETID"), "TILEID").agg(F.min("FIBER").alias("FIBER"))
         taken = got if taken is None else taken.union(got)
         if k + 1 < rounds:
             taken = settled(taken, "assigned")
@@ -90,12 +100,13 @@ def assign_passes(targets: DataFrame, tiles: DataFrame, fibers: DataFrame, npass
     """
     state, history = targets, None
     for k in range(npasses):
-        asked = settled(tile_of_pass(state.drop("TILEID"), tiles, k, row_id="TARGETID", radius=tile_radius).where((F.col("TILEID") >= 0) & (F.col("NUMOBS_MORE") >= 1)), "asked")
-        reach = settled(reachable(asked, fibers, patrol), "reach")
-        got = greedy(reach, asked, rounds)
+        here = state.where("NUMOBS_MORE >= 1").select("TARGETID", "RA", "DEC", *_ranked(state), "NUMOBS", "NUMOBS_MORE")
+        asked = settled(tile_of_pass(here, tiles, k, row_id="TARGETID", radius=tile_radius).where("TILEID >= 0"), "asked")
+        reach = settled(reachable(asked, fibers, patrol, ("p", "SUBPRIORITY")), "reach")
+        got = settled(greedy(reach, asked, rounds), "got")
         done = settled(mtl_update(asked, got, available(reach, got), zwarn).select("TARGETID", F.lit(k).alias("PASS"), "TILEID", "FIBER", "OBSERVED"), "pass")
         history = done if history is None else history.union(done)
-        n = done.select("TARGETID", F.col("OBSERVED").cast("long").alias("__o"))
+        n = done.where("OBSERVED").select("TARGETID", F.lit(1).cast("long").alias("__o"))
         state = settled(state.join(n, "TARGETID", "left").withColumns({"NUMOBS": F.col("NUMOBS") + F.coalesce("__o", F.lit(0)), "NUMOBS_MORE": F.col("NUMOBS_MORE") - F.coalesce("__o", F.lit(0))}).drop("__o"), "targets")
     return state, history
 
@@ -104,7 +115,7 @@ def pass_arrays(targets: DataFrame, history: DataFrame, npasses: int) -> DataFra
     """targets with AVAILABLE, FIBER[pass] (-1 without) and OBS_PASS[pass]."""
     fiber = [F.max(F.when((F.col("PASS") == k), F.col("FIBER"))).alias(f"f{k}") for k in range(npasses)]
     seen = [F.max(F.when((F.col("PASS") == k), F.col("OBSERVED"))).alias(f"o{k}") for k in range(npasses)]
-    w = history.groupBy("TARGETID").agg(*fiber, *seen)
+    w = history.where("FIBER <> -1 OR OBSERVED").groupBy("TARGETID").agg(*fiber, *seen)  # the others have the defaults
     out = targets.join(w, "TARGETID", "left")
     arrays = {"FIBER": F.array(*[F.coalesce(f"f{k}", F.lit(-1)) for k in range(npasses)]), "OBS_PASS": F.array(*[F.coalesce(f"o{k}", F.lit(False)) for k in range(npasses)])}
     out = out.withColumns(arrays).withColumn("AVAILABLE", F.exists("FIBER", lambda x: x >= 0))
@@ -154,6 +165,7 @@ def completeness_weights(targets: DataFrame, history: DataFrame) -> DataFrame:
     In closed form: a target that no pass observed counts once, at its first pass with a fibre, for the target observed
     on that fibre and tile then. One aggregation and two joins, whatever the number of passes.
     """
+    history = history.where("FIBER <> -1 OR OBSERVED")  # a row without either says nothing
     seen = history.groupBy("TARGETID").agg(F.bool_or("OBSERVED").alias("seen"), F.min(F.when(F.col("FIBER") != -1, F.struct("PASS", "TILEID", "FIBER"))).alias("first"))
     extra = seen.where("NOT seen AND first IS NOT NULL").groupBy("first.PASS", "first.TILEID", "first.FIBER").agg(F.count("*").alias("extra"))
     stands = history.where("OBSERVED").join(extra, ["PASS", "TILEID", "FIBER"], "left").groupBy("TARGETID").agg((F.lit(1.0) + F.coalesce(F.sum("extra"), F.lit(0))).alias("COMP_WEIGHT"))

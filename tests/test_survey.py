@@ -141,3 +141,43 @@ def test_points_in_tiles_pair_by_pair(spark):
     edge = {k for k, d in gap.items() if abs(d) <= 1e-9}
     assert [x for x in got if x[:2] not in edge] == sure and len(sure) > 1000 and edge
     assert "lambdafunction" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_tile_of_many(spark):
+    """The first of many tiles over a point, wherever it is; where no tile is, and off the sky, none."""
+    from skyloom.operators import footprint
+
+    radius = 9.0
+    tiles, points = sky_tiles(np.random.RandomState(5), 400, radius)
+    odd = [(9999, float("nan"), 1.0), (9998, None, 1.0), (9997, 3.0, float("nan"))]
+    frame = spark.createDataFrame
+    out = footprint.tile_of_pass(frame(points + odd, "row_id long, RA double, DEC double"), frame(tiles, "TILEID long, RA double, DEC double, PASS int"), 0, radius=radius)
+    got = {x.row_id: x.TILEID for x in out.collect()}
+    assert len(got) == len(points) + 3 and {got[i] for i, *_ in odd} == {-1}
+    for p in points:
+        sure = min((t[0] for t in tiles if t[3] == 0 and inside(p, t, radius) < -1e-9), default=-1)
+        edge = {t[0] for t in tiles if t[3] == 0 and abs(inside(p, t, radius)) <= 1e-9}
+        assert got[p[0]] == sure or got[p[0]] in edge
+    assert len(set(got.values())) > 50
+
+
+def test_own_tile_only(spark):
+    """Targets with a tile are compared with its fibres alone: 60 times as many other fibres add no row to any step."""
+    own = [(7, f, 20.0 + 0.1 * f, 5.0) for f in range(10)]
+    other = [(t, f, 20.0 + 0.1 * f, 5.0) for t in range(100, 700) for f in range(10)]
+    frame = spark.createDataFrame
+    targets = frame([(i, 20.0 + 0.01 * i, 5.0, 7) for i in range(100)], "TARGETID long, RA double, DEC double, TILEID long")
+    out = fibers.reachable(targets, frame(own + other, "TILEID long, FIBER int, RA double, DEC double"), 0.03)
+    got = {tuple(x) for x in out.collect()}
+    assert got == {(i, 7, f) for i in range(100) for _, f, a, d in own if apart((20.0 + 0.01 * i, 5.0), (a, d)) <= 0.03} and len(got) > 50
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "own#" not in plan and "lambdafunction" not in plan
+
+
+def test_greedy_order(spark):
+    """A fibre takes the highest priority, then subpriority, then the smallest id, negative ids and ties too."""
+    frame = spark.createDataFrame
+    reach = frame([(i, 1, f) for i in (-5, -2, 3, 9, 11) for f in (0, 1, 2)], "TARGETID long, TILEID long, FIBER int")
+    targets = frame([(-5, 1, 0.5), (-2, 1, 0.5), (3, 2, 0.1), (9, 0, 0.9), (11, 1, 0.4)], "TARGETID long, PRIORITY int, SUBPRIORITY double")
+    for rounds, want in ((1, [(3, 0)]), (2, [(3, 0), (-5, 1)]), (3, [(3, 0), (-5, 1), (-2, 2)])):
+        assert sorted((x.TARGETID, x.FIBER) for x in fibers.greedy(reach, targets, rounds).collect()) == sorted(want)
